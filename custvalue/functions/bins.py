@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custvalue.functions.ordering import lower_position
+from custvalue.functions.ordering import OrderStatistics
 
 CONSTANT_SCORE = 3.0
 
@@ -14,37 +14,29 @@ def edge_probabilities(q: int) -> list[float]:
     return [i / q for i in range(q + 1)]
 
 
-def _is_new(edges: Column, i: int) -> Column:
-    return F.lit(True) if i == 0 else edges.getItem(i) != edges.getItem(i - 1)
+def distinct_edges(edges: list[float]) -> list[float]:
+    return sorted(set(edges))
 
 
-def _count(conditions: list[Column]) -> Column:
-    return sum((c.cast("int") for c in conditions[1:]), conditions[0].cast("int"))
+def edge_bucket(value: Column, edges: list[float]) -> Column:
+    """1-based right-closed bucket among distinct ascending edges; the lowest edge is in bucket 1."""
+    bucket = F.lit(1)
+    for number, edge in enumerate(edges[1:-1], start=2):
+        bucket = F.when(value > F.lit(edge), F.lit(number)).otherwise(bucket)
+    return F.when(value.isNotNull(), bucket)
 
 
-def distinct_edges(edges: Column, q: int) -> Column:
-    """Number of distinct values among the ``q + 1`` ascending edges."""
-    return _count([_is_new(edges, i) for i in range(q + 1)])
-
-
-def edge_bucket(value: Column, edges: Column, q: int) -> Column:
-    """1-based right-closed bucket among ``q + 1`` ascending edges, repeated edges counting once.
-
-    The lowest edge belongs to bucket 1.
-    """
-    below = _count([_is_new(edges, i) & (edges.getItem(i) < value) for i in range(q + 1)])
-    return F.when(value.isNotNull(), F.greatest(F.lit(1), below))
-
-
-def quantile_score(value: Column, edges: Column, q: int, ascending: bool = True) -> Column:
+def quantile_score(value: Column, edges: list[float], ascending: bool = True) -> Column:
     """Score 1..k by quantile edges, k being the number of distinct intervals.
 
     Collapsed edges leave fewer buckets; a constant column scores 3 throughout.
     """
-    buckets = distinct_edges(edges, q) - 1
-    bucket = edge_bucket(value, edges, q)
-    score = bucket if ascending else buckets + 1 - bucket
-    return F.when(buckets < 1, F.lit(CONSTANT_SCORE)).otherwise(score.cast("double"))
+    edges = distinct_edges(edges)
+    buckets = len(edges) - 1
+    if buckets < 1:
+        return F.lit(CONSTANT_SCORE)
+    bucket = edge_bucket(value, edges)
+    return (bucket if ascending else buckets + 1 - bucket).cast("double")
 
 
 def width_score(value: Column, low: Column, high: Column, q: int = 5, ascending: bool = True) -> Column:
@@ -55,37 +47,22 @@ def width_score(value: Column, low: Column, high: Column, q: int = 5, ascending:
     return (bucket if ascending else q + 1 - bucket).cast("double")
 
 
-def rank_cuts(placed: DataFrame, metric: str, id_col: str, q: int = 5) -> DataFrame:
-    """The last (value, id) pair of each of the first ``q - 1`` rank buckets, as one row.
+def rank_score(value: Column, id_: Column, order: OrderStatistics, q: int = 5) -> Column:
+    """Score 1..q of a row's unique rank in the order (value, id).
 
-    ``placed`` comes from :func:`positions` over (metric, value, id). A row at
-    place r of n has bucket ``max(1, ceil(q * r / (n - 1)))``, so bucket k ends at
-    place ``floor(k * (n - 1) / q)``. Four rows decide the score of every customer
-    and no ranked table has to be joined back.
+    The row at place r of n has score ``max(1, ceil(q * r / (n - 1)))``, so score k
+    ends at place ``floor(k * (n - 1) / q)``. The ``q - 1`` rows at these places
+    decide the score of every row, and no ranked table has to be joined back.
     """
-    cuts = []
-    ends = F.lit(False)
+    if order.n <= 1:
+        return F.when(value.isNotNull(), F.lit(CONSTANT_SCORE))
+    score = F.lit(1)
+    number = value.cast("double")
     for k in range(1, q):
-        at_end = F.col("_pos") == lower_position(F.col("_n"), k / q)
-        ends = ends | at_end
-        cuts.append(F.max(F.when(at_end, F.struct("value", id_col))))
-    return (
-        placed.where((F.col("metric") == metric) & ends)
-        .agg(F.max("_n").alias("n"), F.array(*cuts).alias("cuts"))
-        .select(F.struct("n", "cuts").alias("rank_cuts"))
-    )
-
-
-def rank_score(value: Column, id_: Column, ends: Column, id_name: str, q: int = 5) -> Column:
-    """Score 1..q of a row's unique rank, given the value of :func:`rank_cuts`."""
-    here = F.struct(value.cast("double").alias("value"), id_.alias(id_name))
-    cuts = ends.getField("cuts")
-    passed = _count([cuts.getItem(k) < here for k in range(q - 1)])
-    return (
-        F.when(value.isNull(), F.lit(None).cast("double"))
-        .when(ends.getField("n") <= 1, F.lit(CONSTANT_SCORE))
-        .otherwise((passed + 1).cast("double"))
-    )
+        end_value, end_id = order.at(k / q)
+        after = (number > F.lit(end_value)) | ((number == F.lit(end_value)) & (id_ > F.lit(end_id)))
+        score = F.when(after, F.lit(k + 1)).otherwise(score)
+    return F.when(value.isNotNull(), score.cast("double"))
 
 
 def mean_rank_percentiles(placed: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ that a value shared by many rows is spread over several slices.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
@@ -155,20 +156,10 @@ def _rational(p: float) -> Fraction:
     return Fraction(p).limit_denominator(1_000_000)
 
 
-def lower_position(n: Column, p: float) -> Column:
-    """floor(p * (n - 1)) in integers, free of rounding."""
+def _lower_place(p: float) -> str:
+    """floor(p * (n - 1)) as integer SQL, free of rounding."""
     q = _rational(p)
-    scaled = (n - 1) * F.lit(q.numerator)
-    return ((scaled - F.pmod(scaled, F.lit(q.denominator))) / F.lit(q.denominator)).cast("bigint")
-
-
-def _fraction(n: Column, p: float) -> Column:
-    q = _rational(p)
-    return F.pmod((n - 1) * F.lit(q.numerator), F.lit(q.denominator)) / F.lit(q.denominator)
-
-
-def _between(low: Column, high: Column, share: Column) -> Column:
-    return low + (high - low) * share
+    return f"((_n - 1) * {q.numerator} div {q.denominator})"
 
 
 def long_values(df: DataFrame, values: dict[str, Column], keep: list[str] = ()) -> DataFrame:
@@ -208,31 +199,78 @@ def grouped_quantiles(counted: DataFrame, group: list[str], probabilities: list[
 
 
 def pick_quantiles(spans: DataFrame, group: list[str], probabilities: list[float]) -> DataFrame:
-    """Keep the values that cover a wanted position and interpolate between them."""
-    n = F.col("_n")
+    """Keep the values that cover a wanted position and interpolate between them.
 
-    def covers(position: Column) -> Column:
-        return (F.col("_low") <= position) & (position <= F.col("_high"))
-
-    wanted = F.lit(False)
-    picks = [F.max("_n").alias("n")]
+    ``spans`` holds ``group, value, _n`` and the positions ``_low.._high`` of the value.
+    """
+    wanted, picks = [], [F.max("_n").alias("n")]
     for i, p in enumerate(probabilities):
-        low = lower_position(n, p)
-        high = F.least(low + 1, n - 1)
-        wanted = wanted | covers(low) | covers(high)
-        picks.append(F.max(F.when(covers(low), F.col("value"))).alias(f"_lo{i}"))
-        picks.append(F.max(F.when(covers(high), F.col("value"))).alias(f"_hi{i}"))
-    picked = spans.where(wanted).groupBy(*group).agg(*picks)
-    return picked.select(
-        *group,
-        "n",
-        *[
-            _between(F.col(f"_lo{i}"), F.col(f"_hi{i}"), _fraction(F.col("n"), p)).alias(f"q{i}")
-            for i, p in enumerate(probabilities)
-        ],
-    )
+        low = _lower_place(p)
+        covers_low = f"({low} BETWEEN _low AND _high)"
+        covers_high = f"(least({low} + 1, _n - 1) BETWEEN _low AND _high)"
+        wanted += [covers_low, covers_high]
+        picks.append(F.expr(f"max(CASE WHEN {covers_low} THEN value END) AS _lo{i}"))
+        picks.append(F.expr(f"max(CASE WHEN {covers_high} THEN value END) AS _hi{i}"))
+    picked = spans.where(" OR ".join(wanted)).groupBy(*group).agg(*picks)
+    between = []
+    for i, p in enumerate(probabilities):
+        q = _rational(p)
+        share = f"(((n - 1) * {q.numerator} % {q.denominator}) / {q.denominator})"
+        between.append(F.expr(f"_lo{i} + (_hi{i} - _lo{i}) * {share} AS q{i}"))
+    return picked.select(*group, "n", *between)
 
 
-def metric_scalar(table: DataFrame, metric: str, value: Column) -> Column:
-    """``value`` of one metric's row as a scalar subquery, usable in any projection."""
-    return table.where(F.col("metric") == metric).select(value.alias("v")).scalar()
+# --- order statistics on the driver ----------------------------------------
+
+
+@dataclass(frozen=True)
+class OrderStatistics:
+    """The few rows of one ordered metric that its quantiles and rank cuts need."""
+
+    n: int
+    rows: dict[int, tuple]  # position -> (value, id)
+
+    def quantile(self, p: float) -> float | None:
+        if self.n == 0:
+            return None
+        q = _rational(p)
+        place, rest = divmod((self.n - 1) * q.numerator, q.denominator)
+        low = self.rows[place][0]
+        high = self.rows[min(place + 1, self.n - 1)][0]
+        return low + (high - low) * (rest / q.denominator)
+
+    def at(self, p: float) -> tuple:
+        """The row at place floor(p * (n - 1))."""
+        q = _rational(p)
+        return self.rows[(self.n - 1) * q.numerator // q.denominator]
+
+
+def order_statistics(
+    placed: DataFrame, id_col: str, wanted: dict[str, list[float]]
+) -> dict[str, OrderStatistics]:
+    """Fetch the rows around the wanted quantiles of each metric, in one job.
+
+    ``placed`` comes from :func:`positions` over (metric, value, id). At most two
+    rows per metric and probability reach the driver, whatever the table's size;
+    they return to the plan as literals.
+    """
+    near = [
+        f"(metric = '{metric}' AND _pos BETWEEN {_lower_place(p)} AND {_lower_place(p)} + 1)"
+        for metric, probabilities in wanted.items()
+        for p in probabilities
+    ]
+    found = placed.where(" OR ".join(near)).select("metric", "value", id_col, "_pos", "_n").collect()
+    out = {}
+    for metric in wanted:
+        own = [r for r in found if r["metric"] == metric]
+        rows = {r["_pos"]: (r["value"], r[id_col]) for r in own}
+        out[metric] = OrderStatistics(own[0]["_n"] if own else 0, rows)
+    return out
+
+
+def quantile_values(
+    df: DataFrame, values: dict[str, Column], probabilities: list[float], *, unique_by: str | None = None
+) -> dict[str, list[float]]:
+    """:func:`quantiles` as plain numbers per metric, one small row per metric."""
+    table = quantiles(df, values, probabilities, unique_by=unique_by).collect()
+    return {r["metric"]: [r[f"q{i}"] for i in range(len(probabilities))] for r in table}

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custvalue.config import Settings
+from custvalue.functions import expressions as X
+from custvalue.functions.ordering import order_statistics
 from custvalue.operators import behavior, cohort, rfm, timing
 from custvalue.operators.customers import KEY, combine, distinct_counts, medians
 from custvalue.operators.prepare import fill_missing, replace_infinite
-from custvalue.functions import expressions as X
 from custvalue.session import materialise
 
 RFM_COLUMNS = [
@@ -76,7 +77,7 @@ def build_features(
         customers = timing.derive_weekdays(timing.derive_pace(customers, today))
         nullable += timing.NULLABLE
 
-    placed = None
+    middles = None
     if include_rfm:
         customers = customers.withColumns(
             {
@@ -85,8 +86,12 @@ def build_features(
                 "Monetary": F.col("_spend"),
             }
         )
+        # One range sort serves the scores and the medians of the nullable columns.
         placed = rfm.rfm_ranked(customers, {c: F.col(c) for c in nullable})
-        customers = rfm.rfm_scores(customers, placed, settings.weights)
+        wanted = {**rfm.WANTED, **{c: [0.5] for c in nullable}}
+        orders = order_statistics(placed, KEY, wanted)
+        middles = {c: orders[c].quantile(0.5) for c in nullable}
+        customers = rfm.rfm_scores(customers, {m: orders[m] for m in rfm.WANTED}, settings.weights)
         columns += RFM_COLUMNS
     if include_behavioral:
         columns += behavior.COLUMNS
@@ -96,9 +101,4 @@ def build_features(
         customers = cohort.derive(customers)
         columns += cohort.COLUMNS
     customers = customers.select(KEY, *columns)
-    if placed is not None:
-        middles = rfm.metric_quantiles(placed.where(F.col("metric").isin(nullable)), [0.5])
-        filled = fill_missing(customers, nullable, middles)
-    else:
-        filled = fill_missing(customers, nullable)
-    return replace_infinite(filled, nullable)
+    return replace_infinite(fill_missing(customers, nullable, middles), nullable)

@@ -34,12 +34,6 @@ def column_medians(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     return quantiles(df, {c: F.col(c) for c in columns}, [0.5], unique_by=by)
 
 
-def medians_row(table: DataFrame, columns: list[str]) -> Column:
-    """All medians as one struct-valued scalar subquery."""
-    cells = [F.max(F.when(F.col("metric") == c, F.col("q0"))).alias(c) for c in columns]
-    return table.agg(F.struct(*cells).alias("m")).scalar()
-
-
 def incomplete_columns(df: DataFrame) -> list[str]:
     """Numeric columns that hold a null, found with one aggregation."""
     kinds = dict(df.dtypes)
@@ -54,7 +48,7 @@ def incomplete_columns(df: DataFrame) -> list[str]:
 
 
 def fill_missing(
-    df: DataFrame, columns: list[str] | None = None, middles: DataFrame | None = None
+    df: DataFrame, columns: list[str] | None = None, middles: dict[str, float] | None = None
 ) -> DataFrame:
     """Numeric nulls become the column median; 0 in a column without any value.
 
@@ -65,12 +59,14 @@ def fill_missing(
     columns = incomplete_columns(df) if columns is None else columns
     if not columns:
         return df
-    middle = medians_row(column_medians(df, columns) if middles is None else middles, columns)
+    if middles is None:
+        middles = {r["metric"]: r["q0"] for r in column_medians(df, columns).collect()}
     kinds = dict(df.dtypes)
     filled = {}
     for c in columns:
         value = F.col(c) if kinds[c] not in ("double", "float") else F.when(~F.isnan(c), F.col(c))
-        filled[c] = F.coalesce(value, middle.getField(c), F.lit(0))
+        middle = middles.get(c)
+        filled[c] = F.coalesce(value, F.lit(0.0 if middle is None else middle))
     return df.withColumns(filled)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custvalue.functions.ordering import metric_scalar, quantiles, running_totals
+from custvalue.functions.ordering import quantile_values, running_totals
 from custvalue.operators.customers import KEY
 from custvalue.operators.segments import PREDICTION, segment_dimension
 
@@ -38,9 +38,7 @@ def filtered_top(predictions: DataFrame, segments: list[str], n: int = 100) -> D
 
 def kpi_summary(predictions: DataFrame) -> DataFrame:
     """One row: customers, total, mean, highest and median prediction, high-value share."""
-    middle = metric_scalar(
-        quantiles(predictions, {PREDICTION: F.col(PREDICTION)}, [0.5], unique_by=KEY), PREDICTION, F.col("q0")
-    )
+    middle = quantile_values(predictions, {PREDICTION: F.col(PREDICTION)}, [0.5], unique_by=KEY)
     high = F.count_if(F.col("CLV_Segment") == "High")
     return predictions.agg(
         F.count(F.lit(1)).alias("total_customers"),
@@ -49,7 +47,7 @@ def kpi_summary(predictions: DataFrame) -> DataFrame:
         F.max(PREDICTION).alias("highest_value"),
         high.alias("high_value_customers"),
         F.try_divide(high * F.lit(100.0), F.count(F.lit(1))).alias("high_value_percentage"),
-    ).withColumn("median_value", middle)
+    ).withColumn("median_value", F.lit(middle.get(PREDICTION, [None])[0]).cast("double"))
 
 
 def average_target(features: DataFrame, target: str = "Monetary") -> DataFrame:
@@ -127,9 +125,8 @@ def top_customers(analysis: DataFrame, n: int = 10) -> DataFrame:
 
 def at_risk_customers(analysis: DataFrame, n: int = 10, quantile: float = 0.75) -> DataFrame:
     """High-value customers who have not bought for longer than most."""
-    limit = metric_scalar(
-        quantiles(analysis, {"Recency": F.col("Recency")}, [quantile], unique_by=KEY), "Recency", F.col("q0")
-    )
+    edges = quantile_values(analysis, {"Recency": F.col("Recency")}, [quantile], unique_by=KEY)
+    limit = F.lit(edges.get("Recency", [None])[0]).cast("double")
     lapsed = analysis.where(F.col("CLV_Segment").isin(*HIGH_VALUE) & (F.col("Recency") > limit))
     return preview(
         lapsed.select(KEY, PREDICTION, "Recency", "Frequency", "Monetary"), [F.desc(PREDICTION), KEY], n

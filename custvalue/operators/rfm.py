@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from custvalue.config import RfmWeights
 from custvalue.functions import bins
 from custvalue.functions import expressions as X
-from custvalue.functions.ordering import pick_quantiles, long_values, positions
+from custvalue.functions.ordering import OrderStatistics, long_values, order_statistics, positions
 from custvalue.operators.customers import KEY, combine, distinct_counts, reference_date
 from custvalue.session import materialise
 
@@ -31,8 +31,8 @@ def rfm_base(lines: DataFrame, today: Column | None = None) -> DataFrame:
 def rfm_ranked(customers: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
     """Order the three measures (and any ``extra`` ones) in one range sort.
 
-    Returns ``metric, value, CustomerID`` with positions; every score edge,
-    rank cut and median of the customer table is read off this one table.
+    Returns ``metric, value, CustomerID`` with positions; every score edge, rank
+    cut and median of the customer table is read off this one table.
     """
     values = {
         "Recency": F.col("Recency"),
@@ -43,49 +43,38 @@ def rfm_ranked(customers: DataFrame, extra: dict[str, Column] | None = None) ->
     return positions(long_values(customers, values, [KEY]), ["value", KEY], group=["metric"])
 
 
-def metric_quantiles(placed: DataFrame, probabilities: list[float]) -> DataFrame:
-    """``metric, n, q0, q1, ...`` from a table with positions."""
-    spans = placed.select("metric", "value", "_n", F.col("_pos").alias("_low"), F.col("_pos").alias("_high"))
-    return pick_quantiles(spans, ["metric"], probabilities)
-
-
 SCORE_COLUMNS = ("RecencyScore", "FrequencyScore", "MonetaryScore")
+WANTED = {m: bins.edge_probabilities(SCORES) for m in ("Recency", "Frequency", "Monetary")}
 
 
 def rfm_scores(
-    customers: DataFrame, placed: DataFrame | None = None, weights: RfmWeights = RfmWeights()
+    customers: DataFrame,
+    orders: dict[str, OrderStatistics] | None = None,
+    weights: RfmWeights = RfmWeights(),
 ) -> DataFrame:
     """Add scores, the weighted score, the score code, and the segment with its code.
 
     ``customers`` holds CustomerID, Recency, Frequency and Monetary (and may hold
-    more columns). Without ``placed`` it is materialised first, as it is read
+    more columns). Without ``orders`` it is materialised first, as it is read
     again for the ordering.
     """
-    if placed is None:
+    if orders is None:
         customers = materialise(customers)
-        placed = rfm_ranked(customers)
-    probabilities = bins.edge_probabilities(SCORES)
-    edges = (
-        metric_quantiles(placed.where(F.col("metric") == "Recency"), probabilities)
-        .select(F.array(*[f"q{i}" for i in range(len(probabilities))]))
-        .scalar()
-    )
-    cuts = {m: bins.rank_cuts(placed, m, KEY, SCORES).scalar() for m in ("Frequency", "Monetary")}
-    known = customers.withColumns(
-        {"_edges": edges, "_frequency_cuts": cuts["Frequency"], "_monetary_cuts": cuts["Monetary"]}
-    )
+        orders = order_statistics(rfm_ranked(customers), KEY, WANTED)
+    edges = [orders["Recency"].quantile(p) for p in bins.edge_probabilities(SCORES)]
     spend = F.round("Monetary", MONETARY_DIGITS)
-    scored = known.withColumns(
+    scored = customers.withColumns(
         {
-            "RecencyScore": bins.quantile_score(F.col("Recency"), F.col("_edges"), SCORES, ascending=False),
-            "FrequencyScore": bins.rank_score(F.col("Frequency"), F.col(KEY), F.col("_frequency_cuts"), KEY),
-            "MonetaryScore": bins.rank_score(spend, F.col(KEY), F.col("_monetary_cuts"), KEY),
+            "RecencyScore": bins.quantile_score(F.col("Recency"), edges, ascending=False),
+            "FrequencyScore": bins.rank_score(F.col("Frequency"), F.col(KEY), orders["Frequency"], SCORES),
+            "MonetaryScore": bins.rank_score(spend, F.col(KEY), orders["Monetary"], SCORES),
         }
-    ).drop("_edges", "_frequency_cuts", "_monetary_cuts")
-    # A missing score takes the median score. Scores have five values at most, so
-    # the buffer of the median aggregate is tiny.
-    middle = scored.agg(F.struct(*[F.median(s).alias(s) for s in SCORE_COLUMNS])).scalar()
-    scored = scored.withColumns({s: F.coalesce(F.col(s), middle.getField(s)) for s in SCORE_COLUMNS})
+    )
+    if len({o.n for o in orders.values()}) > 1:  # some customer lacks a measure
+        # A missing score takes the median score. Scores have five values at most,
+        # so the buffer of the median aggregate is tiny.
+        middle = scored.agg(F.struct(*[F.median(s).alias(s) for s in SCORE_COLUMNS])).scalar()
+        scored = scored.withColumns({s: F.coalesce(F.col(s), middle.getField(s)) for s in SCORE_COLUMNS})
     return _named(scored, weights)
 
 
@@ -98,7 +87,7 @@ def _named(scored: DataFrame, weights: RfmWeights) -> DataFrame:
             "CustomerSegment": X.customer_segment(r, f, m),
         }
     )
-    # Codes number the segments that occur, in label order: at most seven of them.
-    present = named.agg(F.array_sort(F.collect_set("CustomerSegment"))).scalar()
-    code = F.array_position(present, F.col("CustomerSegment")) - 1
+    # Codes number the segments that occur, in label order: at most seven rows.
+    occurring = sorted(r[0] for r in named.select("CustomerSegment").distinct().collect())
+    code = F.array_position(F.array(*[F.lit(s) for s in occurring]), F.col("CustomerSegment")) - 1
     return named.withColumn("CustomerSegmentEncoded", code)

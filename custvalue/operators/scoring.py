@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custvalue.functions import expressions as X
-from custvalue.functions.ordering import quantiles
+from custvalue.functions.ordering import quantile_values
 from custvalue.operators import segments
 from custvalue.operators.customers import KEY
 from custvalue.operators.models import TrainedModel
@@ -83,8 +83,7 @@ def form_insights(model: TrainedModel, features: DataFrame, targets: DataFrame)
     """
     predictions = materialise(predict(model, features, fill="median"))
     by = KEY if KEY in targets.columns else None
-    table = quantiles(targets, {"target": F.col(model.target)}, [0.2, 0.4, 0.6, 0.8], unique_by=by)
-    edges = table.select(F.array("q0", "q1", "q2", "q3")).scalar()
-    segmented = segments.with_training_segment(predictions, edges)
+    edges = quantile_values(targets, {"target": F.col(model.target)}, [0.2, 0.4, 0.6, 0.8], unique_by=by)
+    segmented = segments.with_training_segment(predictions, edges["target"])
     ranked = segments.share_below(targets, model.target, segmented)
     return segments.with_short_actions(ranked, form=True)

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from custvalue.functions import bins
 from custvalue.functions import expressions as X
 from custvalue.functions.ordering import (
-    metric_scalar,
-    pick_quantiles,
+    order_statistics,
     positions,
     running_totals,
     with_row_index,
@@ -189,27 +188,17 @@ def value_segments(placed: DataFrame, n_segments: int = 5, ties: str = "error")
     ``ties='error'`` raises, ``ties='rank'`` cuts by unique rank instead.
     """
     labels = _texts(segment_labels(n_segments))
-    if ties == "rank":
-        named = placed.withColumn("metric", F.lit(PREDICTION))
-        cuts = bins.rank_cuts(named, PREDICTION, KEY, n_segments).scalar()
-        score = bins.rank_score(F.col("value"), F.col(KEY), F.col("_cuts"), KEY, n_segments)
-        label = F.element_at(labels, score.cast("int"))
-        return placed.withColumn("_cuts", cuts).withColumn("CLV_Segment", label).drop("_cuts")
     probabilities = bins.edge_probabilities(n_segments)
-    spans = placed.select(
-        F.lit(PREDICTION).alias("metric"), "value", "_n", F.col("_pos").alias("_low"), F.col("_pos").alias("_high")
-    )
-    table = pick_quantiles(spans, ["metric"], probabilities)
-    scalar = metric_scalar(table, PREDICTION, F.array(*[f"q{i}" for i in range(n_segments + 1)]))
-    edges = F.col("_edges")
-    label = F.element_at(labels, bins.edge_bucket(F.col("value"), edges, n_segments))
-    collapsed = F.raise_error(F.lit("Equal predictions collapse the segment edges; use ties='rank'"))
-    whole = bins.distinct_edges(edges, n_segments) == n_segments + 1
-    return (
-        placed.withColumn("_edges", scalar)
-        .withColumn("CLV_Segment", F.when(whole, label).otherwise(collapsed))
-        .drop("_edges")
-    )
+    named = placed.withColumn("metric", F.lit(PREDICTION))
+    order = order_statistics(named, KEY, {PREDICTION: probabilities})[PREDICTION]
+    if ties == "rank":
+        bucket = bins.rank_score(F.col("value"), F.col(KEY), order, n_segments).cast("int")
+    else:
+        edges = [order.quantile(p) for p in probabilities]
+        if len(bins.distinct_edges(edges)) <= n_segments:
+            raise ValueError("Equal predictions collapse the segment edges; use ties='rank'")
+        bucket = bins.edge_bucket(F.col("value"), edges)
+    return placed.withColumn("CLV_Segment", F.element_at(labels, bucket))
 
 
 def segment_statistics(segmented: DataFrame, value: str = PREDICTION) -> DataFrame:
@@ -232,11 +221,11 @@ def segment_customers(
     if KEY not in predictions.columns:
         predictions = with_generated_ids(predictions)
     placed = ordered_predictions(predictions)
-    segmented = bins.with_percentile(value_segments(placed, n_segments, ties), "CLV_Percentile")
-    segmented = segmented.select(KEY, F.col("value").alias(PREDICTION), "CLV_Segment", "CLV_Percentile")
+    labelled = value_segments(placed, n_segments, ties)
+    segmented = bins.with_percentile(labelled, "CLV_Percentile").select(KEY, F.col("value").alias(PREDICTION), "CLV_Segment", "CLV_Percentile")
     if not statistics:
         return segmented
-    stats = segment_statistics(value_segments(placed, n_segments, ties), "value")
+    stats = segment_statistics(labelled, "value")
     return segmented.join(F.broadcast(stats), "CLV_Segment", "left").select(
         KEY, PREDICTION, "CLV_Segment",
         "Segment_Mean_CLV", "Segment_Min_CLV", "Segment_Max_CLV", "Segment_Size",
@@ -274,17 +263,12 @@ def with_threshold_segment(predictions: DataFrame) -> DataFrame:
     return predictions.withColumn("CLV_Segment", X.threshold_segment(F.col(PREDICTION)))
 
 
-def with_training_segment(predictions: DataFrame, edges: Column) -> DataFrame:
-    """Segment by quantiles of the training target: ``edges`` is the array q20, q40, q60, q80."""
-    edge = F.col("_edges")
-    low, middle, upper, high = (F.col(PREDICTION) >= edge.getItem(i) for i in range(4))
+def with_training_segment(predictions: DataFrame, edges: list[float]) -> DataFrame:
+    """Segment by the 20, 40, 60 and 80 % quantiles of the training target."""
+    low, middle, upper, high = (F.col(PREDICTION) >= F.lit(edge) for edge in edges)
     names = X.VALUE_SEGMENTS
     label = F.when(high, names[4]).when(upper, names[3]).when(middle, names[2]).when(low, names[1])
-    return (
-        predictions.withColumn("_edges", edges)
-        .withColumn("CLV_Segment", label.otherwise(names[0]))
-        .drop("_edges")
-    )
+    return predictions.withColumn("CLV_Segment", label.otherwise(names[0]))
 
 
 def share_below(targets: DataFrame, target: str, predictions: DataFrame) -> DataFrame:

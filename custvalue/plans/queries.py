@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custvalue.functions import bins
-from custvalue.functions.ordering import quantiles
+from custvalue.functions.ordering import quantile_values
 from custvalue.operators import (
     behavior,
     clean,
@@ -75,13 +75,18 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.clean_data(raw(spark, sf_dir))
 
 
+def written_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned transactions for queries that aggregate them more than once."""
+    return materialise(lines(spark, sf_dir))
+
+
 def features(spark: SparkSession, sf_dir: str, **flags) -> DataFrame:
-    return build_features(materialise(lines(spark, sf_dir)), **flags)
+    return build_features(written_lines(spark, sf_dir), **flags)
 
 
 def stand_in_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rule in place of a model, so that everything downstream has exact results."""
-    cleaned = lines(spark, sf_dir)
+    cleaned = written_lines(spark, sf_dir)
     facts = combine(
         cleaned.groupBy(KEY).agg(F.avg("TotalAmount").alias("avg")),
         distinct_counts(cleaned, {"invoices": "InvoiceNo"}),
@@ -95,7 +100,7 @@ def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recency, frequency, value and tenure beside the prediction and its segment."""
-    cleaned = materialise(lines(spark, sf_dir))
+    cleaned = written_lines(spark, sf_dir)
     base = combine(
         rfm.rfm_base(cleaned), timing.time_features(cleaned).select(KEY, "CustomerTenure")
     )
@@ -109,7 +114,7 @@ def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rule-based models to evaluate: ``model, CustomerID, label, prediction``."""
-    cleaned = lines(spark, sf_dir)
+    cleaned = written_lines(spark, sf_dir)
     facts = combine(
         cleaned.groupBy(KEY).agg(F.sum("TotalAmount").alias("sum"), F.avg("TotalAmount").alias("avg")),
         distinct_counts(cleaned, {"invoices": "InvoiceNo"}),
@@ -177,20 +182,20 @@ def numeric_describe(spark, sf_dir):
 
 
 def customer_summary(spark, sf_dir):
-    return aggregate_by_customer(lines(spark, sf_dir))
+    return aggregate_by_customer(written_lines(spark, sf_dir))
 
 
 def summary_model_matrix(spark, sf_dir):
-    summary = materialise(aggregate_by_customer(lines(spark, sf_dir)))
+    summary = materialise(aggregate_by_customer(written_lines(spark, sf_dir)))
     return prepare.prepare_for_modeling(summary)[0]
 
 
 def rfm_base(spark, sf_dir):
-    return rfm.rfm_base(lines(spark, sf_dir))
+    return rfm.rfm_base(written_lines(spark, sf_dir))
 
 
 def _scored(spark, sf_dir):
-    return rfm.rfm_scores(rfm.rfm_base(lines(spark, sf_dir)))
+    return rfm.rfm_scores(rfm.rfm_base(written_lines(spark, sf_dir)))
 
 
 def rfm_scores(spark, sf_dir):
@@ -208,11 +213,11 @@ def segment_counts(spark, sf_dir):
 
 
 def behavioral_features(spark, sf_dir):
-    return behavior.behavioral_features(lines(spark, sf_dir))
+    return behavior.behavioral_features(written_lines(spark, sf_dir))
 
 
 def time_features(spark, sf_dir):
-    return timing.time_features(lines(spark, sf_dir))
+    return timing.time_features(written_lines(spark, sf_dir))
 
 
 def weekday_pivot(spark, sf_dir):
@@ -258,7 +263,7 @@ def feature_table_imputed(spark, sf_dir):
 
 
 def _summary_numbers(spark, sf_dir):
-    return materialise(aggregate_by_customer(lines(spark, sf_dir))).select(
+    return materialise(aggregate_by_customer(written_lines(spark, sf_dir))).select(
         KEY, "TotalRevenue", "StdOrderValue", "TotalQuantity", "Recency", "Tenure"
     )
 
@@ -337,9 +342,8 @@ def threshold_segments(spark, sf_dir):
 def training_quantile_segments(spark, sf_dir):
     rows = model_rows(spark, sf_dir).where(F.col("model") == "rule_x3")
     predicted = rows.select(KEY, F.col("prediction").alias(PREDICTION))
-    table = quantiles(rows, {"label": F.col("label")}, [0.2, 0.4, 0.6, 0.8], unique_by=KEY)
-    edges = table.select(F.array("q0", "q1", "q2", "q3")).scalar()
-    segmented_rows = segments.with_training_segment(predicted, edges)
+    edges = quantile_values(rows, {"label": F.col("label")}, [0.2, 0.4, 0.6, 0.8], unique_by=KEY)
+    segmented_rows = segments.with_training_segment(predicted, edges["label"])
     return segments.with_short_actions(
         segments.share_below(rows, "label", segmented_rows), form=True
     )
@@ -414,7 +418,7 @@ def prediction_histogram(spark, sf_dir):
 
 
 def feature_correlation(spark, sf_dir):
-    table = materialise(aggregate_by_customer(lines(spark, sf_dir)))
+    table = materialise(aggregate_by_customer(written_lines(spark, sf_dir)))
     return reports.correlation_matrix(table, prepare.numeric_columns(table)[:15])
 
 
