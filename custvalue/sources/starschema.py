@@ -11,45 +11,58 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Explicit schemas: only these columns are read, and no file footer is opened to find types.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_returnflag string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey bigint, p_name string",
+}
+
+
 def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight raw columns; dates and customers as text, as a CSV would hold them."""
+
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
-    lines = table("lineitem").select(
-        "l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag"
+    order, customer = F.col("o_orderkey"), F.col("o_custkey")
+    stamped = F.col("o_orderdate") + F.make_dt_interval(F.lit(0), (order % 24).cast("int"))
+    # Whatever depends on the order alone is made once per order, not once per line.
+    orders = (
+        table("orders")
+        .join(table("customer"), customer == F.col("c_custkey"))
+        .join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(
+            order,
+            F.date_format(stamped, "yyyy-MM-dd HH:mm:ss").alias("InvoiceDate"),
+            F.when(order % 50 != 7, F.concat(customer.cast("string"), F.lit(".0"))).alias("CustomerID"),
+            F.col("n_name").alias("Country"),
+            (customer % 101 == 5).alias("one_line_customer"),
+        )
     )
-    orders = table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    customers = table("customer").select("c_custkey", "c_nationkey")
-    nations = table("nation").select("n_nationkey", "n_name")
-    parts = table("part").select("p_partkey", "p_name")
-
+    lines = table("lineitem")
     # Copied rows: repeated before the joins, which then run once.
     lines = lines.unionByName(lines.where(F.col("l_orderkey") % 40 == 0))
-    joined = (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(customers, F.col("o_custkey") == customers.c_custkey)
-        .join(nations, F.col("c_nationkey") == nations.n_nationkey)
-        .join(parts, F.col("l_partkey") == parts.p_partkey)
-    )
-    returned = F.col("l_returnflag") == "R"
-    key, order = F.col("l_orderkey"), F.col("o_orderkey")
-    one_line_customer = F.col("o_custkey") % 101 == 5
-    its_line = (F.col("l_linenumber") == 1) & (order % 7 == 0)
-    hours = F.make_dt_interval(F.lit(0), (order % 24).cast("int"))
-    stamped = F.col("o_orderdate") + hours
+    key, returned = F.col("l_orderkey"), F.col("l_returnflag") == "R"
     quantity = F.col("l_quantity").cast("bigint")
-
-    return joined.where(~one_line_customer | its_line).select(
-        F.concat(F.when(returned, "CINV").otherwise("INV"), key.cast("string")).alias("InvoiceNo"),
-        F.concat(F.lit("STK"), F.col("l_partkey").cast("string")).alias("StockCode"),
-        F.col("p_name").alias("Description"),
-        F.when(returned, -quantity).otherwise(quantity).alias("Quantity"),
-        F.date_format(stamped, "yyyy-MM-dd HH:mm:ss").alias("InvoiceDate"),
-        F.when(key % 97 == 3, F.lit(0.0))
-        .otherwise(F.col("l_extendedprice") / F.col("l_quantity"))
-        .alias("UnitPrice"),
-        F.when(order % 50 != 7, F.concat(F.col("o_custkey").cast("string"), F.lit(".0"))).alias(
-            "CustomerID"
-        ),
-        F.col("n_name").alias("Country"),
+    its_line = (F.col("l_linenumber") == 1) & (key % 7 == 0)
+    return (
+        lines.join(orders, key == order)
+        .where(~F.col("one_line_customer") | its_line)
+        .join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
+        .select(
+            F.concat(F.when(returned, "CINV").otherwise("INV"), key.cast("string")).alias("InvoiceNo"),
+            F.concat(F.lit("STK"), F.col("l_partkey").cast("string")).alias("StockCode"),
+            F.col("p_name").alias("Description"),
+            F.when(returned, -quantity).otherwise(quantity).alias("Quantity"),
+            "InvoiceDate",
+            F.when(key % 97 == 3, F.lit(0.0))
+            .otherwise(F.col("l_extendedprice") / F.col("l_quantity"))
+            .alias("UnitPrice"),
+            "CustomerID",
+            "Country",
+        )
     )
