@@ -216,7 +216,13 @@ def pick_quantiles(spans: DataFrame, group: list[str], probabilities: list[float
     for i, p in enumerate(probabilities):
         q = _rational(p)
         share = f"(((n - 1) * {q.numerator} % {q.denominator}) / {q.denominator})"
-        between.append(F.expr(f"_lo{i} + (_hi{i} - _lo{i}) * {share} AS q{i}"))
+        # An infinite neighbour that carries no weight must not turn the result into NaN.
+        between.append(
+            F.expr(
+                f"CASE WHEN {share} = 0 OR _lo{i} = _hi{i} THEN _lo{i} "
+                f"ELSE _lo{i} + (_hi{i} - _lo{i}) * {share} END AS q{i}"
+            )
+        )
     return picked.select(*group, "n", *between)
 
 
@@ -237,7 +243,8 @@ class OrderStatistics:
         place, rest = divmod((self.n - 1) * q.numerator, q.denominator)
         low = self.rows[place][0]
         high = self.rows[min(place + 1, self.n - 1)][0]
-        return low + (high - low) * (rest / q.denominator)
+        # An infinite neighbour that carries no weight must not turn the result into NaN.
+        return low if rest == 0 or low == high else low + (high - low) * (rest / q.denominator)
 
     def at(self, p: float) -> tuple:
         """The row at place floor(p * (n - 1))."""
