@@ -47,10 +47,12 @@ def medians(lines: DataFrame, value: str, output: str, hot_lines: int) -> DataFr
     Ordinary customers use the ``median`` aggregate, whose buffer is bounded by
     the hot-customer limit. The lines of hot customers are counted per value and
     range-sorted, so no task ever holds one of those customers whole. Whether
-    there are any is checked with one narrow scan of the customer column.
+    there are any is checked first: a table of no more than ``hot_lines`` rows has
+    none (for Parquet the row count is metadata), otherwise one narrow scan of the
+    customer column tells.
     """
     hot = hot_customers(lines, hot_lines)
-    if hot.isEmpty():
+    if lines.count() <= hot_lines or hot.isEmpty():
         return lines.groupBy(KEY).agg(F.median(value).alias(output))
     ordinary = (
         lines.join(F.broadcast(hot), KEY, "left_anti").groupBy(KEY).agg(F.median(value).alias(output))

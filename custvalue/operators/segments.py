@@ -201,6 +201,12 @@ def value_segments(placed: DataFrame, n_segments: int = 5, ties: str = "error")
     return placed.withColumn("CLV_Segment", F.element_at(labels, bucket))
 
 
+def label_customers(predictions: DataFrame, n_segments: int = 5, ties: str = "error") -> DataFrame:
+    """``CustomerID, Predicted_CLV, CLV_Segment``: the segment alone, without percentiles."""
+    segmented = value_segments(ordered_predictions(predictions), n_segments, ties)
+    return segmented.select(KEY, F.col("value").alias(PREDICTION), "CLV_Segment")
+
+
 def segment_statistics(segmented: DataFrame, value: str = PREDICTION) -> DataFrame:
     return segmented.groupBy("CLV_Segment").agg(
         F.avg(value).alias("Segment_Mean_CLV"),

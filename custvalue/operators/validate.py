@@ -82,26 +82,14 @@ def null_profile(df: DataFrame, only_missing: bool = False) -> DataFrame:
 def distinct_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     """``column, distinct_count`` per column, nulls ignored.
 
-    The exact form first reduces every column to its distinct values in one
-    shuffle of (column, value) pairs with map-side combining, so no row is
-    expanded with all other columns in tow. ``approximate`` uses sketches: one
-    scan without a shuffle of the values.
+    Spark shuffles each column's values under their own hash before counting
+    them, so a frequent value is combined map-side and no task sees a whole
+    column. ``approximate`` uses sketches: one scan, no shuffle of the values.
     """
-    if approximate:
-        row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in df.columns])
-        cells = [
-            F.struct(F.lit(c).alias("column"), F.col(c).alias("distinct_count")) for c in df.columns
-        ]
-        return row.select(F.inline(F.array(*cells)))
-    cells = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.when(~_is_missing(df, c), F.col(c)).cast("string").alias("value"),
-        )
-        for c in df.columns
-    ]
-    pairs = df.select(F.inline(F.array(*cells))).distinct()
-    return pairs.groupBy("column").agg(F.count("value").alias("distinct_count"))
+    count = F.approx_count_distinct if approximate else F.count_distinct
+    row = df.agg(*[count(F.when(~_is_missing(df, c), F.col(c))).alias(c) for c in df.columns])
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).alias("distinct_count")) for c in df.columns]
+    return row.select(F.inline(F.array(*cells)))
 
 
 def numeric_describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

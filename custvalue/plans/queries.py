@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custvalue.functions import bins
+from custvalue.functions import expressions as X
 from custvalue.functions.ordering import quantile_values
 from custvalue.operators import (
     behavior,
@@ -27,7 +28,7 @@ from custvalue.operators import (
     timing,
     validate,
 )
-from custvalue.operators.customers import KEY, combine, distinct_counts, medians
+from custvalue.operators.customers import KEY, combine, distinct_counts, medians, reference_date
 from custvalue.operators.features import build_features
 from custvalue.operators.segments import PREDICTION
 from custvalue.operators.summary import aggregate_by_customer
@@ -98,18 +99,34 @@ def segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.segment_customers(stand_in_predictions(spark, sf_dir), statistics=False)
 
 
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions with their segment only, for reports that need no percentile."""
+    return segments.label_customers(stand_in_predictions(spark, sf_dir))
+
+
 def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recency, frequency, value and tenure beside the prediction and its segment."""
     cleaned = written_lines(spark, sf_dir)
-    base = combine(
-        rfm.rfm_base(cleaned), timing.time_features(cleaned).select(KEY, "CustomerTenure")
+    today = reference_date(cleaned)
+    facts = cleaned.groupBy(KEY).agg(
+        F.min("InvoiceDate").alias("first"),
+        F.max("InvoiceDate").alias("last"),
+        F.sum("TotalAmount").alias("Monetary"),
+        F.avg("TotalAmount").alias("avg"),
     )
-    facts = cleaned.groupBy(KEY).agg(F.avg("TotalAmount").alias("avg"))
-    base = materialise(combine(base, facts))
-    predicted = base.select(KEY, rounded(F.col("avg") * F.col("Frequency") * 1.1, 2).alias(PREDICTION))
-    return reports.with_predictions(
-        base.drop("avg"), segments.segment_customers(predicted, statistics=False)
+    customers = combine(facts, distinct_counts(cleaned, {"Frequency": "InvoiceNo"}))
+    base = materialise(
+        customers.select(
+            KEY,
+            X.whole_days(today, F.col("last")).alias("Recency"),
+            "Frequency",
+            "Monetary",
+            X.whole_days(today, F.col("first")).alias("CustomerTenure"),
+            rounded(F.col("avg") * F.col("Frequency") * 1.1, 2).alias(PREDICTION),
+        )
     )
+    predicted = segments.label_customers(base.select(KEY, PREDICTION))
+    return reports.with_predictions(base.drop(PREDICTION), predicted)
 
 
 def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -326,7 +343,7 @@ def percentile_rank(spark, sf_dir):
 
 
 def segment_stats(spark, sf_dir):
-    return segments.segment_statistics(segmented(spark, sf_dir))
+    return segments.segment_statistics(labelled(spark, sf_dir))
 
 
 def recommendations(spark, sf_dir):
@@ -357,15 +374,15 @@ def prediction_interval(spark, sf_dir):
 
 
 def segment_analysis(spark, sf_dir):
-    return reports.segment_analysis(segmented(spark, sf_dir))
+    return reports.segment_analysis(labelled(spark, sf_dir))
 
 
 def value_by_segment(spark, sf_dir):
-    return reports.value_by_segment(segmented(spark, sf_dir))
+    return reports.value_by_segment(labelled(spark, sf_dir))
 
 
 def predicted_segment_counts(spark, sf_dir):
-    return reports.value_counts(segmented(spark, sf_dir), "CLV_Segment")
+    return reports.value_counts(labelled(spark, sf_dir), "CLV_Segment")
 
 
 def filtered_predictions(spark, sf_dir):
@@ -373,7 +390,7 @@ def filtered_predictions(spark, sf_dir):
 
 
 def kpi_summary(spark, sf_dir):
-    return reports.kpi_summary(segmented(spark, sf_dir))
+    return reports.kpi_summary(labelled(spark, sf_dir))
 
 
 def pareto_curve(spark, sf_dir):
@@ -414,7 +431,7 @@ def value_histogram(spark, sf_dir):
 
 
 def prediction_histogram(spark, sf_dir):
-    return reports.histogram(segmented(spark, sf_dir), PREDICTION, by="CLV_Segment")
+    return reports.histogram(labelled(spark, sf_dir), PREDICTION, by="CLV_Segment")
 
 
 def feature_correlation(spark, sf_dir):
@@ -510,7 +527,7 @@ def learning_curve(spark, sf_dir):
 
 
 def scored_customers(spark, sf_dir):
-    training, table = _trained(spark, sf_dir, "random_forest")
+    training, table = _trained(spark, sf_dir, "linear_regression")
     return scoring.score_customers(training.best, table, ties="rank")
 
 
