@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from custvalue.functions import expressions as X
 from custvalue.operators.customers import KEY
+from custvalue.session import materialise
 
 COLUMNS = ["CohortSize", "CohortAvgSpend", "CohortMonthEncoded"]
 
@@ -48,4 +49,5 @@ def cohort_stats(lines: DataFrame) -> DataFrame:
 
 
 def cohort_features(lines: DataFrame) -> DataFrame:
-    return derive(lines.groupBy(KEY).agg(*cohort_measures())).select(KEY, *COLUMNS)
+    # The customer table is read for the months and again to attach them.
+    return derive(materialise(lines.groupBy(KEY).agg(*cohort_measures()))).select(KEY, *COLUMNS)

@@ -151,10 +151,13 @@ def profile_heatmap(profile: DataFrame) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50, by: str | None = None) -> DataFrame:
-    """Rows per equal-width bin (and group), empty bins left out: ``bin, bin_low, bin_high, count``."""
-    span = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high"))).scalar()
-    low, width = span.getField("low"), (span.getField("high") - span.getField("low")) / bins
-    place = F.when(width > 0, F.floor((F.col(value) - low) / width) + 1).otherwise(F.lit(1))
+    """Rows per equal-width bin (and group), empty bins left out: ``bin, bin_low, bin_high, count``.
+
+    The two ends of the range are fetched first, so ``df`` is read twice.
+    """
+    low, high = df.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    low, width = (low or 0.0), ((high or 0.0) - (low or 0.0)) / bins
+    place = F.floor((F.col(value) - low) / width) + 1 if width > 0 else F.lit(1)
     group = [by] if by else []
     counted = (
         df.where(F.col(value).isNotNull())
@@ -164,8 +167,8 @@ def histogram(df: DataFrame, value: str, bins: int = 50, by: str | None = None)
     return counted.select(
         *group,
         "bin",
-        (low + (F.col("bin") - 1) * width).alias("bin_low"),
-        (low + F.col("bin") * width).alias("bin_high"),
+        (F.lit(low) + (F.col("bin") - 1) * width).alias("bin_low"),
+        (F.lit(low) + F.col("bin") * width).alias("bin_high"),
         "count",
     )
 
