@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import os
+from dataclasses import dataclass, field, replace
 
 # Canonical transaction columns, in table order.
 TRANSACTION_COLUMNS = (
@@ -78,3 +79,65 @@ class Settings:
     @property
     def required_columns(self) -> list[str]:
         return [self.source_name(c) for c in TRANSACTION_COLUMNS]
+
+
+# Settings file keys of the transaction columns.
+COLUMN_KEYS = {
+    "invoice_no": "InvoiceNo",
+    "stock_code": "StockCode",
+    "description": "Description",
+    "quantity": "Quantity",
+    "invoice_date": "InvoiceDate",
+    "unit_price": "UnitPrice",
+    "customer_id": "CustomerID",
+    "country": "Country",
+}
+# Settings file keys of the other sections, with our names.
+WEIGHT_KEYS = {"recency_weight": "recency", "frequency_weight": "frequency", "monetary_weight": "monetary"}
+FOREST_KEYS = {"n_estimators": "trees", "max_depth": "depth", "min_samples_leaf": "min_leaf", "random_state": "seed"}
+BOOSTING_KEYS = {
+    "n_estimators": "rounds",
+    "max_depth": "depth",
+    "learning_rate": "rate",
+    "subsample": "row_sample",
+    "colsample_bytree": "column_sample",
+    "random_state": "seed",
+}
+
+
+def _updated(default, section: dict, keys: dict[str, str]):
+    return replace(default, **{ours: section[theirs] for theirs, ours in keys.items() if theirs in section})
+
+
+def settings_from(tree: dict) -> Settings:
+    """Settings from the nested mapping of a settings file; whatever is absent keeps its default."""
+    data, models = tree.get("data", {}), tree.get("models", {})
+    weights = tree.get("features", {}).get("rfm", {})
+    training = tree.get("training", {})
+    base = Settings()
+    named = {COLUMN_KEYS[k]: v for k, v in data.get("columns", {}).items() if k in COLUMN_KEYS}
+    return replace(
+        base,
+        columns=named,
+        encoding=data.get("encoding", base.encoding),
+        processed_path=data.get("processed_data_path", base.processed_path),
+        features_path=data.get("features_path", base.features_path),
+        models_path=models.get("save_path", base.models_path).rstrip("/"),
+        weights=_updated(base.weights, weights, WEIGHT_KEYS),
+        linear=_updated(base.linear, models.get("linear_regression", {}), {"fit_intercept": "fit_intercept"}),
+        forest=_updated(base.forest, models.get("random_forest", {}), FOREST_KEYS),
+        boosting=_updated(base.boosting, models.get("xgboost", {}), BOOSTING_KEYS),
+        test_share=training.get("test_size", base.test_share),
+        seed=training.get("random_state", base.seed),
+        folds=training.get("cross_validation_folds", base.folds),
+    )
+
+
+def load_settings(path: str | None) -> Settings:
+    """Settings from a YAML file on the driver; the defaults where there is no file."""
+    if path is None or not os.path.exists(path):
+        return Settings()
+    import yaml  # only needed for settings files
+
+    with open(path, encoding="utf-8") as file:
+        return settings_from(yaml.safe_load(file) or {})

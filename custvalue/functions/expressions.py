@@ -36,14 +36,17 @@ def whole_days(later: Column, earlier: Column) -> Column:
     return floor_days(elapsed_micros(later, earlier))
 
 
+# First and last hour of each part of the day, both included.
+PERIOD_HOURS = {"Night": (0, 6), "Morning": (7, 12), "Afternoon": (13, 18), "Evening": (19, 24)}
+
+
+def in_period(hour: Column, period: str) -> Column:
+    return hour.between(*PERIOD_HOURS[period])
+
+
 def time_period(hour: Column) -> Column:
-    """Time-of-day bucket; hours 0 and 6 both belong to the night."""
-    return (
-        F.when(hour.between(0, 6), "Night")
-        .when(hour <= 12, "Morning")
-        .when(hour <= 18, "Afternoon")
-        .when(hour <= 24, "Evening")
-    )
+    """Part of the day of an hour; hours 0 and 6 both belong to the night."""
+    return F.coalesce(*[F.when(in_period(hour, p), F.lit(p)) for p in PERIOD_HOURS])
 
 
 def month_key(ts: Column) -> Column:

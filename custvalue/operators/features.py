@@ -55,7 +55,8 @@ def build_features(
     if include_time:
         want(timing.weekday_measures() + timing.hour_measures())
 
-    blocks = [lines.groupBy(KEY).agg(*measures.values())]
+    clocked = timing.with_clock(lines) if include_time else lines
+    blocks = [clocked.groupBy(KEY).agg(*measures.values())]
     if uniques:
         blocks.append(distinct_counts(lines, uniques))
     if include_behavioral:

@@ -11,7 +11,7 @@ from custvalue.operators.customers import KEY, reference_date
 
 WEEKDAYS = [f"DOW_{d}" for d in range(7)]  # Monday first
 WEEKEND = ["DOW_5", "DOW_6"]
-PERIODS = ["Night", "Morning", "Afternoon", "Evening"]
+PERIODS = list(X.PERIOD_HOURS)
 
 PACE_COLUMNS = [
     "PurchaseCount", "CustomerTenure", "DaysSinceLastPurchase", "AvgDaysBetweenPurchases",
@@ -35,20 +35,29 @@ def pace_measures() -> list[Column]:
     ]
 
 
+def with_clock(lines: DataFrame) -> DataFrame:
+    """Weekday, hour and invoice flag of each line, computed once for all counters."""
+    return lines.withColumns(
+        {
+            "_day": F.weekday("InvoiceDate"),
+            "_hour": F.hour("InvoiceDate"),
+            "_counted": F.col("InvoiceNo").isNotNull(),
+        }
+    )
+
+
 def weekday_measures() -> list[Column]:
-    day, counted = F.weekday("InvoiceDate"), F.col("InvoiceNo").isNotNull()
-    return [F.count_if((day == d) & counted).alias(name) for d, name in enumerate(WEEKDAYS)]
+    return [F.count_if((F.col("_day") == d) & F.col("_counted")).alias(name) for d, name in enumerate(WEEKDAYS)]
 
 
 def hour_measures() -> list[Column]:
-    hour = F.hour("InvoiceDate")
-    period, counted = X.time_period(hour), F.col("InvoiceNo").isNotNull()
+    hour = F.col("_hour")
     return [
         F.avg(hour).alias("AvgPurchaseHour"),
         F.stddev_samp(hour).alias("StdPurchaseHour"),
         F.min(hour).alias("EarliestPurchaseHour"),
         F.max(hour).alias("LatestPurchaseHour"),
-        *[F.count_if((period == p) & counted).alias(f"Period_{p}") for p in PERIODS],
+        *[F.count_if(X.in_period(hour, p) & F.col("_counted")).alias(f"Period_{p}") for p in PERIODS],
     ]
 
 
@@ -82,16 +91,16 @@ def derive_weekdays(customers: DataFrame) -> DataFrame:
 
 
 def weekday_features(lines: DataFrame) -> DataFrame:
-    return derive_weekdays(lines.groupBy(KEY).agg(*weekday_measures())).select(KEY, *WEEKDAY_COLUMNS)
+    return derive_weekdays(with_clock(lines).groupBy(KEY).agg(*weekday_measures())).select(KEY, *WEEKDAY_COLUMNS)
 
 
 def hour_features(lines: DataFrame) -> DataFrame:
-    return lines.groupBy(KEY).agg(*hour_measures()).select(KEY, *HOUR_COLUMNS)
+    return with_clock(lines).groupBy(KEY).agg(*hour_measures()).select(KEY, *HOUR_COLUMNS)
 
 
 def time_features(lines: DataFrame, today: Column | None = None) -> DataFrame:
     today = reference_date(lines) if today is None else today
-    facts = lines.groupBy(KEY).agg(*pace_measures(), *weekday_measures(), *hour_measures())
+    facts = with_clock(lines).groupBy(KEY).agg(*pace_measures(), *weekday_measures(), *hour_measures())
     return derive_weekdays(derive_pace(facts, today)).select(KEY, *COLUMNS)
 
 

@@ -73,8 +73,11 @@ def load_and_validate(
 ) -> tuple[DataFrame, dict]:
     """Read transactions and compare their columns with the required ones.
 
-    The second value is metadata only; the data measures (nulls, duplicates) are
+    A configured encoding other than UTF-8 is used as it is. The second value is metadata only; the data measures (nulls, duplicates) are
     the DataFrames of :mod:`custvalue.operators.validate`.
     """
-    df = load_csv(spark, path, **options)
+    encoding = options.pop("encoding", None)
+    if encoding is None and ENCODINGS.get(settings.encoding.lower()) != "UTF-8":
+        encoding = settings.encoding
+    df = load_csv(spark, path, encoding, **options)
     return df, column_check(df, settings)

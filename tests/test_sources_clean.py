@@ -2,7 +2,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from custvalue.config import Settings
+from custvalue.config import Settings, load_settings
 from custvalue.operators import clean, validate
 from custvalue.sources.csv import load_and_validate, load_csv
 from custvalue.sources.sinks import save_predictions, save_processed_data, save_table
@@ -153,3 +153,19 @@ def test_partitioned_prediction_sink(spark, tmp_path):
     assert spark.read.parquet(path).where("CLV_Segment = 'High'").first()["CustomerID"] == "2"
     with pytest.raises(ValueError):
         save_table(df, str(tmp_path / "q"), fmt="xls")
+
+
+def test_settings_file(tmp_path):
+    path = tmp_path / "settings.yaml"
+    path.write_text(
+        "data:\n  columns:\n    customer_id: client\n"
+        "features:\n  rfm:\n    recency_weight: 0.5\n"
+        "models:\n  save_path: out/\n  random_forest:\n    n_estimators: 7\n  xgboost:\n    learning_rate: 0.3\n"
+        "training:\n  test_size: 0.3\n"
+    )
+    got = load_settings(str(path))
+    assert got.source_name("CustomerID") == "client" and got.source_name("Country") == "Country"
+    assert got.weights.recency == 0.5 and got.weights.monetary == 0.40
+    assert got.forest.trees == 7 and got.forest.depth == 10 and got.boosting.rate == 0.3
+    assert got.models_path == "out" and got.test_share == 0.3
+    assert load_settings(str(tmp_path / "absent.yaml")) == Settings()
