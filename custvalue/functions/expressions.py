@@ -50,7 +50,8 @@ def time_period(hour: Column) -> Column:
 
 
 def month_key(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM")
+    """``yyyy-MM`` of a zone-less timestamp; a cast, unlike formatting, ignores the session time zone."""
+    return F.substring(ts.cast("string"), 1, 7)
 
 
 # --- arithmetic ------------------------------------------------------------

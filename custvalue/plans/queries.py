@@ -55,10 +55,8 @@ def tidy(df: DataFrame) -> DataFrame:
             c = rounded(c)
         elif kind in ("int", "smallint", "tinyint"):
             c = c.cast("bigint")
-        elif kind.startswith("timestamp"):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-        elif kind == "date":
-            c = F.date_format(c, "yyyy-MM-dd")
+        elif kind.startswith("timestamp") or kind == "date":
+            c = c.cast("string")
         elif kind == "array<string>":
             c = F.array_join(c, " | ")
         out.append(c.alias(name))

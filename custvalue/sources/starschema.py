@@ -37,7 +37,7 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             order,
-            F.date_format(stamped, "yyyy-MM-dd HH:mm:ss").alias("InvoiceDate"),
+            stamped.cast("string").alias("InvoiceDate"),
             F.when(order % 50 != 7, F.concat(customer.cast("string"), F.lit(".0"))).alias("CustomerID"),
             F.col("n_name").alias("Country"),
             (customer % 101 == 5).alias("one_line_customer"),
