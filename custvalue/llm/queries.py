@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custvalue.llm import ann, topk, urls
+from custvalue.llm import ann, packing, simhash, tokenfile, topk, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TOKENIZER, VOCABULARY = public_tokenizers.path("byte_bpe_50k.json"), 50257
+
 URL_RULES = (
     urls.Rule("allow", "com/"),
     urls.Rule("block", "example.com/en/"),
@@ -31,6 +34,11 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, distance=2)
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty nearest vectors found for every twentieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -38,6 +46,12 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut and packed into sequences of at most 2048 tokens."""
+    packed = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, packing.Limits(tokens=2048), end_id=1, with_ids=False)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all page urls; a page's labelled outcome is the label of its id: bad if toxic or of low quality."""
     labels = table(spark, sf_dir, "labels")
@@ -47,8 +61,18 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to bit-packed files and read back from them."""
+    folder = tokenfile.new_folder(spark, "token-files")
+    files = tokenfile.write(table(spark, sf_dir, "documents"), folder, TOKENIZER, VOCABULARY, end_id=0)
+    return tokenfile.read(files, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Query] = {
     "op1_topk": op1_topk,
+    "op4_simhash": op4_simhash,
     "op5_ann": op5_ann,
+    "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,
+    "op9_token_file": op9_token_file,
 }
