@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custvalue.llm import ann, packing, simhash, tokenfile, topk, urls
+from custvalue.llm import ann, html, langid, packing, simhash, tokenfile, topk, toxicity, urls
+from custvalue.llm.labelled import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +35,11 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, distance=2)
@@ -46,6 +52,20 @@ def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def language_model(docs: DataFrame) -> langid.Model:
+    """The model learned from texts and languages of the documents that are not held out."""
+    taught = docs.filter((remainder(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull())
+    return langid.fit_on(taught, langid.Settings(), "doc_id", "text", "lang")
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict_languages(docs, language_model(docs))
+    held_out = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents cut and packed into sequences of at most 2048 tokens."""
     packed = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, packing.Limits(tokens=2048), end_id=1, with_ids=False)
@@ -68,11 +88,29 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(files, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def toxic_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, label`` of the labelled documents that are not held out."""
+    labels = table(spark, sf_dir, "labels").filter(remainder(F.col("doc_id"), 5) != 0)
+    return labels.select("doc_id", F.col("toxic").alias("label"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents"), toxic_labels(spark, sf_dir))
+    held_out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_topk": op1_topk,
+    "op2_html": op2_html,
     "op4_simhash": op4_simhash,
     "op5_ann": op5_ann,
+    "op6_langid": op6_langid,
     "op7_packing": op7_packing,
     "op8_url_filter": op8_url_filter,
     "op9_token_file": op9_token_file,
+    "op10_toxicity": op10_toxicity,
 }
