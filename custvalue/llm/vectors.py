@@ -46,10 +46,14 @@ class Grid:
     candidate_blocks: int
 
 
-def plan_grid(queries: int, candidates: int, tasks: int, query_block: int, candidate_block: int) -> Grid:
-    """Blocks of at most about the given rows, and cells enough for ``tasks`` tasks."""
+def plan_grid(queries: int, candidates: int, tasks: int, query_block: int, candidate_block: int, least: int = 2048) -> Grid:
+    """Blocks of at most about the given rows, and cells enough for ``tasks`` tasks.
+
+    Every cell may return some rows for each of its queries, so candidate blocks
+    are not cut below ``least`` rows for the sake of more tasks.
+    """
     a = max(1, math.ceil(queries / query_block))
-    b = max(1, math.ceil(candidates / candidate_block), math.ceil(tasks / a))
+    b = max(1, math.ceil(candidates / candidate_block), min(math.ceil(tasks / a), math.ceil(candidates / least)))
     return Grid(a, b)
 
 
