@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custvalue.llm import ann, html, langid, packing, simhash, tokenfile, topk, toxicity, urls
+from custvalue.llm import ann, html, langid, packing, pieces, simhash, tokenfile, topk, toxicity, urls
 from custvalue.llm.labelled import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER, VOCABULARY = public_tokenizers.path("byte_bpe_50k.json"), 50257
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 URL_RULES = (
     urls.Rule("allow", "com/"),
@@ -40,6 +41,12 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of the pieces of every document, and whether they decode to its text."""
+    vocab = pieces.vocabulary(PIECE_MODEL)
+    return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), vocab))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, distance=2)
@@ -106,6 +113,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_topk": op1_topk,
     "op2_html": op2_html,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_simhash": op4_simhash,
     "op5_ann": op5_ann,
     "op6_langid": op6_langid,
