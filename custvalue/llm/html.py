@@ -54,7 +54,7 @@ BOILERPLATE_NAMES = frozenset(
 ARTICLE_NAMES = frozenset("article articlebody content entry main maincontent post story".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
-_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 _WORD = re.compile(r"[^\W\d_]+")
 _PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
@@ -82,7 +82,7 @@ class Block:
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): m[2].strip("\"'") for m in _ATTRIBUTE.finditer(text[:4096])}
+    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(text[:4096])}
 
 
 def _role(name: str, attributes: str, inside_article: bool) -> str | None:

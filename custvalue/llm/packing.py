@@ -160,7 +160,7 @@ def sequences(examples: Iterable[tuple[object, np.ndarray, int]], limits: Limits
         if piece.length:
             pool.add(piece)
         while pool.tokens > limits.pool_tokens:
-            for _ in range(pool.tokens // (2 * limits.tokens)):
+            for _ in range(max(1, pool.tokens // (2 * limits.tokens))):
                 yield _fill(pool, limits)
     while pool.tokens:
         filled = _fill(pool, limits)
