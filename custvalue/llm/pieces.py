@@ -280,7 +280,7 @@ def _by_broadcast(docs: DataFrame, words: DataFrame) -> DataFrame:
                     [
                         batch.column("doc_id"),
                         pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32())),
-                        pa.array(np.diff(wrong) == 0),
+                        pa.array((np.diff(wrong) == 0) & batch.column("plain").to_numpy(zero_copy_only=False)),
                     ],
                     ["doc_id", "ids", "round_trip"],
                 )
@@ -291,13 +291,13 @@ def _by_broadcast(docs: DataFrame, words: DataFrame) -> DataFrame:
 def _by_join(docs: DataFrame, words: DataFrame) -> DataFrame:
     """Ids of the documents by a join of every segment, whatever the size of the words' table."""
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    parts = rows.select("_row", "doc_id", F.posexplode_outer("segments").alias("at", "word"))
+    parts = rows.select("_row", "doc_id", "plain", F.posexplode_outer("segments").alias("at", "word"))
     joined = parts.join(words, "word", "left")
-    grouped = joined.groupBy("_row", "doc_id").agg(
+    grouped = joined.groupBy("_row", "doc_id", "plain").agg(
         F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"), F.bool_and("same").alias("same")
     )
     ids = F.flatten(F.transform(F.filter("parts", lambda p: p["ids"].isNotNull()), lambda p: p["ids"]))
-    return grouped.select("doc_id", ids.alias("ids"), F.coalesce("same", F.lit(True)).alias("round_trip"))
+    return grouped.select("doc_id", ids.alias("ids"), (F.coalesce("same", F.lit(True)) & F.col("plain")).alias("round_trip"))
 
 
 def encode(
@@ -311,7 +311,11 @@ def encode(
     whatever their names, are not read. The table of distinct segments is sent
     to the tasks if it has at most ``broadcast_bytes``, and joined otherwise.
     """
-    docs = df.select(df[id_col].cast("long").alias("doc_id"), segments(df[text_col], vocab).alias("segments"))
+    docs = df.select(
+        df[id_col].cast("long").alias("doc_id"),
+        segments(df[text_col], vocab).alias("segments"),
+        F.coalesce(~F.contains(df[text_col], F.lit(SPACE)), F.lit(True)).alias("plain"),
+    )
     words = encode_words(materialise(docs.select(F.explode("segments").alias("word")).distinct()), vocab)
     back = decode(words.repartition("word"), vocab, ["word", "ids"])
     spaced = F.translate("word", SPACE, " ")
