@@ -16,8 +16,9 @@ by its highest window and a clean one by its highest two and another.
 from __future__ import annotations
 
 import math
+import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from custvalue.llm.labelled import sample_per_class
 
 KNOWN_WORDS = 600_000
+EDGES = string.punctuation + "«»“”„‘’…–—·¡¿"
 
 
 @dataclass(frozen=True)
@@ -37,12 +39,14 @@ class Settings:
     per_class: int = 4000
     document_sample: int = 1000
     buckets: int = 1 << 18
-    dim: int = 8
+    dim: int = 4
     shortest: int = 3
     longest: int = 5
     window: int = 32
     document_epochs: int = 2
-    window_rounds: int = 8
+    window_rounds: int = 6
+    windows_seen: int = 60_000
+    most_rounds: int = 40
     toxic_weight: float = 3.0
     rate: float = 2.0
     damping: float = 0.01
@@ -54,20 +58,38 @@ def words(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def subwords(word: str, settings: Settings) -> list[int]:
-    """Rows of the table for a word without the signs around it: the word and its character n-grams."""
-    start, end = 0, len(word)
-    while start < end and not word[start].isalnum():
-        start += 1
-    while end > start and not word[end - 1].isalnum():
-        end -= 1
-    if start == end:
-        return []
-    marked = f"<{word[start:end]}>"[:200]
-    grams = {marked}
-    for n in range(settings.shortest, settings.longest + 1):
-        grams.update(marked[i : i + n] for i in range(len(marked) - n + 1))
-    return [zlib.crc32(g.encode("utf-8", "replace")) % settings.buckets for g in grams]
+def subwords(found: Sequence[str], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the table for words without the signs around them, and the place of each row's word.
+
+    A word's rows are those of the word itself and of its character n-grams,
+    marked at both ends; a word of signs alone has none. All words are hashed at
+    once, character by character.
+    """
+    bare = [w.strip(EDGES)[:200] for w in found]
+    points = np.frombuffer("".join(f"<{w}>" for w in bare).encode("utf-32-le", "replace"), "<u4").astype(np.uint32)
+    sizes = np.array([len(w) + 2 for w in bare], np.int64)
+    word = np.repeat(np.arange(len(bare)), sizes)
+    inside = np.arange(len(points)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+    def mixed(code: np.ndarray) -> np.ndarray:
+        code = (code ^ (code >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+        code = (code ^ (code >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        return (code ^ (code >> np.uint32(16))) % np.uint32(settings.buckets)
+
+    rows, places = [], []
+    code = np.zeros(len(points), np.uint32)
+    for n in range(1, settings.longest + 1):
+        code = code[: len(points) - n + 1] * np.uint32(0x9E3779B1) + points[n - 1 :] + np.uint32(n)
+        if n >= settings.shortest:
+            whole = word[: len(code)] == word[n - 1 :]
+            rows.append(mixed(code)[whole])
+            places.append(word[: len(code)][whole])
+    powers = np.cumprod(np.full(204, 0x01000193, np.uint32), dtype=np.uint32)
+    full = np.bincount(word, (points * powers[inside]).astype(np.float64), len(bare)).astype(np.uint64)
+    named = sizes > 2
+    rows.append(mixed((full & np.uint64(0xFFFFFFFF)).astype(np.uint32))[named])
+    places.append(np.flatnonzero(named))
+    return np.concatenate(rows).astype(np.int32), np.concatenate(places)
 
 
 def windows_of(n: int, window: int) -> np.ndarray:
@@ -82,9 +104,14 @@ class Bags:
     def __init__(self, texts: list[str | None], settings: Settings):
         numbers: dict[str, int] = {}
         self.documents = [np.array([numbers.setdefault(w, len(numbers)) for w in words(t)], np.int64) for t in texts]
-        rows = [subwords(w, settings) for w in numbers]
-        self.starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        self.rows = np.fromiter((x for r in rows for x in r), np.int32)
+        names, parts, counts = list(numbers), [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+        for first in range(0, len(names), 20_000):
+            some = names[first : first + 20_000]
+            rows, places = subwords(some, settings)
+            parts.append(rows[np.argsort(places, kind="stable")])
+            counts.append(np.bincount(places, minlength=len(some)))
+        self.rows = np.concatenate(parts)
+        self.starts = np.cumsum(np.concatenate(counts))
 
     def features(self, bag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Table rows of the words of a bag, each with its share of its word."""
@@ -120,12 +147,13 @@ def _train(model: Model, bags: Bags, chosen: list[np.ndarray], sizes: np.ndarray
     far as frequent ones: a subword counts by how often it helps.
     """
     settings = model.settings
+    size = 128 if not even else 32  # whole documents are large bags
     share = np.bincount(labels, minlength=2)
     weight = (len(labels) / 2 / np.maximum(share, 1))[labels] if even else np.where(labels == 1, settings.toxic_weight, 1.0)
     for _ in range(epochs):
         order = rng.permutation(len(chosen))
-        for first in range(0, len(order), 128):
-            batch = order[first : first + 128]
+        for first in range(0, len(order), size):
+            batch = order[first : first + size]
             found = [bags.features(chosen[i]) for i in batch]
             of = np.repeat(np.arange(len(batch)), [len(f) for f, _ in found])
             rows = np.concatenate([f for f, _ in found])
@@ -162,7 +190,8 @@ def fit(texts: list[str | None], labels: list[int], settings: Settings = Setting
     some = np.concatenate([rng.permutation(np.flatnonzero(y == c))[: settings.document_sample] for c in (0, 1)])
     _train(model, bags, [bags.documents[i] for i in some], lengths[some], y[some], settings.document_epochs, True, rng, seen)
     cuts = [windows_of(len(d), settings.window) for d in bags.documents]
-    for _ in range(settings.window_rounds):
+    rounds = used = 0
+    while rounds < settings.window_rounds or (used < settings.windows_seen and rounds < settings.most_rounds):
         weights = model.table @ (model.layer[:, 1] - model.layer[:, 0])
         sums = np.concatenate([[0], np.cumsum(weights[bags.rows])])
         value = (sums[bags.starts[1:]] - sums[bags.starts[:-1]]) / np.maximum(np.diff(bags.starts), 1)
@@ -176,28 +205,31 @@ def fit(texts: list[str | None], labels: list[int], settings: Settings = Setting
                 parts = [parts[i] for i in sorted({*top.tolist(), int(rng.integers(len(parts)))})]
             chosen += parts
             marks += [label] * len(parts)
+        rounds, used = rounds + 1, used + len(chosen)
         sizes = np.full(len(chosen), float(settings.window))
         _train(model, bags, chosen, sizes, np.array(marks), 1, False, rng, seen)
     fitted = Model(settings, model.table, model.layer, model.bias)
     scorer = Scorer(fitted.weights, fitted.offset, settings)
-    fitted.bias[1] -= _cut(np.array([scorer.logit(t) for t in texts]), y)
+    logits = [z for first in range(0, len(texts), 500) for z in scorer.logits(texts[first : first + 500])]
+    fitted.bias[1] -= _cut(np.array(logits), y)
     return fitted
 
 
 def _cut(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The cut of the sample's logits with the smallest sum of both error rates.
+    """Where to cut the sample's logits.
 
-    Of equally good cuts, one near the lowest: fitted toxic documents score
-    higher than new ones, whose words the fit has not seen.
+    The lowest cut with the smallest sum of both error rates, moved half of the
+    way down to the 99.9th percentile of the clean documents if that is lower:
+    fitted toxic documents score higher than new ones, whose words the fit has
+    not seen.
     """
     order = np.argsort(logits, kind="stable")
     z, toxic = logits[order], labels[order] == 1
     missed = np.concatenate([[0], np.cumsum(toxic)]) / max(1, toxic.sum())
     raised = np.concatenate([[0], np.cumsum(~toxic)]) / max(1, (~toxic).sum())
-    wrong = missed + 1 - raised
     edges = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
-    best = edges[wrong <= wrong.min() + 1e-12]
-    return float(best[0] + (best[-1] - best[0]) / 20)
+    lowest = edges[np.argmin(missed + 1 - raised)]
+    return float((lowest + min(lowest, np.quantile(z[~toxic], 0.999))) / 2)
 
 
 class Scorer:
@@ -207,24 +239,30 @@ class Scorer:
         self.weights, self.offset, self.settings = weights, offset, settings
         self.known: dict[str, float] = {}
 
-    def _value(self, word: str) -> float:
-        rows = subwords(word, self.settings)
-        self.known[word] = value = float(self.weights[rows].mean()) if rows else 0.0
-        return value
+    def _learn(self, new: list[str]) -> None:
+        rows, places = subwords(new, self.settings)
+        sums = np.bincount(places, self.weights[rows], len(new))
+        values = sums / np.maximum(1, np.bincount(places, minlength=len(new)))
+        self.known.update(zip(new, values.tolist()))
 
-    def logit(self, text: str | None) -> float:
-        if len(self.known) > KNOWN_WORDS:
+    def logits(self, texts: Sequence[str | None]) -> list[float]:
+        found = [words(t) for t in texts]
+        new = set().union(*found).difference(self.known)
+        if len(self.known) + len(new) > KNOWN_WORDS:
             self.known.clear()
-        found, known = words(text), self.known
-        for w in set(found).difference(known):
-            self._value(w)
-        cuts = windows_of(len(found), self.settings.window).tolist()
-        top = max(sum(map(known.__getitem__, set(found[a:b]))) for a, b in zip(cuts, cuts[1:]))
-        return top / self.settings.window + self.offset
+            new = set().union(*found)
+        if new:
+            self._learn(sorted(new))
+        value, out = self.known.__getitem__, []
+        for text in found:
+            cuts = windows_of(len(text), self.settings.window).tolist()
+            top = max(sum(map(value, set(text[a:b]))) for a, b in zip(cuts, cuts[1:]))
+            out.append(top / self.settings.window + self.offset)
+        return out
 
-    def score(self, text: str | None) -> float:
-        """The highest softmax score of a window; a text without words scores as an empty window."""
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.logit(text)))))
+    def scores(self, texts: Sequence[str | None]) -> list[float]:
+        """The highest softmax score of a window of each text; one without words scores as an empty window."""
+        return [1 / (1 + math.exp(-max(-40.0, min(40.0, z)))) for z in self.logits(texts)]
 
 
 def fit_on(df: DataFrame, labels: DataFrame, settings: Settings, id_col: str, text_col: str) -> Model:
@@ -262,8 +300,8 @@ def score_documents(
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [score(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], ["doc_id", "score"])
+            found = pa.array(score(batch.column("text")), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "score"])
 
     texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     return texts.mapInArrow(rows, "doc_id long, score double")
@@ -283,7 +321,7 @@ def drop_toxic(
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([score(t.as_py()) < threshold for t in batch.column(place)], pa.bool_()))
+            yield batch.filter(pa.array([s < threshold for s in score(batch.column(place))], pa.bool_()))
 
     return df.mapInArrow(rows, df.schema)
 
@@ -292,14 +330,17 @@ _SCORERS: dict[int, Scorer] = {}  # in a Python process of an executor: the last
 
 
 def _scoring(spark, model: Model):
-    """A function of texts for tasks; a Python process keeps the scorer, and so its table of words, between batches."""
+    """A function of a column of texts for tasks; a Python process keeps the scorer, and so its table of words, between batches."""
     shared = spark.sparkContext.broadcast((model.weights, model.offset, model.settings))
     name = zlib.crc32(model.weights.tobytes() + repr((model.offset, model.settings)).encode())
 
-    def score(text: str | None) -> float:
+    def score(texts: pa.Array) -> list[float]:
         if name not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[name] = Scorer(*shared.value)
-        return _SCORERS[name].score(text)
+        scorer, out = _SCORERS[name], []
+        for first in range(0, len(texts), 200):
+            out += scorer.scores([t.as_py() for t in texts.slice(first, 200)])
+        return out
 
     return score
