@@ -19,12 +19,16 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def lines(spark):
-    return Q.lines(spark, SF_DIR).persist()
+    cached = Q.lines(spark, SF_DIR).persist()
+    yield cached
+    cached.unpersist()  # or later plans of the same query would read it
 
 
 @pytest.fixture(scope="module")
 def table(lines):
-    return features.build_features(lines).persist()
+    cached = features.build_features(lines).persist()
+    yield cached
+    cached.unpersist()
 
 
 def moments(spark, *texts):

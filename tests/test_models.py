@@ -20,7 +20,9 @@ def data(spark):
     for i in range(300):
         a, b, c = rng.gauss(0, 1), rng.gauss(5, 3), rng.random()
         rows.append((str(i), a, b, c, 500 + 40 * a + 9 * b + rng.gauss(0, 1)))
-    return spark.createDataFrame(rows, "CustomerID string, a double, b double, c double, y double").persist()
+    cached = spark.createDataFrame(rows, "CustomerID string, a double, b double, c double, y double").persist()
+    yield cached
+    cached.unpersist()
 
 
 @pytest.fixture(scope="module")
