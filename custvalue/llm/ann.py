@@ -134,6 +134,7 @@ def _search(k: int, first: int, epsilon: float, centres: dict[int, np.ndarray],
                 exact[np.take_along_axis(own, top, axis=1)] = -np.inf
                 kth = np.sort(exact, axis=1)[:, -min(k, take)] if take >= k else np.full(n, -np.inf)
                 upper = estimate + bound
+                np.put_along_axis(upper, top, np.inf, axis=1)  # reranked already: none of them is lost to a bad estimate
                 r, col = np.nonzero((upper >= (kth - 1e-5 * np.abs(kth))[:, None].astype(np.float32)) & ~own)
                 score = rerank(q[rows], c, r, col)
                 enough = score >= kth[r]  # the cell's k-th exact score: what lies below is not among the k nearest

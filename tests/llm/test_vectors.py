@@ -117,3 +117,13 @@ def test_blocks_follow_the_data():
     assert V.plan_grid(0, 0, 8, 100, 100) == V.Grid(1, 1)
     assert V.plan_grid(1000, 10**6, 8, 100, 10**4) == V.Grid(10, 100)
     assert V.plan_grid(10, 10_000, 200, 100, 10**5) == V.Grid(1, 5)
+
+
+def test_no_neighbour_is_lost_to_a_bad_estimate(spark):
+    rows = random_vectors(300, 4, 9)  # codes of four bits estimate badly
+    df = table(spark, rows)
+    got = ann.nearest(df.filter("vec_id % 20 = 0"), df, 20, epsilon=0.0, candidate_block=100).collect()
+    counts = {}
+    for r in got:
+        counts[r["query_id"]] = counts.get(r["query_id"], 0) + 1
+    assert counts == {i: 20 for i in range(0, 300, 20)}
