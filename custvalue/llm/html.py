@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,6 +41,7 @@ BLOCKS = frozenset(
     select summary table tbody td tfoot th thead tr ul
     """.split()
 )
+NOT_P = BLOCKS - {"p"}
 BOILERPLATE = frozenset("nav aside footer form head menu dialog button select label legend fieldset".split())
 ARTICLE = frozenset("article main".split())
 BOILERPLATE_NAMES = frozenset(
@@ -110,7 +112,8 @@ def blocks(page: str) -> Iterator[Block]:
     """The non-empty blocks of a page in their order; broken markup is read as far as it goes."""
     stack: list[tuple[str, str | None]] = []
     parts: list[str] = []
-    linked = breaks = links = boilerplate = article = 0
+    linked = breaks = boilerplate = article = 0
+    held: Counter[str] = Counter()  # open elements by name
     at, size = 0, len(page)
 
     def flush():
@@ -121,15 +124,17 @@ def blocks(page: str) -> Iterator[Block]:
         return [block] if block else []
 
     def close(depth: int):
-        nonlocal boilerplate, article, links
+        nonlocal boilerplate, article
         for name, role in stack[depth:]:
             boilerplate -= role == "boilerplate"
             article -= role == "article"
-            links -= name == "a"
+            held[name] -= 1
         del stack[depth:]
 
     def innermost(names) -> int | None:
-        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in names), None)
+        if not any(held[n] for n in names):
+            return None
+        return next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in names)
 
     while at < size:
         mark = page.find("<", at)
@@ -140,7 +145,7 @@ def blocks(page: str) -> Iterator[Block]:
             parts.append(text)
             if text.strip():
                 breaks = 0
-                if links:
+                if held["a"]:
                     linked += len(text.strip())
         if mark == size:
             break
@@ -187,7 +192,7 @@ def blocks(page: str) -> Iterator[Block]:
         if tag in BLOCKS:
             if tag not in ("html", "head") and stack and (depth := innermost(("head",))) is not None and tag not in RAW:
                 close(depth)
-            if (depth := innermost(("p", "a"))) is not None and depth > (innermost(BLOCKS - {"p"}) or -1):
+            if (depth := innermost(("p", "a"))) is not None and depth > (innermost(NOT_P) or -1):
                 close(depth)
             if tag in ARTICLE:  # menus, headers and forms do not hold articles: one that is open was not closed
                 while (depth := innermost(("nav", "header", "footer", "form", "menu"))) is not None:
@@ -201,7 +206,7 @@ def blocks(page: str) -> Iterator[Block]:
             stack.append((tag, role))
             boilerplate += role == "boilerplate"
             article += role == "article"
-            links += tag == "a"
+            held[tag] += 1
     yield from flush()
 
 

@@ -56,7 +56,7 @@ def test_registered_pages_equal_their_article_elements(spark):
 def test_null_repeated_long_and_empty_tables(spark):
     schema = "page_id long, url string, html string, text string, n_chars int"
     rows = [(1, "u", "<article><p>é x</p>", "clash", 7), (1, "u", "<article><p>é x</p>", "clash", 7), (None, None, None, None, None)]
-    rows.append((2, "u", "<article>" + "<p>word</p>" * 50_000 + "<div>" * 5_000, "", 0))
+    rows.append((2, "u", "<article>" + "<p>word</p>" * 50_000 + "<div>" * 100_000, "", 0))
     got = H.extract_pages(spark.createDataFrame(rows, schema)).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, 3), (1, 3), (2, 6 * 50_000 - 2)]
     assert H.extract_pages(spark.createDataFrame([], schema)).collect() == []
