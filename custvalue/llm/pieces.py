@@ -32,6 +32,7 @@ SPACE = "▁"
 # Layout of an edge in 63 bits, from the lowest: id, length, start, rank.
 _ID, _LENGTH, _START, _RANK = (17, 0), (5, 17), (24, 22), (17, 46)
 _NONE = (1 << 17) - 1  # id and rank of a character that is no piece
+WORDS_PER_TASK = 20_000
 _MASKED = 62  # segments of at most so many characters are folded as bits of a long
 
 
@@ -71,13 +72,27 @@ def _piece_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
     )
 
 
-def segments(text: Column, vocab: Vocabulary) -> Column:
-    """Array of a text's segments, spaces written as the space sign; empty for a null or empty text."""
-    cut = f"(?<=[^{SPACE}])(?={SPACE})"
-    if not any("\n" in p for p, _, _ in vocab.pieces):
-        cut += "|(?<=\n)|(?=\n)"
-    marked = F.concat(F.lit(SPACE), F.translate(text, " ", SPACE))
-    return F.when(F.length(text) > 0, F.split(marked, cut)).otherwise(F.array().cast("array<string>"))
+def raw_segments(text: Column, vocab: Vocabulary) -> Column:
+    """Array of a text's segments, without the space sign that all but those after a line feed begin with.
+
+    Empty for a null or empty text. Texts with single spaces are cut by plain
+    text functions; a regular expression cuts the others.
+    """
+    lines = not any("\n" in p for p, _, _ in vocab.pieces)  # else line feeds are as other characters
+    spaced = F.replace(text, F.lit("\n"), F.lit(" \n")) if lines else text
+    plain = ~(F.startswith(spaced, F.lit(" ")) | F.contains(spaced, F.lit("  ")) | F.contains(spaced, F.lit(SPACE)))
+    if not lines:
+        plain = plain & ~F.contains(spaced, F.lit("\n"))
+    cut = f"(?<=[^{SPACE}])(?={SPACE})" + "|(?=\n)" * lines
+    parts = F.split(F.concat(F.lit(SPACE), F.translate(text, " ", SPACE)), cut)
+    bare = F.transform(parts, lambda x: F.when(F.startswith(x, F.lit(SPACE)), F.substring(x, 2, 1 << 30)).otherwise(x))
+    found = F.when(plain, F.split(spaced, " ")).otherwise(bare)
+    return F.when(F.length(text) > 0, found).otherwise(F.array().cast("array<string>"))
+
+
+def with_space(raw: Column) -> Column:
+    """A segment as the pieces write it."""
+    return F.when(F.startswith(raw, F.lit("\n")), raw).otherwise(F.concat(F.lit(SPACE), raw))
 
 
 def _field(edge: Column, field: tuple[int, int]) -> Column:
@@ -104,7 +119,8 @@ def lattices(words: DataFrame, vocab: Vocabulary) -> DataFrame:
     found = spans.join(pieces, "piece", "left").filter("id is not null or length = 1")
     none = F.lit(_NONE)
     edge = _pack(F.coalesce("rank", none), F.col("start"), F.col("length"), F.coalesce("id", none))
-    return found.select("word", edge.alias("edge")).groupBy("word").agg(F.collect_list("edge").alias("edges"))
+    keyed = found.select(F.xxhash64("word").alias("_h"), "word", edge.alias("edge"))  # numbers sort faster than words
+    return keyed.groupBy("_h", "word").agg(F.collect_list("edge").alias("edges")).drop("_h")
 
 
 def _bit(x: Column) -> Column:
@@ -206,10 +222,12 @@ def _long_word(word: str, edges: list[int], vocab: Vocabulary) -> list[int]:
 def encode_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
     """``word, ids`` of distinct words.
 
-    The words are dealt out by themselves first, so that their edges, which are
-    many more bytes, stay where they are when they are grouped.
+    The words are dealt out by themselves first, ``WORDS_PER_TASK`` to a task,
+    so that their edges, which are many more bytes, stay where they are when
+    they are grouped, and need little memory.
     """
-    edges = lattices(words.repartition("word"), vocab)
+    parts = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), words.count() // WORDS_PER_TASK)
+    edges = lattices(words.repartition(parts, "word"), vocab)
     size, short = F.length("word"), F.length("word") <= _MASKED
     if vocab.kind == "bpe":
         mask = _merge_fold(F.col("edges"), size)
@@ -249,18 +267,34 @@ def decode(df: DataFrame, vocab: Vocabulary, key_cols: list[str], ids_col: str =
     return parts.select(*keys, F.decode(F.unhex(text), "UTF-8").alias("decoded"))
 
 
-def _by_broadcast(docs: DataFrame, words: DataFrame) -> DataFrame:
+def _packed_table(words: DataFrame, id_type: str) -> list[np.ndarray]:
+    """Hashes in order, numbers of ids, ids and marks of all words; sorted and packed in the tasks."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("ids")
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "h": [batch.column("h").to_numpy().tobytes()],
+                    "sizes": [np.diff(ids.offsets.to_numpy()).astype("<u4").tobytes()],
+                    "ids": [ids.flatten().to_numpy().astype(id_type).tobytes()],
+                    "same": [batch.column("same").to_numpy(zero_copy_only=False).tobytes()],
+                }
+            )
+
+    hashed = words.select(F.xxhash64("raw").alias("h"), "ids", "same").repartitionByRange("h").sortWithinPartitions("h")
+    packed = hashed.mapInArrow(rows, "h binary, sizes binary, ids binary, same binary").collect()
+    kinds = {"h": "<i8", "sizes": "<u4", "ids": id_type, "same": "?"}
+    return [np.frombuffer(b"".join(r[c] for r in packed), kind) for c, kind in kinds.items()]
+
+
+def _by_broadcast(docs: DataFrame, words: DataFrame, id_type: str) -> DataFrame:
     """Ids of the documents by a sorted table of the words' hashes, which every task holds."""
-    table = words.select(F.xxhash64("word").alias("h"), "ids", "same").toArrow()
-    h = table.column("h").to_numpy()
-    order = np.argsort(h)
-    ids = table.column("ids").combine_chunks().take(pa.array(order))
-    offsets, flat = ids.offsets.to_numpy().astype(np.int64), ids.flatten().to_numpy()
-    same = table.column("same").combine_chunks().take(pa.array(order)).to_numpy(zero_copy_only=False)
-    shared = docs.sparkSession.sparkContext.broadcast((h[order], offsets - offsets[0], flat, same))
+    shared = docs.sparkSession.sparkContext.broadcast(_packed_table(words, id_type))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, starts, flat, same = shared.value
+        known, counts, flat, same = shared.value
+        starts = np.concatenate([np.zeros(1, np.int32), np.cumsum(counts, dtype=np.int32)])
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
@@ -269,7 +303,7 @@ def _by_broadcast(docs: DataFrame, words: DataFrame) -> DataFrame:
                 hashes = [xxh64_intdigest(w, 42) for w in coded.dictionary.cast(pa.binary()).to_pylist()]
                 at = np.searchsorted(known, np.array(hashes, np.uint64).view(np.int64))
                 at = at[coded.indices.to_numpy()] if len(hashes) else np.empty(0, np.int64)
-                sizes = starts[at + 1] - starts[at]
+                sizes = (starts[at + 1] - starts[at]).astype(np.int64)
                 ends = np.cumsum(sizes)
                 total = int(ends[-1]) if len(ends) else 0
                 ids = flat[np.arange(total) + np.repeat(starts[at] - ends + sizes, sizes)]
@@ -279,7 +313,7 @@ def _by_broadcast(docs: DataFrame, words: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
-                        pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids, pa.int32())),
+                        pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32))),
                         pa.array((np.diff(wrong) == 0) & batch.column("plain").to_numpy(zero_copy_only=False)),
                     ],
                     ["doc_id", "ids", "round_trip"],
@@ -291,8 +325,8 @@ def _by_broadcast(docs: DataFrame, words: DataFrame) -> DataFrame:
 def _by_join(docs: DataFrame, words: DataFrame) -> DataFrame:
     """Ids of the documents by a join of every segment, whatever the size of the words' table."""
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    parts = rows.select("_row", "doc_id", "plain", F.posexplode_outer("segments").alias("at", "word"))
-    joined = parts.join(words, "word", "left")
+    parts = rows.select("_row", "doc_id", "plain", F.posexplode_outer("segments").alias("at", "raw"))
+    joined = parts.join(words, "raw", "left")
     grouped = joined.groupBy("_row", "doc_id", "plain").agg(
         F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"), F.bool_and("same").alias("same")
     )
@@ -301,7 +335,7 @@ def _by_join(docs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def encode(
-    df: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 1 << 28
+    df: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 1 << 27
 ) -> DataFrame:
     """``doc_id, ids, round_trip`` of every row: ids of the whole text, and whether they decode to it.
 
@@ -313,18 +347,21 @@ def encode(
     """
     docs = df.select(
         df[id_col].cast("long").alias("doc_id"),
-        segments(df[text_col], vocab).alias("segments"),
+        raw_segments(df[text_col], vocab).alias("segments"),
         F.coalesce(~F.contains(df[text_col], F.lit(SPACE)), F.lit(True)).alias("plain"),
     )
-    words = encode_words(materialise(docs.select(F.explode("segments").alias("word")).distinct()), vocab)
+    raw = docs.select(F.explode("segments").alias("raw")).distinct().select(with_space(F.col("raw")).alias("word"))
+    words = encode_words(materialise(raw), vocab)
     back = decode(words.repartition("word"), vocab, ["word", "ids"])
-    spaced = F.translate("word", SPACE, " ")
-    words = materialise(back.select("word", "ids", (F.col("decoded") == spaced).alias("same")))
+    bare = F.when(F.startswith("word", F.lit(SPACE)), F.substring("word", 2, 1 << 30)).otherwise(F.col("word"))
+    same = F.col("decoded") == F.translate("word", SPACE, " ")
+    words = materialise(back.select(bare.alias("raw"), "ids", same.alias("same")))
     size = words.agg(
-        F.count("*").alias("n"), F.count_distinct(F.xxhash64("word")).alias("hashes"), F.sum(F.size("ids")).alias("ids")
+        F.count("*").alias("n"), F.count_distinct(F.xxhash64("raw")).alias("hashes"), F.sum(F.size("ids")).alias("ids")
     ).first()
-    if size["n"] == size["hashes"] and 17 * size["n"] + 4 * (size["ids"] or 0) <= broadcast_bytes:
-        return _by_broadcast(docs, words)
+    width = 2 if max((i for _, i, _ in vocab.pieces), default=0) < 1 << 16 else 4
+    if size["n"] == size["hashes"] and 13 * size["n"] + width * (size["ids"] or 0) <= broadcast_bytes:
+        return _by_broadcast(docs, words, f"<u{width}")
     return _by_join(docs, words)
 
 
