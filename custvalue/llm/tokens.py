@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-KNOWN_PIECES = 800_000  # pieces kept in the table; about 200 bytes each
+KNOWN_PIECES = 500_000  # pieces kept in the table; about 200 bytes each
 LONGEST_KNOWN = 64  # longer pieces are encoded each time
 BATCH_CHARS = 4_000_000  # text encoded at once
 

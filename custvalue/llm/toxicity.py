@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from custvalue.llm.labelled import sample_per_class
 
-KNOWN_WORDS = 600_000
+KNOWN_WORDS = 150_000
 EDGES = string.punctuation + "«»“”„‘’…–—·¡¿"
 
 
