@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from custvalue.session import materialise
+from custvalue.llm.tokenfile import new_folder
 
 SPACE = "▁"
 # Layout of an edge in 63 bits, from the lowest: id, length, start, rank.
@@ -220,7 +220,13 @@ def _long_word(word: str, edges: list[int], vocab: Vocabulary) -> list[int]:
 
 
 def encode_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """``word, ids`` of distinct words.
+    """``word, ids`` of distinct words."""
+    short, long = _encoded(words, vocab)
+    return short.union(long)
+
+
+def _encoded(words: DataFrame, vocab: Vocabulary) -> tuple[DataFrame, DataFrame]:
+    """``word, ids`` of the words that are folded as bits, still dealt out by word, and of longer ones.
 
     The words are dealt out by themselves first, ``WORDS_PER_TASK`` to a task,
     so that their edges, which are many more bytes, stay where they are when
@@ -238,7 +244,7 @@ def encode_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
     ids = folded.select("word", _symbol_ids(F.col("word"), F.col("edges"), F.col("mask"), vocab).alias("ids"))
     if vocab.kind != "bpe":
         over = F.raise_error(F.lit(f"a segment of over {_MASKED} characters")).cast("array<int>")
-        return ids.union(edges.filter(~short).select("word", over))
+        return ids, edges.filter(~short).select("word", over.alias("ids"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -246,7 +252,7 @@ def encode_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
                 found = _long_word(word.as_py(), own.as_py(), vocab)
                 yield pa.RecordBatch.from_pydict({"word": [word.as_py()], "ids": pa.array([found], pa.list_(pa.int32()))})
 
-    return ids.union(edges.filter(~short).mapInArrow(rows, "word string, ids array<int>"))
+    return ids, edges.filter(~short).mapInArrow(rows, "word string, ids array<int>")
 
 
 def decode(df: DataFrame, vocab: Vocabulary, key_cols: list[str], ids_col: str = "ids") -> DataFrame:
@@ -267,25 +273,38 @@ def decode(df: DataFrame, vocab: Vocabulary, key_cols: list[str], ids_col: str =
     return parts.select(*keys, F.decode(F.unhex(text), "UTF-8").alias("decoded"))
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` written beside the checkpoints and read back: a fraction of a checkpoint's size for short words and ids."""
+    folder = new_folder(df.sparkSession, "segments")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _packed_table(words: DataFrame, id_type: str) -> list[np.ndarray]:
-    """Hashes in order, numbers of ids, ids and marks of all words; sorted and packed in the tasks."""
+    """Hashes of all words in order, their numbers of ids, the ids, and the hashes of words that do not decode back.
+
+    Sorted and packed in the tasks. A number of ids takes one byte, and 255 with
+    the number in the last array, in the same order, where it does not fit.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("ids")
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "h": [batch.column("h").to_numpy().tobytes()],
-                    "sizes": [np.diff(ids.offsets.to_numpy()).astype("<u4").tobytes()],
-                    "ids": [ids.flatten().to_numpy().astype(id_type).tobytes()],
-                    "same": [batch.column("same").to_numpy(zero_copy_only=False).tobytes()],
-                }
+            ids, hashes = batch.column("ids"), batch.column("h").to_numpy()
+            sizes = np.diff(ids.offsets.to_numpy())
+            same = batch.column("same").to_numpy(zero_copy_only=False).astype(bool)
+            arrays = (
+                hashes,
+                np.minimum(sizes, 255).astype("u1"),
+                ids.flatten().to_numpy().astype(id_type),
+                hashes[~same],
+                sizes[sizes >= 255].astype("<u4"),
             )
+            yield pa.RecordBatch.from_pydict({f"c{i}": [x.tobytes()] for i, x in enumerate(arrays)})
 
     hashed = words.select(F.xxhash64("raw").alias("h"), "ids", "same").repartitionByRange("h").sortWithinPartitions("h")
-    packed = hashed.mapInArrow(rows, "h binary, sizes binary, ids binary, same binary").collect()
-    kinds = {"h": "<i8", "sizes": "<u4", "ids": id_type, "same": "?"}
-    return [np.frombuffer(b"".join(r[c] for r in packed), kind) for c, kind in kinds.items()]
+    packed = hashed.mapInArrow(rows, ", ".join(f"c{i} binary" for i in range(5))).collect()
+    kinds = ("<i8", "u1", id_type, "<i8", "<u4")
+    return [np.frombuffer(b"".join(r[i] for r in packed), kind) for i, kind in enumerate(kinds)]
 
 
 def _by_broadcast(docs: DataFrame, words: DataFrame, id_type: str) -> DataFrame:
@@ -293,8 +312,10 @@ def _by_broadcast(docs: DataFrame, words: DataFrame, id_type: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(_packed_table(words, id_type))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts, flat, same = shared.value
-        starts = np.concatenate([np.zeros(1, np.int32), np.cumsum(counts, dtype=np.int32)])
+        known, counts, flat, wrong_words, many = shared.value
+        sizes = counts.astype(np.int32)
+        sizes[counts == 255] = many
+        starts = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
                 batch = whole.slice(first, 500)
@@ -309,7 +330,8 @@ def _by_broadcast(docs: DataFrame, words: DataFrame, id_type: str) -> DataFrame:
                 ids = flat[np.arange(total) + np.repeat(starts[at] - ends + sizes, sizes)]
                 bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
                 cuts = np.concatenate([[0], ends])[bounds]
-                wrong = np.concatenate([[0], np.cumsum(~same[at])])[bounds]
+                failed = np.isin(known[at], wrong_words) if len(wrong_words) else np.zeros(len(at), bool)
+                wrong = np.concatenate([[0], np.cumsum(failed)])[bounds]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
@@ -351,16 +373,16 @@ def encode(
         F.coalesce(~F.contains(df[text_col], F.lit(SPACE)), F.lit(True)).alias("plain"),
     )
     raw = docs.select(F.explode("segments").alias("raw")).distinct().select(with_space(F.col("raw")).alias("word"))
-    words = encode_words(materialise(raw), vocab)
-    back = decode(words.repartition("word"), vocab, ["word", "ids"])
+    short, long = (decode(part, vocab, ["word", "ids"]) for part in _encoded(_written(raw), vocab))
+    back = short.union(long)
     bare = F.when(F.startswith("word", F.lit(SPACE)), F.substring("word", 2, 1 << 30)).otherwise(F.col("word"))
     same = F.col("decoded") == F.translate("word", SPACE, " ")
-    words = materialise(back.select(bare.alias("raw"), "ids", same.alias("same")))
+    words = _written(back.select(bare.alias("raw"), "ids", same.alias("same")))
     size = words.agg(
         F.count("*").alias("n"), F.count_distinct(F.xxhash64("raw")).alias("hashes"), F.sum(F.size("ids")).alias("ids")
     ).first()
     width = 2 if max((i for _, i, _ in vocab.pieces), default=0) < 1 << 16 else 4
-    if size["n"] == size["hashes"] and 13 * size["n"] + width * (size["ids"] or 0) <= broadcast_bytes:
+    if size["n"] == size["hashes"] and 9 * size["n"] + width * (size["ids"] or 0) <= broadcast_bytes:
         return _by_broadcast(docs, words, f"<u{width}")
     return _by_join(docs, words)
 

@@ -23,7 +23,7 @@ def rows():
     rng = random.Random(1)
     signs = ["a", "be", "The", " ", "  ", "\n", "\t", "é", "日本", "\U0001f600", "1", ".", "###", "ing", "tion", "\x00"]
     texts = ["".join(rng.choices(signs, k=rng.randrange(30))) for _ in range(150)]
-    texts += ["", " ", "   ", "\n\n", "x" * 300, "日" * 100, "word " * 2000 + "end", "a\n b\n\nc"]
+    texts += ["", " ", "   ", "\n\n", "x" * 300, "日" * 100, "\x00" * 300, "word " * 2000 + "end", "a\n b\n\nc"]
     return [(i, t) for i, t in enumerate(texts)] + [(500, None), (7, "a copy"), (None, "no id"), (600, "a▁b")]
 
 
