@@ -1,7 +1,8 @@
 """Toxicity by subword-bag embeddings, averaged into a linear softmax and trained jointly.
 
 A word is the bag of itself and its character n-grams, each with a vector in a
-hashed table, so a misspelling shares most of a known word's vectors. A window
+hashed table, so a misspelling shares most of a known word's vectors. A long run
+without spaces is cut into consecutive words, so that all of it counts. A window
 is a run of a document's words, each distinct word counted once; it is the average of its words (short windows are filled up with empty
 words), a linear layer and a softmax of two classes give its score, and a
 document scores as its most toxic window does. So a few words decide in a long
@@ -16,7 +17,9 @@ by its highest window and a clean one by its highest two and another.
 from __future__ import annotations
 
 import math
+import re
 import string
+import unicodedata
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -30,6 +33,9 @@ from custvalue.llm.labelled import sample_per_class
 
 KNOWN_WORDS = 150_000
 EDGES = string.punctuation + "«»“”„‘’…–—·¡¿"
+LONG_RUN, CHUNK, OVERLAP = 40, 8, 4  # characters; n-grams of up to ``OVERLAP + 1`` are whole in a chunk
+_SIGNS = re.escape(EDGES + "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c)[0] == "P"))
+_PART = re.compile(f"[^{_SIGNS}]+|[{_SIGNS}]+")
 
 
 @dataclass(frozen=True)
@@ -55,7 +61,22 @@ class Settings:
 
 
 def words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    """The text between white space, with runs of over ``LONG_RUN`` characters cut into words (see ``_cut_run``)."""
+    found = (text or "").lower().split()
+    if max(map(len, found), default=0) <= LONG_RUN:
+        return found
+    return [w for run in found for w in ((run,) if len(run) <= LONG_RUN else _cut_run(run))]
+
+
+def _cut_run(run: str) -> Iterator[str]:
+    """A run cut at its signs; parts that are still long are cut into chunks, which overlap so that no n-gram is lost."""
+    for part in _PART.findall(run):
+        bare = part.strip(EDGES)
+        if len(bare) > LONG_RUN:
+            for at in range(0, len(bare) - OVERLAP, CHUNK - OVERLAP):
+                yield bare[at : at + CHUNK]
+        elif bare:
+            yield bare
 
 
 def subwords(found: Sequence[str], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +86,7 @@ def subwords(found: Sequence[str], settings: Settings) -> tuple[np.ndarray, np.n
     marked at both ends; a word of signs alone has none. All words are hashed at
     once, character by character.
     """
-    bare = [w.strip(EDGES)[:200] for w in found]
+    bare = [w.strip(EDGES) for w in found]
     points = np.frombuffer("".join(f"<{w}>" for w in bare).encode("utf-32-le", "replace"), "<u4").astype(np.uint32)
     sizes = np.array([len(w) + 2 for w in bare], np.int64)
     word = np.repeat(np.arange(len(bare)), sizes)
@@ -84,7 +105,7 @@ def subwords(found: Sequence[str], settings: Settings) -> tuple[np.ndarray, np.n
             whole = word[: len(code)] == word[n - 1 :]
             rows.append(mixed(code)[whole])
             places.append(word[: len(code)][whole])
-    powers = np.cumprod(np.full(204, 0x01000193, np.uint32), dtype=np.uint32)
+    powers = np.cumprod(np.full(sizes.max(initial=2), 0x01000193, np.uint32), dtype=np.uint32)
     full = np.bincount(word, (points * powers[inside]).astype(np.float64), len(bare)).astype(np.uint64)
     named = sizes > 2
     rows.append(mixed((full & np.uint64(0xFFFFFFFF)).astype(np.uint32))[named])
@@ -251,8 +272,9 @@ class Scorer:
         if len(self.known) + len(new) > KNOWN_WORDS:
             self.known.clear()
             new = set().union(*found)
-        if new:
-            self._learn(sorted(new))
+        new = sorted(new)
+        for first in range(0, len(new), 20_000):
+            self._learn(new[first : first + 20_000])
         value, out = self.known.__getitem__, []
         for text in found:
             cuts = windows_of(len(text), self.settings.window).tolist()

@@ -115,6 +115,29 @@ def test_toxic_documents_long_short_and_misspelt(spark):
     assert scorer.scores([long + " fool " + long])[0] > 0.5 > scorer.scores([long])[0]
 
 
+def test_toxic_words_late_in_runs_without_spaces():
+    rows = toxic_rows()
+    model = toxicity.fit([t for _, t, _ in rows], [y for *_, y in rows], SMALL)
+    scorer = toxicity.Scorer(model.weights, model.offset, SMALL)
+    for sign in ",_/|。":
+        clean = sign.join(["water", "house", "morning"] * 40)
+        bad, good = scorer.scores([sign.join([clean, "fool", clean]), clean])
+        assert bad > 0.5 > good
+    clean = "waterhousemorning" * 30
+    bad, good = scorer.scores([clean + "nitwit" + clean, clean])
+    assert bad > 0.5 > good
+
+
+def test_long_runs_keep_all_their_n_grams():
+    grams = lambda w: {w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)}
+    rng = random.Random(5)
+    for n in (41, 42, 56, 57, 200, 201, 1000):
+        run = "".join(chr(0x0E01 + rng.randrange(40)) for _ in range(n))
+        parts = toxicity.words(f"a {run} b")
+        assert parts[0] == "a" and parts[-1] == "b" and set().union(*map(grams, parts[1:-1])) == grams(run)
+    assert toxicity.words("-" * 500) == [] and toxicity.words("a," * 30) == ["a"] * 30
+
+
 def test_scores_equal_the_model_layer_by_layer():
     model = toxicity.fit([t for _, t, _ in toxic_rows(90)], [y for *_, y in toxic_rows(90)], SMALL)
     text = "the fool, fool and water"
