@@ -57,7 +57,7 @@ ARTICLE_NAMES = frozenset("article articlebody content entry main maincontent po
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+_REST = re.compile(r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+>""")  # a quote opens a value only after '='
 _WORD = re.compile(r"[^\W\d_]+")
 _PARTS = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
@@ -84,7 +84,7 @@ class Block:
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(text[:4096])}
+    return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(text)}
 
 
 def _role(name: str, attributes: str, inside_article: bool) -> str | None:
@@ -163,11 +163,10 @@ def blocks(page: str) -> Iterator[Block]:
                 parts.append("<")
                 at = mark + 1
             continue
-        rest = _REST.match(page, name.end(), name.end() + 8192)
-        end = rest.end() - 1 if rest else page.find(">", name.end())
-        if end < 0:  # a tag that the page's end cuts off
+        rest = _REST.match(page, name.end())
+        if not rest:  # a tag that the page's end cuts off
             break
-        tag, attributes, at = name[0].lower(), page[name.end() : end], end + 1
+        tag, attributes, at = name[0].lower(), page[name.end() : rest.end() - 1], rest.end()
         if not closing and tag in RAW:
             stop = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
             if not attributes.endswith("/"):

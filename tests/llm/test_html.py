@@ -43,6 +43,28 @@ def test_ambiguous_blocks_take_the_label_of_the_nearer_side():
     assert H.extract(page) == [LONG, "near the text"]
 
 
+LINES = ">".join(["<p>markup in a value</p>"] * 600)  # over 10,000 characters
+
+
+@pytest.mark.parametrize(
+    "page,blocks",
+    [
+        (f"<article><p>one</p><iframe srcdoc='{LINES}'></iframe><p data-x='{LINES}'>two</p></article>", ["one", "two"]),
+        (f'<article><p>one</p><img src="{LINES}"><p title = "{LINES}" lang=en>two</p></article>', ["one", "two"]),
+        (f"<div data-x='{LINES}' class=advert><p>{LONG}</p></div><p>{LONG}</p>", [LONG]),
+        (f"<div data-x='{LINES}' hidden><p>{LONG}</p></div><p>{LONG}</p>", [LONG]),
+        (f"<p>{LONG}</p><div data-x='{'x' * 5000}' id=comments><p>{LONG}</p></div>", [LONG]),
+        (f"<p>{LONG}</p><section data-x='{'x' * 5000}' style='display: none'><p>{LONG}</p></section>", [LONG]),
+        (f"<article><p title=\"never closed>one</p>{'<p>two</p>' * 2000}</article>", ["one"] + ["two"] * 2000),
+        (f"<article><p title=it's>one</p>{'<p>two</p>' * 2000}<p>it's</p></article>", ["one"] + ["two"] * 2000 + ["it's"]),
+        ("<article>" + '<b x=">" ' * 200_000, []),
+        ("<article><p>one</p>" + '<b x=" ' * 200_001 + ">two", ["one", "two"]),
+    ],
+)
+def test_long_tags_are_read_whole(page, blocks):
+    assert H.extract(page) == blocks
+
+
 def test_registered_pages_equal_their_article_elements(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     got = {r["page_id"]: r for r in H.extract_pages(pages).collect()}
