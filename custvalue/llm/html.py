@@ -211,13 +211,13 @@ def blocks(page: str) -> Iterator[Block]:
 
 def first_pass(block: Block, rules: Rules) -> str | None:
     """``good`` or ``bad`` from the block itself; None for a short block."""
-    if block.boilerplate or "©" in block.text:
+    if block.boilerplate:
         return "bad"
     size = len(block.text)
     if block.linked > rules.link_density * size:
         return "bad"
     if size < rules.short:
-        return None
+        return "bad" if "©" in block.text and not block.article else None
     found = _WORD.findall(block.text.lower())
     density = sum(w in STOP_WORDS for w in found) / max(1, len(found))
     if density >= rules.high_stop_words or (density >= rules.low_stop_words and size >= rules.long):
@@ -229,7 +229,6 @@ def extract(page: str | None, rules: Rules = Rules()) -> list[str]:
     """Texts of the good blocks of a page, in their order."""
     found = list(blocks(page or ""))
     labels = [first_pass(b, rules) for b in found]
-    inside = any(b.article and x == "good" for b, x in zip(found, labels)) or any(b.article for b in found)
     before: list[tuple[str, int] | None] = []
     last = None
     for i, x in enumerate(labels):
@@ -240,10 +239,8 @@ def extract(page: str | None, rules: Rules = Rules()) -> list[str]:
         x = labels[i]
         if x:
             after = (x, i)
-        elif found[i].article:
-            x = _inherited(before[i], after, i, found, "good")
         else:
-            x = _inherited(before[i], after, i, found, "bad") if not inside else "bad"
+            x = _inherited(before[i], after, i, found, "good" if found[i].article else "bad")
         if x == "good":
             kept.append(found[i].text)
     return kept[::-1]

@@ -43,6 +43,20 @@ def test_ambiguous_blocks_take_the_label_of_the_nearer_side():
     assert H.extract(page) == [LONG, "near the text"]
 
 
+@pytest.mark.parametrize(
+    "page,blocks",
+    [
+        (f"<h1>Title</h1><article><p>{LONG}</p></article>", ["Title", LONG]),
+        (f"<article><p>{LONG}</p></article><div>Short</div><footer>us</footer>", [LONG]),
+        (f"<article>Card</article><footer>x</footer><div><p>{LONG}</p><p>Short</p><p>{LONG}</p></div>", ["Card", LONG, "Short", LONG]),
+        (f"<article><p>{LONG} Photo © A. Body</p><p>© A. Body</p></article>", [f"{LONG} Photo © A. Body", "© A. Body"]),
+        (f"<div><p>{LONG} © A. Body</p><p>© us</p></div>", [f"{LONG} © A. Body"]),
+    ],
+)
+def test_blocks_outside_articles_and_copyright_signs(page, blocks):
+    assert H.extract(page) == blocks
+
+
 LINES = ">".join(["<p>markup in a value</p>"] * 600)  # over 10,000 characters
 
 
