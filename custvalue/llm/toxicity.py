@@ -26,12 +26,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from custvalue.llm.labelled import sample_per_class
 
 KNOWN_WORDS = 150_000
+TEXTS_PER_ID = 8  # distinct texts of a repeated id that the fit reads
 EDGES = string.punctuation + "«»“”„‘’…–—·¡¿"
 LONG_RUN, CHUNK, OVERLAP = 40, 8, 4  # characters; n-grams of up to ``OVERLAP + 1`` are whole in a chunk
 _SIGNS = re.escape(EDGES + "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c)[0] == "P"))
@@ -292,15 +293,21 @@ def fit_on(df: DataFrame, labels: DataFrame, settings: Settings, id_col: str, te
 
     ``labels`` has ``doc_id`` and ``label`` (0 or 1); null labels are ignored, a
     document labelled twice counts as toxic if either says so. The chosen ids
-    are few, whatever the tables hold, so the documents are not shuffled.
+    are few, whatever the tables hold, so the documents are not shuffled. Of an
+    id's distinct texts at most ``TEXTS_PER_ID`` are read, and ``4 * per_class``
+    of all ids, those of the least hashes; every id's first comes before any second.
     """
     spark = df.sparkSession
     one = labels.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
     picked = sample_per_class(one, "label", "doc_id", settings.per_class)
     ids = spark.createDataFrame([(r["doc_id"], int(r["label"])) for r in picked], "_id long, label int")
     texts = df.select(df[id_col].cast("long").alias("_id"), df[text_col].alias("text"))
-    bound = 4 * settings.per_class
-    rows = texts.join(F.broadcast(ids), "_id").limit(bound).collect()
+    found = texts.join(F.broadcast(ids), "_id").withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    place = F.row_number().over(Window.partitionBy("_id").orderBy("_hash"))
+    several = found.select("_id", "_hash").distinct().withColumn("_place", place).filter(F.col("_place") <= TEXTS_PER_ID)
+    chosen = several.orderBy("_place", "_hash", "_id").limit(4 * settings.per_class).select("_id", "_hash").collect()
+    keys = spark.createDataFrame([tuple(r) for r in chosen], "_id long, _hash long")
+    rows = found.join(F.broadcast(keys), ["_id", "_hash"]).select("text", "label").distinct().collect()
     rows = sorted({(r["text"] or "", r["label"]) for r in rows})
     return fit([t for t, _ in rows], [y for _, y in rows], settings)
 

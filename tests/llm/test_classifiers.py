@@ -138,6 +138,24 @@ def test_long_runs_keep_all_their_n_grams():
     assert toxicity.words("-" * 500) == [] and toxicity.words("a," * 30) == ["a"] * 30
 
 
+def test_fitted_sample_of_a_table_with_a_hot_id(spark, monkeypatch):
+    rows = toxic_rows(90)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int")
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels, settings: sorted(zip(texts, labels)))
+    read = lambda df, n: toxicity.fit_on(df, labels, toxicity.Settings(per_class=n), "doc_id", "text")
+    table = lambda more: spark.createDataFrame(more + [(i, t) for i, t, _ in rows], "doc_id long, text string")
+    copies = table([(0, rows[0][1])] * 2000)
+    assert read(copies, 90) == sorted({(t, y) for _, t, y in rows})
+    others = table([(1, f"text {i}") for i in range(2000)])
+    got = read(others, 90)
+    assert len(got) <= 90 + toxicity.TEXTS_PER_ID and {(t, y) for i, t, y in rows if i != 1} <= set(got)
+    assert got == read(others.repartition(7), 90)
+    twice = spark.createDataFrame([(i, f"{t} {n}") for i, t, _ in rows for n in range(2)], "doc_id long, text string")
+    assert read(twice, 90) == sorted({(f"{t} {n}", y) for _, t, y in rows for n in range(2)})
+    few = read(others, 20)
+    assert {y for _, y in few} == {0, 1} and few == read(others.repartition(7), 20)
+
+
 def test_scores_equal_the_model_layer_by_layer():
     model = toxicity.fit([t for _, t, _ in toxic_rows(90)], [y for *_, y in toxic_rows(90)], SMALL)
     text = "the fool, fool and water"
