@@ -14,6 +14,7 @@ rule on the remaining bits, so no bucket is compared pair by pair at length.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ def fingerprint(text: bytes | None, shingle_words: int) -> int:
         total = len(words) - shingle_words + 1
     counts = np.zeros(BITS, np.int64)
     for _ in range(0, total, _CHUNK):
-        digests = b"".join([xxh64_digest(s, SEED) for s, _ in zip(shingles, range(_CHUNK))])
+        digests = b"".join([xxh64_digest(s, SEED) for s in islice(shingles, _CHUNK)])
         counts += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big", signed=True)
 

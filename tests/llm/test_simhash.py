@@ -79,6 +79,13 @@ def test_fingerprints_follow_the_definition(spark):
     assert [r["fp"] for r in found.orderBy("id").collect()] == [signed(slow_fingerprint(t)) for t in texts]
 
 
+def test_fingerprints_of_many_chunks_of_shingles(monkeypatch):
+    monkeypatch.setattr(S, "_CHUNK", 4)
+    for n in (3, 6, 7, 10, 11, 12, 13, 40):
+        for text in ("a b " * n, " ".join(f"w{i}" for i in range(n))):
+            assert S.fingerprint(text.encode(), 3) == signed(slow_fingerprint(text))
+
+
 def test_components_are_the_brute_force_groups(spark):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
