@@ -47,16 +47,18 @@ def fingerprint(text: bytes | None, shingle_words: int) -> int:
     return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big", signed=True)
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle_words: int) -> DataFrame:
-    """``id, fp`` of every row; texts travel as UTF-8 bytes."""
+def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle_words: int, key_col: str | None = None) -> DataFrame:
+    """``id, fp`` of every row, and ``key`` if a column of row keys is named; texts travel as UTF-8 bytes."""
+    keys = {"id": id_col} | ({"key": key_col} if key_col else {})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t.as_py(), shingle_words) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(found, pa.int64())], [*keys, "fp"])
 
-    texts = df.select(df[id_col].cast("long").alias("id"), df[text_col].cast("binary").alias("text"))
-    return texts.mapInArrow(rows, "id long, fp long")
+    own = [df[c].cast("long").alias(k) for k, c in keys.items()]
+    texts = df.select(*own, df[text_col].cast("binary").alias("text"))
+    return texts.mapInArrow(rows, ", ".join(f"{k} long" for k in [*keys, "fp"]))
 
 
 def _cuts(width: int, parts: int) -> list[tuple[int, int]]:
@@ -177,6 +179,13 @@ def links(fps: DataFrame, distance: int, crowded: int = 4096) -> DataFrame:
     return joined(*plain, keys).union(joined(*dense, [*keys, "tag2", "bits2", "bit2"]))
 
 
+def _rooted(groups: DataFrame, distance: int, crowded: int) -> DataFrame:
+    """``groups``, one row a fingerprint ``fp``, with the ``root`` of each one's component."""
+    roots = connected_components(links(groups.select("fp"), distance, crowded))
+    joined = groups.join(roots, groups["fp"] == roots["node"], "left")
+    return materialise(joined.select(*groups.columns, F.coalesce("root", "fp").alias("root")))
+
+
 def near_duplicates(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -196,21 +205,36 @@ def near_duplicates(
     """
     docs = materialise(fingerprints(df, id_col, text_col, shingle_words))
     groups = materialise(docs.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = connected_components(links(groups.select("fp"), distance, crowded))
-    roots = materialise(groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    roots = _rooted(groups, distance, crowded)
     least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = roots.join(least, "root").select("fp", "component_id")
     text = F.lpad(F.lower(F.hex("fp")), BITS // 4, "0")
     return docs.join(by_print, "fp").select(F.col("id").alias("doc_id"), text.alias("fingerprint"), "component_id")
 
 
-def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+def one_of_each_group(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle_words: int = 3,
+    distance: int = 2,
+    crowded: int = 4096,
+) -> DataFrame:
     """``df`` with the row of the smallest id of each near-duplicate group, in its own columns.
 
-    Rows that repeat that id count as one. Rows without an id cannot be told
-    apart and are kept.
+    Rows count as themselves, also if they share an id: of several with a
+    group's smallest id the first stays. Of a group's rows without an id the
+    first stays beside it. Rows are numbered and written once, so that all steps
+    see the same ones.
     """
-    groups = near_duplicates(df, id_col, text_col, **settings)
-    keep = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = df.join(keep, df[id_col].cast("long") == keep["_keep"], "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(df.filter(df[id_col].isNull()))
+    name = "_row"
+    while name in df.columns:
+        name += "_"
+    rows = materialise(df.withColumn(name, F.monotonically_increasing_id()))
+    docs = fingerprints(rows, id_col, text_col, shingle_words, name)
+    named, nameless = F.col("id").isNotNull(), F.col("id").isNull()
+    least = F.min(F.when(named, F.struct("id", "key"))).alias("least")
+    groups = materialise(docs.groupBy("fp").agg(least, F.min(F.when(nameless, F.col("key"))).alias("nameless")))
+    kept = _rooted(groups, distance, crowded).groupBy("root").agg(F.min("least").alias("least"), F.min("nameless").alias("nameless"))
+    keys = kept.select(F.explode(F.array("least.key", "nameless")).alias("_key")).filter("_key is not null")
+    return rows.join(keys, rows[name] == keys["_key"], "left_semi").drop(name)

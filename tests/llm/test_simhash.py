@@ -124,6 +124,22 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     assert S.near_duplicates(empty).collect() == [] and S.one_of_each_group(empty).collect() == []
 
 
+def test_rows_that_share_an_id_are_rows_of_their_own(spark):
+    a, b, c = ("one two three four five six seven", "quite another text that stays by itself", "no word of this is in the rest at all")
+    rows = [(5, a), (5, b), (3, b), (None, c), (None, c), (None, c), (6, c + " x"), (6, "p q r s t"), (6, "p q r s t")]
+    rows += [(9, f"text number {i} has words w{i} x{i} y{i} z{i}") for i in range(50)]
+    frame = spark.createDataFrame([(*r, 1, n) for n, r in enumerate(rows)], "doc_id long, text string, _row int, id int")
+    prints = [signed(slow_fingerprint(t)) for _, t in rows]
+    roots = slow_roots(sorted(set(prints)), 2)
+    first, nameless = {}, {}
+    for n, ((i, _), p) in enumerate(zip(rows, prints)):
+        least = first if i is not None else nameless
+        least[roots[p]] = min((i or 0, n), least.get(roots[p], (i or 0, n)))
+    kept = S.one_of_each_group(frame)
+    assert kept.columns == frame.columns
+    assert sorted(r["id"] for r in kept.collect()) == sorted(n for _, n in [*first.values(), *nameless.values()])
+
+
 def test_components_of_long_paths_stars_and_loops(spark):
     path = [(i, i + 1) for i in range(0, 60)]
     star = [(1000, i) for i in range(1001, 1200)]
