@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+from custvalue.llm import mixing, urls
 from custvalue.llm import queries as Q
-from custvalue.llm import urls
 
 VALID = """valid AS (
   SELECT vec_id, max(embedding) AS v FROM embeddings
@@ -76,5 +78,42 @@ SELECT page_id, host, path, rule, CASE {action} WHEN bound > {s.max_bad} THEN 'b
 FROM ruled JOIN bounded USING (host)"""
 
 
+def mixing_sql(mix: mixing.Mix = mixing.Mix()) -> str:
+    common, bits = math.lcm(*mix.weights), mixing.HASH_BITS
+    turn = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(mix.weights))
+    mark = lambda c: f"CASE WHEN {c} IS NULL THEN '-' ELSE '+' || md5({c}::VARCHAR) END"
+    part = lambda at: f"('0x' || substr(key, {at}, {bits // 4}))::BIGINT"
+    copies = f"(floor(rate) + CASE WHEN ((h + step * seed) % {1 << bits}) / {1 << bits}::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END)"
+    return rf"""WITH keyed AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{mixing.WORDS}')), 0)::BIGINT AS size,
+  md5({mark("doc_id")} || {mark("source")} || {mark("text")}) AS key FROM documents),
+measured AS (SELECT doc_id, source, size, {part(1)} AS h, {part(1 + bits // 4)} AS step FROM keyed),
+sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM measured GROUP BY source),
+placed AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS pos FROM sums),
+weighed AS (
+  SELECT *, source_size * {mix.most} AS cap, CASE pos % {len(mix.weights)} {turn} END AS weight,
+  {mix.share!r}::DOUBLE * (sum(source_size * {mix.most}) OVER ())::DOUBLE / {mix.most} AS words FROM placed),
+levels AS (
+  SELECT *, sum(cap) OVER w AS caps, sum(weight) OVER w AS weights, sum(weight) OVER () AS all_weights,
+  cap * ({common} // weight) AS level FROM weighed
+  WINDOW w AS (ORDER BY cap * ({common} // weight), pos ROWS UNBOUNDED PRECEDING)),
+decided AS (SELECT *, caps * {common} + level * (all_weights - weights) <= words * {common} AS stops FROM levels),
+used AS (
+  SELECT coalesce(sum(cap) FILTER (stops), 0)::DOUBLE AS used, coalesce(sum(weight) FILTER (NOT stops), 0)::DOUBLE AS sharing
+  FROM decided),
+targets AS (
+  SELECT source, source_size, CASE WHEN stops THEN cap::DOUBLE ELSE (words - used) * weight / greatest(1, sharing) END AS target
+  FROM decided, used),
+rates AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least({mix.most}::DOUBLE, target / source_size) ELSE 0 END AS rate FROM targets),
+tried AS (
+  SELECT r.source, seed, abs(sum(size * {copies}) - max(target)) AS off
+  FROM measured m JOIN rates r ON m.source IS NOT DISTINCT FROM r.source, range({mix.seeds}) t(seed) GROUP BY r.source, seed),
+chosen AS (SELECT source, arg_min(seed, (off, seed)) AS seed FROM tried GROUP BY source)
+SELECT doc_id, size, r.source_size, r.target, (size * {copies})::BIGINT AS taken
+FROM measured m JOIN rates r ON m.source IS NOT DISTINCT FROM r.source
+JOIN chosen c ON m.source IS NOT DISTINCT FROM c.source"""
+
+
 def statements() -> dict[str, str]:
-    return {"op1_topk": topk_sql(), "op8_url_filter": url_filter_sql()}
+    return {"op1_topk": topk_sql(), "op8_url_filter": url_filter_sql(), "op13_mixing": mixing_sql()}

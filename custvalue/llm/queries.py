@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custvalue.llm import ann, html, langid, packing, pieces, simhash, tokenfile, topk, toxicity, urls
+from custvalue.llm import ann, html, langid, mixing, packing, pieces, simhash, tokenfile, topk, toxicity, urls, whitening
 from custvalue.llm.labelled import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened scores of every vector along the first 32 principal components."""
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"), components=32, scale=whitening.Scale(64, 1_000_000))
+    return white.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document: half as many again as there are, sources weighed 3, 1, 2 in turn."""
+    plan = mixing.mix_plan(table(spark, sf_dir, "documents"), mixing.Mix(weights=(3, 1, 2), share=1.5, most=2))
+    return plan.select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_topk": op1_topk,
     "op2_html": op2_html,
@@ -121,4 +135,6 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_token_file": op9_token_file,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
+    "op13_mixing": op13_mixing,
 }

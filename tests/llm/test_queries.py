@@ -22,6 +22,8 @@ COLUMNS = {
     "op8_url_filter": "page_id long, host string, path string, rule string, verdict string",
     "op9_token_file": "doc_id long, start long, n_tokens long, ids_crc32 long",
     "op10_toxicity": "doc_id long, held_out boolean, score double, predicted int",
+    "op11_whitening": "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double",
+    "op13_mixing": "doc_id long, size long, source_size long, target double, taken long",
 }
 
 
@@ -37,7 +39,7 @@ def test_columns_of_the_contract(spark, name):
     assert [[c, t.replace("bigint", "long")] for c, t in got.dtypes] == want
 
 
-@pytest.mark.parametrize("name", ["op1_topk", "op8_url_filter"])
+@pytest.mark.parametrize("name", ["op1_topk", "op8_url_filter", "op13_mixing"])
 def test_equals_sql(spark, name):
     assert compare(spark, connect(SF_DIR), SF_DIR, name) is None
 
