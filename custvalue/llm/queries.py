@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from custvalue.llm import ann, html, langid, mixing, packing, pieces, simhash, tokenfile, topk, toxicity, urls, whitening
+from custvalue.llm import ann, collocations, html, langid, mixing, packing, pieces, simhash, tokenfile, topk, toxicity, urls, whitening
 from custvalue.llm.labelled import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,6 +116,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return white.withColumn("deviation", F.col("deviation").cast("long"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of two or three words of each language."""
+    settings = collocations.Settings(longest=3, least=10, inside_percent=50, first=2000)
+    return collocations.collocations(table(spark, sf_dir, "documents"), settings)
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document: half as many again as there are, sources weighed 3, 1, 2 in turn."""
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"), mixing.Mix(weights=(3, 1, 2), share=1.5, most=2))
@@ -136,5 +142,6 @@ QUERIES: dict[str, Query] = {
     "op9_token_file": op9_token_file,
     "op10_toxicity": op10_toxicity,
     "op11_whitening": op11_whitening,
+    "op12_collocations": op12_collocations,
     "op13_mixing": op13_mixing,
 }

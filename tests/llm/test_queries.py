@@ -23,6 +23,7 @@ COLUMNS = {
     "op9_token_file": "doc_id long, start long, n_tokens long, ids_crc32 long",
     "op10_toxicity": "doc_id long, held_out boolean, score double, predicted int",
     "op11_whitening": "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double",
+    "op12_collocations": "lang string, rank long, phrase string, a long, l long, r long, n long, score long",
     "op13_mixing": "doc_id long, size long, source_size long, target double, taken long",
 }
 
@@ -39,7 +40,7 @@ def test_columns_of_the_contract(spark, name):
     assert [[c, t.replace("bigint", "long")] for c, t in got.dtypes] == want
 
 
-@pytest.mark.parametrize("name", ["op1_topk", "op8_url_filter", "op13_mixing"])
+@pytest.mark.parametrize("name", ["op1_topk", "op8_url_filter", "op12_collocations", "op13_mixing"])
 def test_equals_sql(spark, name):
     assert compare(spark, connect(SF_DIR), SF_DIR, name) is None
 
