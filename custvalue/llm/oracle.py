@@ -125,21 +125,25 @@ def collocations_sql(s: collocations.Settings = collocations.Settings()) -> str:
 words AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM pieces),
 totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
 spans AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
-grams AS (SELECT lang, size, w[i:i + size - 1] AS p FROM spans, range(1, 4) t(size) WHERE i + size - 1 <= len(w)),
-counts AS (SELECT lang, size, p, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= {s.least}),
+grams AS (SELECT lang, size, array_to_string(w[i:i + size - 1], ' ') AS p FROM spans, range(1, 4) t(size) WHERE i + size - 1 <= len(w)),
+counts AS MATERIALIZED (SELECT lang, size, p, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= {s.least}),
+parted AS (
+  SELECT lang, p, f AS a, k, array_to_string(string_split(p, ' ')[1:k], ' ') AS head,
+  array_to_string(string_split(p, ' ')[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM counts WHERE size > 1)),
 cuts AS (
-  SELECT c.lang, c.p, c.f AS a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f) AS score
-  FROM counts c, range(1, 3) t(k), counts x, counts y
-  WHERE k < c.size AND x.lang = c.lang AND x.p = c.p[1:k] AND y.lang = c.lang AND y.p = c.p[k + 1:]),
+  SELECT c.lang, c.p, a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM parted c JOIN counts x ON x.lang = c.lang AND x.p = head JOIN counts y ON y.lang = c.lang AND y.p = rest),
 lowest AS (
   SELECT lang, p, a, least.l AS l, least.r AS r, least.score AS score FROM (
     SELECT lang, p, a, arg_min({{'l': l, 'r': r, 'score': score}}, (score, k)) AS least FROM cuts GROUP BY ALL)),
 inside AS (
   SELECT lang, p, max(f) AS longer FROM (
-    SELECT lang, p[1:2] AS p, f FROM counts WHERE size = 3 UNION ALL SELECT lang, p[2:3], f FROM counts WHERE size = 3)
+    SELECT lang, regexp_replace(p, ' [^ ]*$', '') AS p, f FROM counts WHERE size = 3
+    UNION ALL SELECT lang, regexp_replace(p, '^[^ ]* ', ''), f FROM counts WHERE size = 3)
   GROUP BY ALL),
 kept AS (
-  SELECT o.*, array_to_string(o.p, ' ') AS phrase FROM lowest o LEFT JOIN inside i ON o.lang = i.lang AND o.p = i.p
+  SELECT o.*, o.p AS phrase FROM lowest o LEFT JOIN inside i ON o.lang = i.lang AND o.p = i.p
   WHERE i.longer IS NULL OR 100 * i.longer < {s.inside_percent} * o.a),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= {s.first}"""
