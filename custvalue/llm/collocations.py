@@ -10,10 +10,13 @@ length are extended at once, by one sort of (interval, word).
 Counts are summed across shards. Most phrases are rare, so before phrases are
 sent as texts, shards exchange hashes: each sends the hashes of its words and of
 its phrases with their counts, dealt out by hash, and gets back those that are
-frequent enough over all shards. Every part of a frequent phrase is as frequent,
-so a shard extends such phrases only. Equal hashes of different phrases add up
-to more than each count, so no frequent phrase is lost, and what is kept by
-mistake falls out when the texts are counted.
+frequent enough over all shards, as a bit for each in the order sent. Every part
+of a frequent phrase is as frequent, so a shard extends such phrases only. Equal
+hashes of different phrases add up to more than each count, so no frequent
+phrase is lost, and what is kept by mistake falls out when the texts are counted.
+
+What is kept of a shard between these steps are its word ids and words; the
+transforms are built from them whenever it is opened.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans((UPPER + BREAKS + "\t").encode(), (LOWER + "." * len(BREAKS) + " ").encode())
 UNKNOWN = "und"
+HASH_BYTES = 6  # of a hash that are sent; its bucket tells some of the rest
 BATCH_CHARS = 2_000_000  # text cut into words at once
 _BETWEEN = re.compile(f"[ \t{re.escape(BREAKS)}]")
 
@@ -49,7 +53,7 @@ class Settings:
     least: int = 10
     inside_percent: int = 50
     first: int = 2000
-    shard_words: int = 1 << 22
+    shard_words: int = 1 << 21
     hashes_per_task: int = 1 << 20
 
     def __post_init__(self):
@@ -160,32 +164,58 @@ def phrase_hashes(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return code
 
 
-def frequent_phrases(index: Index, hashes: np.ndarray, known: list[np.ndarray | None], longest: int) -> Iterator[Phrases]:
-    """Phrases of 1, 2, ... words, up to ``longest``: those of a length whose parts are all among the ``known`` hashes.
+def by_length(index: Index, hashes: np.ndarray, longest: int, frequent: Masks | None = None) -> Iterator[tuple[int, Phrases, np.ndarray]]:
+    """(length, phrases, hashes) for phrases of 1 to ``longest`` words, in the order of their hashes.
 
-    ``known`` has the sorted hashes of frequent phrases of 1, 2, ... words (None:
-    all are); the last length yielded is one more than it has. Words are
-    extended to the right, two words to the left, and so on in turn.
+    Two words are extended from every word. Longer phrases are those whose parts
+    are frequent, so ``frequent`` has to say which of the phrases of 2 to
+    ``longest`` - 1 words are. Words are extended to the right, two words to the
+    left, and so on in turn.
     """
-    phrases = index.words()
+    phrases, known = index.words(), None
     for length in range(1, longest + 1):
         if length > 1:
             phrases = index.extend(phrases, length % 2 == 0, length + 1 < longest)
+        if known is not None:
             part = phrases.words[:, 1:] if length % 2 == 0 else phrases.words[:, :-1]
-            phrases = phrases.some(_among(phrase_hashes(part, hashes), known[length - 2]))
-        yield phrases
-        if length > len(known):
-            return
-        phrases = phrases.some(_among(phrase_hashes(phrases.words, hashes), known[length - 1]))
+            phrases = phrases.some(_among(phrase_hashes(part, hashes), known))
+        codes = phrase_hashes(phrases.words, hashes)
+        order = np.argsort(codes, kind="stable")
+        phrases, codes = phrases.some(order), codes[order]
+        yield length, phrases, codes
+        if 1 < length < longest:
+            which = frequent.of(length, codes)
+            phrases, known = phrases.some(which), codes[which]
 
 
-def _among(values: np.ndarray, known: np.ndarray | None) -> np.ndarray:
-    if known is None:
-        return np.ones(len(values), bool)
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     at = np.searchsorted(known, values)
     return known[np.minimum(at, len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
 
 
+def bucket_cuts(codes: np.ndarray, buckets: int) -> list[int]:
+    """Ends of the buckets of sorted hashes; buckets are equal ranges of hashes."""
+    edges = (np.arange(1, buckets, dtype=np.float64) * (2.0**64 / buckets)).astype(np.uint64)
+    return [*np.searchsorted(codes, edges).tolist(), len(codes)]
+
+
+class Masks:
+    """Which of a shard's phrases are frequent, by length and bucket, as bits in the order of their hashes."""
+
+    def __init__(self, rows: list[dict], buckets: dict[int, int]):
+        self.bits = {(r["level"], r["bucket"]): r["bits"] for r in rows}
+        self.buckets = buckets
+
+    def of(self, length: int, codes: np.ndarray) -> np.ndarray:
+        out, start = [np.empty(0, bool)], 0
+        for bucket, end in enumerate(bucket_cuts(codes, self.buckets[length])):
+            if end > start:
+                bits = np.frombuffer(self.bits[length, bucket], np.uint8)
+                out.append(np.unpackbits(bits, count=end - start).astype(bool))
+            start = end
+        return np.concatenate(out)
+
+
 # --- shards -----------------------------------------------------------------
 
 
@@ -219,13 +249,13 @@ class Shard:
         self.parts.append(numbers[ends | (numbers > 0)])
         self.size += len(self.parts[-1])
 
-    def packed(self, depth: int) -> bytes:
+    def packed(self) -> bytes:
         text = np.concatenate([np.zeros(1, np.int32), *self.parts])
-        index = Index.of(text, len(self.names), depth)
-        hashes = np.array([xxhash.xxh64_intdigest(n, xxhash.xxh32_intdigest(g)) for n, g in zip(self.names, self.langs)], np.uint64)
         spoken = {g: i for i, g in enumerate(dict.fromkeys(self.langs))}
-        lang_of = np.array([spoken[g] for g in self.langs])
-        return _joined([index.starts, index.left, index.right, hashes, lang_of, b"\n".join(self.names), json.dumps(list(spoken)).encode()])
+        lang_of = np.array([spoken[g] for g in self.langs], np.int32)
+        parts = [text.tobytes(), lang_of.tobytes(), b"\n".join(self.names), json.dumps(list(spoken)).encode()]
+        packed = [pa.compress(p, codec="zstd", asbytes=True) if p else b"" for p in parts]
+        return np.array([x for p in zip(parts, packed) for x in map(len, p)], "<i8").tobytes() + b"".join(packed)
 
     def totals(self) -> dict[str, int]:
         """Occurrences of words by language."""
@@ -236,30 +266,24 @@ class Shard:
         return out
 
 
-_KINDS = (np.int64, np.int32, np.int32, np.uint64, np.int64)
-
-
-def _joined(parts: list) -> bytes:
-    raw = [p if isinstance(p, bytes) else np.ascontiguousarray(p, k).tobytes() for p, k in zip(parts, (*_KINDS, None, None))]
-    packed = [pa.compress(p, codec="zstd", asbytes=True) if p else b"" for p in raw]
-    return np.array([x for p in zip(raw, packed) for x in map(len, p)], "<i8").tobytes() + b"".join(packed)
-
-
-def unpacked(data: bytes) -> tuple[Index, np.ndarray, pa.Array, pa.Array]:
+def unpacked(data: bytes, depth: int) -> tuple[Index, np.ndarray, pa.Array, pa.Array]:
     """The index, and the hashes, languages and texts of its words."""
-    sizes = np.frombuffer(data, "<i8", 14).reshape(7, 2)
-    ends = (14 * 8 + np.concatenate([[0], np.cumsum(sizes[:, 1])])).tolist()
-    parts = [
+    sizes = np.frombuffer(data, "<i8", 8).reshape(4, 2)
+    ends = (8 * 8 + np.concatenate([[0], np.cumsum(sizes[:, 1])])).tolist()
+    text, lang_of, names, spoken = [
         pa.decompress(data[a:b], int(size), codec="zstd", asbytes=True) if size else b""
         for a, b, size in zip(ends, ends[1:], sizes[:, 0])
     ]
-    starts, left, right, hashes, lang_of = (np.frombuffer(p, k) for p, k in zip(parts, _KINDS))
-    langs = pa.array(json.loads(parts[6]), pa.string()).take(pa.array(lang_of))
-    return Index(starts, left, right), hashes, langs, pa.array(parts[5].decode().split("\n"), pa.string())
+    words, langs = names.split(b"\n"), json.loads(spoken)
+    seeds = [xxhash.xxh32_intdigest(g) for g in langs]
+    of = np.frombuffer(lang_of, np.int32)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seeds[g]) for w, g in zip(words, of.tolist())), np.uint64, len(words))
+    index = Index.of(np.frombuffer(text, np.int32), len(words), depth)
+    return index, hashes, pa.array(langs, pa.string()).take(pa.array(of)), pa.array(words, pa.binary()).cast(pa.string())
 
 
 def _shards(df: DataFrame, settings: Settings, text_col: str, lang_col: str) -> DataFrame:
-    """``shard, index, langs, totals``: the packed index of every shard and its words by language, written once."""
+    """``shard, index, langs, totals``: the packed ids of every shard and its words by language, written once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, shard = TaskContext.get().partitionId(), 0, Shard()
@@ -270,7 +294,7 @@ def _shards(df: DataFrame, settings: Settings, text_col: str, lang_col: str) ->
             row = pa.RecordBatch.from_arrays(
                 [
                     pa.array([(part << 32) + n]),
-                    pa.array([shard.packed(settings.longest - 1)], pa.binary()),
+                    pa.array([shard.packed()], pa.binary()),
                     pa.array([list(totals)], pa.list_(pa.string())),
                     pa.array([list(totals.values())], pa.list_(pa.int64())),
                 ],
@@ -321,83 +345,65 @@ def _bytes(array: np.ndarray, kind) -> bytes:
     return np.ascontiguousarray(array, kind).tobytes()
 
 
-def _exchange(indexed: DataFrame, levels: list[int], settings: Settings) -> DataFrame:
-    """``shard, level, hashes``: of each shard's phrases of ``levels`` words, the hashes frequent over all shards.
+def _exchange(shards: DataFrame, levels: list[int], known: DataFrame | None, buckets: dict[int, int], settings: Settings) -> DataFrame:
+    """``shard, level, bucket, bits``: which of each shard's phrases of ``levels`` words are frequent over all shards.
 
     Counts above the least are sent as it, and hashes are dealt out evenly by
     their upper bits, so the work does not depend on how often a phrase occurs.
+    ``buckets`` gets the number of buckets of the levels.
     """
-    least = settings.least
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, index, hashes, _, _, known in _opened(batches, levels[0] - 1):
-            for length, phrases in enumerate(frequent_phrases(index, hashes, known, settings.longest), 1):
-                if length in levels:
-                    yield pa.RecordBatch.from_pydict({"n": pa.array([len(phrases.counts)], pa.int64())})
+    least, longest = settings.least, max(levels)
+    kind = np.dtype("u1") if least < 256 else np.dtype("<u4")
+    indexed, before = _with_known(shards, known), dict(buckets)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, index, hashes, _, _, known in _opened(batches, levels[0] - 1):
-            for length, phrases in enumerate(frequent_phrases(index, hashes, known, settings.longest), 1):
+        for shard, index, hashes, _, _, frequent in _opened(batches, before, settings):
+            for length, phrases, codes in by_length(index, hashes, longest, frequent):
                 if length not in levels:
                     continue
-                codes = phrase_hashes(phrases.words, hashes)
-                order = np.argsort(codes)
-                codes, counts = codes[order], np.minimum(phrases.counts[order], least)
-                cuts = np.searchsorted(codes, (np.arange(1, parts, dtype=np.float64) * (2.0**64 / parts)).astype(np.uint64))
-                for bucket, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(codes)])):
-                    if b > a:
-                        yield pa.RecordBatch.from_pydict(
-                            {
-                                "bucket": pa.array([bucket], pa.int32()),
-                                "shard": pa.array([shard]),
-                                "level": pa.array([length], pa.int32()),
-                                "codes": pa.array([_bytes(codes[a:b], "<u8")], pa.binary()),
-                                "counts": pa.array([_bytes(counts[a:b], "<u4")], pa.binary()),
-                            }
-                        )
+                low = codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES]
+                counts, start = np.minimum(phrases.counts, least).astype(kind), 0
+                for bucket, end in enumerate(bucket_cuts(codes, parts)):
+                    if end > start:
+                        sent = [shard, length, bucket, low[start:end].tobytes(), counts[start:end].tobytes()]
+                        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in sent], ["shard", "level", "bucket", "codes", "counts"])
+                    start = end
 
     def summed(table: pa.Table) -> pa.Table:
-        codes = [np.frombuffer(x.as_py(), "<u8") for x in table.column("codes")]
-        counts = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in table.column("counts")])
-        unique, of = np.unique(np.concatenate(codes), return_inverse=True)
-        good = np.bincount(of, counts, len(unique)) >= least
-        kept, at = [], 0
-        for own in codes:
-            kept.append(_bytes(own[good[of[at : at + len(own)]]], "<u8"))
-            at += len(own)
-        columns = [table.column("shard"), table.column("level"), pa.array(kept, pa.binary())]
-        return pa.table(columns, ["shard", "level", "hashes"])
-
-    total = indexed.mapInArrow(counted, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(1, -(-total // settings.hashes_per_task))
-    rows = indexed.mapInArrow(dealt, "bucket int, shard long, level int, codes binary, counts binary")
-    return rows.groupBy("bucket").applyInArrow(summed, "shard long, level int, hashes binary")
-
-
-def _opened(batches: Iterator[pa.RecordBatch], lengths: int):
-    """(shard, index, hashes, languages and texts of its words, known hashes of 1 to ``lengths`` words) of every row.
-
-    Without lengths nothing is known yet, so all words count as frequent.
-    """
+        counts = [np.frombuffer(x.as_py(), kind) for x in table.column("counts")]
+        codes = np.zeros((sum(map(len, counts)), 8), np.uint8)
+        codes[:, :HASH_BYTES] = np.frombuffer(b"".join(x.as_py() for x in table.column("codes")), np.uint8).reshape(-1, HASH_BYTES)
+        unique, of = np.unique(codes.view("<u8").ravel(), return_inverse=True)
+        good = (np.bincount(of, np.concatenate(counts), len(unique)) >= least)[of]
+        ends = np.cumsum([len(c) for c in counts])
+        bits = [np.packbits(good[e - len(c) : e]).tobytes() for c, e in zip(counts, ends)]
+        return table.select(["shard", "level", "bucket"]).append_column("bits", pa.array(bits, pa.binary()))
+
+    own = F.aggregate("totals", F.lit(0).cast("long"), lambda total, x: total + x)
+    words = shards.agg(F.coalesce(F.sum(own), F.lit(0))).first()[0]  # no fewer than distinct phrases of a length
+    parts = max(1, -(-words // settings.hashes_per_task))
+    buckets.update({length: parts for length in levels})
+    rows = indexed.mapInArrow(dealt, "shard long, level long, bucket long, codes binary, counts binary")
+    replies = rows.groupBy("bucket").applyInArrow(summed, "shard long, level long, bucket long, bits binary")
+    return materialise(replies)
+
+
+def _opened(batches: Iterator[pa.RecordBatch], buckets: dict[int, int], settings: Settings):
+    """(shard, index, hashes, languages and texts of its words, masks) of rows ``shard, index, known``."""
     for batch in batches:
         for i in range(batch.num_rows):
-            parts: list[list[np.ndarray]] = [[] for _ in range(lengths)]
-            for row in batch.column("known")[i].as_py() or []:
-                parts[row["level"] - 1].append(np.frombuffer(row["hashes"], "<u8"))
-            known = [np.sort(np.concatenate([np.empty(0, "<u8"), *p])) for p in parts] or [None]
-            yield batch.column("shard")[i].as_py(), *unpacked(batch.column("index")[i].as_py()), known
+            frequent = Masks(batch.column("known")[i].as_py() or [], buckets)
+            data = batch.column("index")[i].as_buffer().to_pybytes()
+            yield batch.column("shard")[i].as_py(), *unpacked(data, settings.longest - 1), frequent
 
 
-def _with_known(shards: DataFrame, found: list[DataFrame]) -> DataFrame:
-    """The shards with the frequent hashes of their own phrases; a shard's hashes are no more than its phrases."""
-    kind = "array<struct<level:int,hashes:binary>>"
-    if not found:
-        return shards.select("shard", "index", F.lit(None).cast(kind).alias("known"))
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    known = rows.groupBy("shard").agg(F.collect_list(F.struct("level", "hashes")).alias("known"))
-    return shards.select("shard", "index").join(known, "shard", "left")
+def _with_known(shards: DataFrame, replies: DataFrame | None) -> DataFrame:
+    """The shards with the replies to them; those are a bit for each of a shard's phrases."""
+    rows = shards.select("shard", "index")
+    if replies is None:
+        return rows.withColumn("known", F.lit(None).cast("array<struct<level:long,bucket:long,bits:binary>>"))
+    known = replies.groupBy("shard").agg(F.collect_list(F.struct("level", "bucket", "bits")).alias("known"))
+    return rows.join(known, "shard", "left")
 
 
 def phrase_counts(df: DataFrame, settings: Settings = Settings(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -411,16 +417,15 @@ def phrase_counts(df: DataFrame, settings: Settings = Settings(), text_col: str
 
 
 def _counts(shards: DataFrame, settings: Settings) -> DataFrame:
-    found = [materialise(_exchange(_with_known(shards, []), [1, 2], settings))]
-    for length in range(3, settings.longest):
-        found.append(materialise(_exchange(_with_known(shards, found), [length], settings)))
-    lengths = max(2, settings.longest - 1)
+    buckets: dict[int, int] = {}
+    known = _exchange(shards, [1, 2], None, buckets, settings)
+    for length in range(3, settings.longest + 1):
+        known = known.unionByName(_exchange(shards, [length], known, buckets, settings))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, index, hashes, langs, texts, known in _opened(batches, lengths):
-            for length, phrases in enumerate(frequent_phrases(index, hashes, known, settings.longest), 1):
-                if length <= len(known):
-                    phrases = phrases.some(_among(phrase_hashes(phrases.words, hashes), known[length - 1]))
+        for _, index, hashes, langs, texts, frequent in _opened(batches, buckets, settings):
+            for length, phrases, codes in by_length(index, hashes, settings.longest, frequent):
+                phrases = phrases.some(frequent.of(length, codes))
                 for first in range(0, len(phrases.counts), 50_000):
                     words = phrases.words[first : first + 50_000]
                     spelt = [texts.take(pa.array(column)) for column in words.T]
@@ -434,7 +439,7 @@ def _counts(shards: DataFrame, settings: Settings) -> DataFrame:
                         ["lang", "words", "phrase", "f"],
                     )
 
-    counted = _with_known(shards, found).mapInArrow(rows, "lang string, words int, phrase string, f long")
+    counted = _with_known(shards, known).mapInArrow(rows, "lang string, words int, phrase string, f long")
     return counted.groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
 
 

@@ -107,7 +107,7 @@ def test_packed_shards_come_back_whole():
     shard = C.Shard()
     shard.add("en", ["a b a. c", ""])
     shard.add("x\ty\n", ["a b"])
-    index, hashes, langs, texts = C.unpacked(shard.packed(2))
+    index, hashes, langs, texts = C.unpacked(shard.packed(), 2)
     assert texts.to_pylist() == [n.decode() for n in shard.names] and langs.to_pylist() == shard.langs
     assert shard.totals() == {"en": 4, "x\ty\n": 2} and len(set(hashes.tolist())) == len(hashes)
     assert index.words().counts.tolist() == [2, 1, 1, 1, 1]
