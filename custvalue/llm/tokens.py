@@ -16,13 +16,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 KNOWN_PIECES = 500_000  # pieces kept in the table; about 200 bytes each
 LONGEST_KNOWN = 64  # longer pieces are encoded each time
-BATCH_CHARS = 4_000_000  # text encoded at once
+BATCH_CHARS = 12_000_000  # text encoded at once
 
 _CUT = re.compile(r" (?=\S)")
 _RUN = re.compile(r"\s\s")
+_SIGNS = frozenset(".,;:!?")
 _WORD = re.compile(r" ?[^\W\d_]+")
 
 
@@ -54,6 +56,9 @@ class PieceTokenizer:
     A piece of letters alone goes straight to the tokenizer's model, any other
     through the whole tokenizer. A word and what follows it are looked up
     apart, and so are the lines of a piece: the tokenizer splits there too.
+
+    The table numbers the pieces it knows and holds their ids one after the
+    other; ``starts`` has where each begins, and the end. Number 0 is no text.
     """
 
     def __init__(self, path: str):
@@ -63,37 +68,151 @@ class PieceTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _piece(self, piece: str) -> bytes:
-        """Ids of a piece; new ones are added to the table."""
-        found = self.known.get(piece)
-        if found is not None:
-            return found
-        word = _WORD.match(piece)
-        if word and word[0].lstrip(" ").isalpha():
-            if word.end() == len(piece):
-                tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-                found = array("I", [t.id for t in tokens]).tobytes()
-            else:
-                found = self._piece(word[0]) + self._piece(piece[word.end() :])
-        elif "\n" in piece and len(piece) > 1 and not _RUN.search(piece):
-            found = self._piece("\n").join(map(self._piece, piece.split("\n")))
+        self.known: dict[str, int] = {"": 0}
+        self.flat, self.starts = array("I"), array("q", [0, 0])
+        self.uses = np.zeros(0, np.int64)  # occurrences of the pieces, by number
+
+    def _shrink(self) -> None:
+        """Keep the more used half of a full table."""
+        uses = np.zeros(len(self.known), np.int64)
+        uses[: len(self.uses)] = self.uses
+        uses[0] = np.iinfo(np.int64).max  # no text
+        kept = np.sort(np.argsort(-uses, kind="stable")[: KNOWN_PIECES // 2])
+        sizes, flat = self._sizes(kept), self._joined(kept)
+        names = list(self.known)  # in the order of their numbers
+        self.known = {names[i]: n for n, i in enumerate(kept.tolist())}
+        self.flat, self.starts = array("I", flat.tobytes()), array("q", [0, *np.cumsum(sizes).tolist()])
+        self.uses = uses[kept] // 2
+        self.uses[0] = 0
+
+    def _piece(self, piece: str) -> array:
+        """Ids of a piece; new ones are added to the table unless they are long."""
+        at = self.known.get(piece)
+        if at is not None:
+            return self.flat[self.starts[at] : self.starts[at + 1]]
+        body = piece[1:] if piece[0] == " " else piece
+        if body[:-1].isalpha() and body[-1:] in _SIGNS:  # false for a space alone
+            found = self._piece(piece[:-1]) + self._piece(piece[-1])
         else:
-            found = array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+            found = self._split(piece)
         if len(piece) <= LONGEST_KNOWN:
-            self.known[piece] = found
+            self._add(piece, found)
         return found
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as unsigned 32-bit integers of this machine's byte order, the little-endian one."""
+    def _split(self, piece: str) -> array:
+        word = _WORD.match(piece)
+        if word and word[0].lstrip(" ").isalpha():
+            if word.end() < len(piece):
+                return self._piece(word[0]) + self._piece(piece[word.end() :])
+            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+            return array("I", [t.id for t in tokens])
+        if "\n" in piece and len(piece) > 1 and not _RUN.search(piece):
+            found, line = array("I"), self._piece("\n")
+            for i, part in enumerate(piece.split("\n")):
+                found += line + self._piece(part) if i else self._piece(part)
+            return found
+        return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids)
+
+    def _add(self, piece: str, ids: array) -> int:
+        """The number of a new piece."""
+        number = self.known[piece] = len(self.starts) - 1
+        self.flat += ids
+        self.starts.append(len(self.flat))
+        return number
+
+    def _number(self, piece: str) -> int:
+        """The number of a piece, which is added if it is new."""
+        at = self.known.get(piece)
+        if at is None:
+            ids = self._piece(piece)
+            at = self.known[piece] if piece in self.known else self._add(piece, ids)
+        return at
+
+    def _learn(self, new: Iterable[str]) -> None:
+        """Add new pieces: words first, all together, then words with a sign behind them, then the rest."""
+        words, signed, rest = [], [], []
+        for piece in new:
+            body = piece[1:] if piece[0] == " " else piece
+            if body.isalpha():
+                words.append(piece)
+            elif body[:-1].isalpha() and body[-1:] in _SIGNS:
+                signed.append(piece)
+            else:
+                rest.append(piece)
+        words += {p[:-1] for p in signed}.difference(self.known, words)
+        known, flat, starts, tokenize = self.known, self.flat, self.starts, self.model.tokenize
+        spelt = "\n".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[10]) if words else []
+        known.update(zip(words, range(len(starts) - 1, len(starts) - 1 + len(words))))
+        for word in spelt:
+            flat.extend([t.id for t in tokenize(word)])
+            starts.append(len(flat))
+        signs = {sign: self._piece(sign) for sign in _SIGNS}
+        for piece in signed:
+            at = known[piece[:-1]]
+            self._add(piece, flat[starts[at] : starts[at + 1]] + signs[piece[-1]])
+        for piece in rest:
+            self._number(piece)
+
+    def ids(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text; a null text has none.
+
+        Texts are cut at spaces and their words numbered by Arrow, so that each
+        distinct word is looked up once; ids are put together from the table.
+        Texts in which a space stands before white space are cut one by one.
+        """
         if len(self.known) > KNOWN_PIECES:
-            self.known = {"": b""}
-        cut = [pieces(t) for t in texts]
-        new = {p: self._piece(p) for p in set().union(*cut).difference(self.known)}
-        known, long = self.known, {p: x for p, x in new.items() if len(p) > LONGEST_KNOWN}
-        found = (lambda p: known[p] if p in known else long[p]) if long else known.__getitem__
-        return [b"".join(map(found, p)) for p in cut]
+            self._shrink()
+        column = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not len(column):
+            return []
+        cut = pc.split_pattern(pc.fill_null(column, ""), " ")
+        coded = cut.flatten().dictionary_encode()
+        words, place = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        sizes = cut.value_lengths().to_numpy()
+        ends = np.cumsum(sizes)
+        first = ends - sizes
+        later = np.ones(len(place), bool)
+        later[first] = False
+        used = np.bincount(place[later], minlength=len(words)) > 0
+        odd = np.array([not w or w[:1].isspace() for w in words.tolist()])
+        pieces_of = {i: pieces(column[i].as_py()) for i in np.unique(np.searchsorted(ends, np.flatnonzero(later & odd[place]), "right"))}
+        plain = np.flatnonzero(used & ~odd)
+        spaced, starting = [" " + w for w in words[plain].tolist()], words[place[first]].tolist()
+        new = [p for p, at in zip(spaced, map(self.known.get, spaced)) if at is None]
+        new += set(starting).union(*pieces_of.values()).difference(self.known, new)
+        self._learn([p for p in new if len(p) <= LONGEST_KNOWN])
+        long = {p: self._piece(p) for p in new if len(p) > LONGEST_KNOWN}  # may add parts of them
+        kept = len(self.starts), len(self.flat)
+        for piece, ids in long.items():
+            self._add(piece, ids)
+        numbers = np.zeros(len(words), np.int64)
+        numbers[plain] = np.fromiter(map(self.known.__getitem__, spaced), np.int64, len(spaced))
+        number = numbers[place]
+        number[first] = [self.known[w] for w in starting]
+        found = self._joined(number)
+        uses = np.bincount(number[number < kept[0] - 1], minlength=kept[0] - 1)
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
+        bounds = np.concatenate([[0], np.cumsum(self._sizes(number))])
+        out = [found[bounds[a] : bounds[b]] for a, b in zip(first, ends)]
+        for i, own in pieces_of.items():
+            out[i] = self._joined(np.array([self.known[p] for p in own], np.int64))
+        for piece in long:
+            del self.known[piece]
+        del self.starts[kept[0] :], self.flat[kept[1] :]
+        return out
+
+    def _sizes(self, numbers: np.ndarray) -> np.ndarray:
+        starts = np.array(self.starts)
+        return starts[numbers + 1] - starts[numbers]
+
+    def _joined(self, numbers: np.ndarray) -> np.ndarray:
+        """Ids of pieces by number, one after the other."""
+        sizes = self._sizes(numbers)
+        ends = np.cumsum(sizes)
+        shift = np.array(self.starts)[numbers] - ends + sizes
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, sizes)
+        return np.array(self.flat, np.uint32)[at]
 
 
 @functools.lru_cache(maxsize=2)
@@ -102,25 +221,25 @@ def tokenizer(path: str) -> PieceTokenizer:
     return PieceTokenizer(path)
 
 
-def by_size(texts: Iterable[str], most: int = BATCH_CHARS) -> Iterator[tuple[int, list[str]]]:
-    """(start, texts) in runs of about ``most`` characters."""
-    run, start, size = [], 0, 0
-    for i, text in enumerate(texts):
-        run.append(text)
-        size += len(text)
+def by_size(texts: pa.Array, most: int = BATCH_CHARS) -> Iterator[tuple[int, pa.Array]]:
+    """(start, texts) in runs of about ``most`` bytes; a longer text is a run of its own."""
+    sizes = np.asarray(pc.fill_null(pc.binary_length(texts), 0))
+    start = size = 0
+    for i, own in enumerate(sizes.tolist()):
+        size += own
         if size >= most:
-            yield start, run
-            run, start, size = [], i + 1, 0
-    if run:
-        yield start, run
+            yield start, texts.slice(start, i + 1 - start)
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, texts.slice(start)
 
 
 def encoded(batches: Iterable[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[object, np.ndarray]]:
     """(id, ids with the end id) of the rows of Arrow batches with columns ``id`` and ``text``; a null text is empty."""
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], np.uint32)
     model = tokenizer(path)
     for batch in batches:
         names = batch.column("id").to_pylist()
-        for start, run in by_size((x.as_py() or "") for x in batch.column("text")):
+        for start, run in by_size(batch.column("text")):
             for name, ids in zip(names[start:], model.ids(run)):
-                yield name, np.frombuffer(ids + end, dtype="<u4")
+                yield name, np.concatenate([ids, end])
