@@ -1,17 +1,20 @@
 """Toxicity by subword-bag embeddings, averaged into a linear softmax and trained jointly.
 
 A word is the bag of itself and its character n-grams, each with a vector in a
-hashed table, so a misspelling shares most of a known word's vectors. A long run
-without spaces is cut into consecutive words, so that all of it counts. A window
-is a run of a document's words, each distinct word counted once; it is the average of its words (short windows are filled up with empty
-words), a linear layer and a softmax of two classes give its score, and a
-document scores as its most toxic window does. So a few words decide in a long
-document as they do in a short one.
+hashed table, so a misspelling shares most of a known word's vectors. The word's
+own vector has a share of its own beside the average of its n-grams: a word seen
+in toxic documents only counts in full although its syllables are common. A long
+run without spaces is cut into consecutive words, so that all of it counts. A
+window is a short run of a document's words; it is their average (short windows
+are filled up with empty words), a linear layer and a softmax of two classes give
+its score, and a document scores as its most toxic window does. So a few words
+decide in a long document as they do in a short one.
 
 Training has two steps, both in numpy on a bounded sample of labelled
 documents: first on averages of whole documents, which finds the vectors that
 tell the classes apart; then on windows, where a toxic document is represented
-by its highest window and a clean one by its highest two and another.
+by its highest window and a clean one by its highest two and another. The words
+of the sample are held as one Arrow column and as numbers, never as lists.
 """
 
 from __future__ import annotations
@@ -41,21 +44,23 @@ _PART = re.compile(f"[^{_SIGNS}]+|[{_SIGNS}]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """Shape of the model, and the bounds of the samples it is fitted on (documents of each class, in each step)."""
+    """Shape of the model, and the bounds of the sample it is fitted on: documents of each class (in each step), and characters of all."""
 
     per_class: int = 4000
     document_sample: int = 1000
-    buckets: int = 1 << 18
+    most_chars: int = 60_000_000
+    buckets: int = 1 << 20
     dim: int = 4
     shortest: int = 3
     longest: int = 5
-    window: int = 32
+    own: float = 1.5
+    window: int = 2
     document_epochs: int = 2
-    window_rounds: int = 6
+    window_rounds: int = 12
     windows_seen: int = 60_000
     most_rounds: int = 40
     toxic_weight: float = 3.0
-    rate: float = 2.0
+    rate: float = 0.15
     damping: float = 0.01
     layer_rate: float = 1.0
     seed: int = 11
@@ -84,8 +89,8 @@ def subwords(found: Sequence[str], settings: Settings) -> tuple[np.ndarray, np.n
     """Rows of the table for words without the signs around them, and the place of each row's word.
 
     A word's rows are those of the word itself and of its character n-grams,
-    marked at both ends; a word of signs alone has none. All words are hashed at
-    once, character by character.
+    marked at both ends, with the word's own row last; a word of signs alone has
+    none. All words are hashed at once, character by character.
     """
     bare = [w.strip(EDGES) for w in found]
     points = np.frombuffer("".join(f"<{w}>" for w in bare).encode("utf-32-le", "replace"), "<u4").astype(np.uint32)
@@ -111,7 +116,16 @@ def subwords(found: Sequence[str], settings: Settings) -> tuple[np.ndarray, np.n
     named = sizes > 2
     rows.append(mixed((full & np.uint64(0xFFFFFFFF)).astype(np.uint32))[named])
     places.append(np.flatnonzero(named))
-    return np.concatenate(rows).astype(np.int32), np.concatenate(places)
+    places = np.concatenate(places)
+    order = np.argsort(places, kind="stable")
+    return np.concatenate(rows).astype(np.int32)[order], places[order]
+
+
+def shares(counts: np.ndarray, own: float) -> np.ndarray:
+    """Share of each row in its word, for words of so many rows: ``own`` for the last, the others share 1."""
+    out = np.repeat(1 / np.maximum(counts - 1, 1), counts)
+    out[np.cumsum(counts)[counts > 0] - 1] = own
+    return out
 
 
 def windows_of(n: int, window: int) -> np.ndarray:
@@ -121,26 +135,48 @@ def windows_of(n: int, window: int) -> np.ndarray:
 
 
 class Bags:
-    """Documents as rows of word numbers, words as rows of the table."""
-
-    def __init__(self, texts: list[str | None], settings: Settings):
-        numbers: dict[str, int] = {}
-        self.documents = [np.array([numbers.setdefault(w, len(numbers)) for w in words(t)], np.int64) for t in texts]
-        names, parts, counts = list(numbers), [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
-        for first in range(0, len(names), 20_000):
-            some = names[first : first + 20_000]
+    """Documents as word numbers, one after the other; words as rows of the table; windows as runs of words."""
+
+    def __init__(self, documents: pa.ListArray, settings: Settings):
+        coded = documents.flatten().dictionary_encode()
+        self.settings, self.words = settings, coded.indices.to_numpy()
+        self.sizes = documents.value_lengths().to_numpy().astype(np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        parts, counts = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+        for at in range(0, len(coded.dictionary), 20_000):
+            some = coded.dictionary.slice(at, 20_000).to_pylist()
             rows, places = subwords(some, settings)
-            parts.append(rows[np.argsort(places, kind="stable")])
+            parts.append(rows)
             counts.append(np.bincount(places, minlength=len(some)))
         self.rows = np.concatenate(parts)
         self.starts = np.cumsum(np.concatenate(counts))
+        cuts = [windows_of(int(n), settings.window) for n in self.sizes]
+        self.windows = np.array([len(c) - 1 for c in cuts], np.int64)  # of each document
+        self.edges = np.concatenate([np.empty(0, np.int64), *[c[:-1] + at for c, at in zip(cuts, self.first)]])
+        self.ends = np.append(self.edges[1:], len(self.words)) if len(self.edges) else self.edges
+
+    def document(self, i: int) -> np.ndarray:
+        return self.words[self.first[i] : self.first[i] + self.sizes[i]]
 
-    def features(self, bag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Table rows of the words of a bag, each with its share of its word."""
+    def features(self, bag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Table rows of the words of a bag, each with its share of its word, and the rows of each word."""
         counts = self.starts[bag + 1] - self.starts[bag]
         ends = np.cumsum(counts)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[bag] - ends + counts, counts)
-        return self.rows[at], np.repeat(1 / np.maximum(counts, 1), counts)
+        return self.rows[at], shares(counts, self.settings.own), counts
+
+    def values(self, weights: np.ndarray) -> np.ndarray:
+        """What each word adds to a window, by one weight for each row of the table."""
+        out = [np.empty(0)]
+        for at in range(0, len(self.starts) - 1, 50_000):
+            some = np.arange(at, min(at + 50_000, len(self.starts) - 1))
+            rows, share, counts = self.features(some)
+            out.append(np.bincount(np.repeat(np.arange(len(some)), counts), share * weights[rows], len(some)))
+        return np.concatenate(out)
+
+    def window_sums(self, weights: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(self.values(weights)[self.words])])
+        return sums[self.ends] - sums[self.edges]
 
 
 @dataclass
@@ -176,10 +212,9 @@ def _train(model: Model, bags: Bags, chosen: list[np.ndarray], sizes: np.ndarray
         order = rng.permutation(len(chosen))
         for first in range(0, len(order), size):
             batch = order[first : first + size]
-            found = [bags.features(chosen[i]) for i in batch]
-            of = np.repeat(np.arange(len(batch)), [len(f) for f, _ in found])
-            rows = np.concatenate([f for f, _ in found])
-            part = np.concatenate([s for _, s in found]) / sizes[batch][of]
+            rows, part, counts = bags.features(np.concatenate([chosen[i] for i in batch]))
+            of = np.repeat(np.repeat(np.arange(len(batch)), [len(chosen[i]) for i in batch]), counts)
+            part = part / sizes[batch][of]
             vectors = model.table[rows]
             hidden = np.stack([np.bincount(of, part * v, len(batch)) for v in vectors.T], axis=1)
             logits = hidden @ model.layer + model.bias
@@ -198,6 +233,9 @@ def _train(model: Model, bags: Bags, chosen: list[np.ndarray], sizes: np.ndarray
 
 def fit(texts: list[str | None], labels: list[int], settings: Settings = Settings()) -> Model:
     """Fit on the given documents; label 1 is toxic. Without both classes every score is the one seen (or 0)."""
+    lists = pa.list_(pa.string())
+    some = [pa.array([words(t) for t in texts[i : i + 200]], lists) for i in range(0, len(texts), 200)]
+    documents = pa.concat_arrays(some or [pa.array([], lists)])
     rng = np.random.default_rng(settings.seed)
     table = np.zeros((settings.buckets, settings.dim))
     layer = rng.normal(0, 1 / np.sqrt(settings.dim), (settings.dim, 2))
@@ -206,34 +244,30 @@ def fit(texts: list[str | None], labels: list[int], settings: Settings = Setting
     if len(set(labels)) < 2:
         model.bias = np.array([0.0, 20.0]) if 1 in labels else np.array([20.0, 0.0])
         return model
-    bags = Bags(texts, settings)
+    bags = Bags(documents, settings)
     seen = np.zeros_like(table)
-    lengths = np.array([max(len(d), settings.window) for d in bags.documents], float)
     some = np.concatenate([rng.permutation(np.flatnonzero(y == c))[: settings.document_sample] for c in (0, 1)])
-    _train(model, bags, [bags.documents[i] for i in some], lengths[some], y[some], settings.document_epochs, True, rng, seen)
-    cuts = [windows_of(len(d), settings.window) for d in bags.documents]
+    lengths = np.maximum(bags.sizes[some], settings.window).astype(float)
+    _train(model, bags, [bags.document(i) for i in some], lengths, y[some], settings.document_epochs, True, rng, seen)
+    of = np.repeat(np.arange(len(y)), bags.windows)
+    begins = np.cumsum(bags.windows) - bags.windows
     rounds = used = 0
     while rounds < settings.window_rounds or (used < settings.windows_seen and rounds < settings.most_rounds):
-        weights = model.table @ (model.layer[:, 1] - model.layer[:, 0])
-        sums = np.concatenate([[0], np.cumsum(weights[bags.rows])])
-        value = (sums[bags.starts[1:]] - sums[bags.starts[:-1]]) / np.maximum(np.diff(bags.starts), 1)
-        chosen, marks = [], []
-        for doc, cut, label in zip(bags.documents, cuts, y):
-            parts = [np.unique(doc[a:b]) for a, b in zip(cut, cut[1:])]
-            if label:
-                parts = [max(parts, key=lambda w: value[w].sum())]
-            elif len(parts) > 3:
-                top = np.argsort([-value[w].sum() for w in parts], kind="stable")[:2]
-                parts = [parts[i] for i in sorted({*top.tolist(), int(rng.integers(len(parts)))})]
-            chosen += parts
-            marks += [label] * len(parts)
+        sums = bags.window_sums(model.table @ (model.layer[:, 1] - model.layer[:, 0]))
+        ranked = np.lexsort([-sums, of])  # windows of each document, the highest first
+        second = begins[bags.windows > 1] + 1
+        clean = y[of] == 0
+        taken = np.zeros(len(of), bool)
+        taken[ranked[begins]] = True
+        taken[ranked[second][clean[second]]] = True
+        taken[(begins + rng.integers(bags.windows))[y == 0]] = True
+        chosen = np.flatnonzero(taken)
         rounds, used = rounds + 1, used + len(chosen)
-        sizes = np.full(len(chosen), float(settings.window))
-        _train(model, bags, chosen, sizes, np.array(marks), 1, False, rng, seen)
+        bag = [bags.words[a:b] for a, b in zip(bags.edges[chosen], bags.ends[chosen])]
+        _train(model, bags, bag, np.full(len(chosen), float(settings.window)), y[of[chosen]], 1, False, rng, seen)
     fitted = Model(settings, model.table, model.layer, model.bias)
-    scorer = Scorer(fitted.weights, fitted.offset, settings)
-    logits = [z for first in range(0, len(texts), 500) for z in scorer.logits(texts[first : first + 500])]
-    fitted.bias[1] -= _cut(np.array(logits), y)
+    highest = np.maximum.reduceat(bags.window_sums(fitted.weights), begins)
+    fitted.bias[1] -= _cut(highest / settings.window + fitted.offset, y)
     return fitted
 
 
@@ -263,9 +297,8 @@ class Scorer:
 
     def _learn(self, new: list[str]) -> None:
         rows, places = subwords(new, self.settings)
-        sums = np.bincount(places, self.weights[rows], len(new))
-        values = sums / np.maximum(1, np.bincount(places, minlength=len(new)))
-        self.known.update(zip(new, values.tolist()))
+        share = shares(np.bincount(places, minlength=len(new)), self.settings.own)
+        self.known.update(zip(new, np.bincount(places, share * self.weights[rows], len(new)).tolist()))
 
     def logits(self, texts: Sequence[str | None]) -> list[float]:
         found = [words(t) for t in texts]
@@ -278,9 +311,9 @@ class Scorer:
             self._learn(new[first : first + 20_000])
         value, out = self.known.__getitem__, []
         for text in found:
-            cuts = windows_of(len(text), self.settings.window).tolist()
-            top = max(sum(map(value, set(text[a:b]))) for a, b in zip(cuts, cuts[1:]))
-            out.append(top / self.settings.window + self.offset)
+            values = np.fromiter(map(value, text), np.float64, len(text))
+            top = np.add.reduceat(values, windows_of(len(text), self.settings.window)[:-1]).max() if text else 0.0
+            out.append(float(top) / self.settings.window + self.offset)
         return out
 
     def scores(self, texts: Sequence[str | None]) -> list[float]:
@@ -295,7 +328,9 @@ def fit_on(df: DataFrame, labels: DataFrame, settings: Settings, id_col: str, te
     document labelled twice counts as toxic if either says so. The chosen ids
     are few, whatever the tables hold, so the documents are not shuffled. Of an
     id's distinct texts at most ``TEXTS_PER_ID`` are read, and ``4 * per_class``
-    of all ids, those of the least hashes; every id's first comes before any second.
+    of all ids, those of the least hashes; every id's first comes before any
+    second. Of those, texts are read in that order as long as they have no more
+    than ``most_chars`` characters in all, so the driver's memory is bounded.
     """
     spark = df.sparkSession
     one = labels.filter("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -304,12 +339,14 @@ def fit_on(df: DataFrame, labels: DataFrame, settings: Settings, id_col: str, te
     texts = df.select(df[id_col].cast("long").alias("_id"), df[text_col].alias("text"))
     found = texts.join(F.broadcast(ids), "_id").withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     place = F.row_number().over(Window.partitionBy("_id").orderBy("_hash"))
-    several = found.select("_id", "_hash").distinct().withColumn("_place", place).filter(F.col("_place") <= TEXTS_PER_ID)
-    chosen = several.orderBy("_place", "_hash", "_id").limit(4 * settings.per_class).select("_id", "_hash").collect()
-    keys = spark.createDataFrame([tuple(r) for r in chosen], "_id long, _hash long")
-    rows = found.join(F.broadcast(keys), ["_id", "_hash"]).select("text", "label").distinct().collect()
-    rows = sorted({(r["text"] or "", r["label"]) for r in rows})
-    return fit([t for t, _ in rows], [y for _, y in rows], settings)
+    size = F.coalesce(F.length("text"), F.lit(0)).alias("_size")
+    several = found.select("_id", "_hash", size).distinct().withColumn("_place", place).filter(F.col("_place") <= TEXTS_PER_ID)
+    chosen = several.orderBy("_place", "_hash", "_id").limit(4 * settings.per_class).select("_id", "_hash", "_size").collect()
+    fits = np.cumsum([r["_size"] for r in chosen]) <= settings.most_chars
+    keys = spark.createDataFrame([(r["_id"], r["_hash"]) for r, good in zip(chosen, fits) if good], "_id long, _hash long")
+    rows = found.join(F.broadcast(keys), ["_id", "_hash"]).select(F.coalesce("text", F.lit("")).alias("text"), "label")
+    sample = rows.distinct().toArrow().sort_by([("text", "ascending"), ("label", "ascending")])
+    return fit(sample.column("text").to_pylist(), sample.column("label").to_pylist(), settings)
 
 
 def score_documents(
