@@ -237,7 +237,7 @@ def fit(texts: list[str | None], labels: list[int], settings: Settings = Setting
     some = [pa.array([words(t) for t in texts[i : i + 200]], lists) for i in range(0, len(texts), 200)]
     documents = pa.concat_arrays(some or [pa.array([], lists)])
     rng = np.random.default_rng(settings.seed)
-    table = np.zeros((settings.buckets, settings.dim))
+    table = np.zeros((settings.buckets, settings.dim), np.float32)
     layer = rng.normal(0, 1 / np.sqrt(settings.dim), (settings.dim, 2))
     model = Model(settings, table, layer, np.zeros(2))
     y = np.array(labels, np.int64)
@@ -245,11 +245,12 @@ def fit(texts: list[str | None], labels: list[int], settings: Settings = Setting
         model.bias = np.array([0.0, 20.0]) if 1 in labels else np.array([20.0, 0.0])
         return model
     bags = Bags(documents, settings)
+    del documents, some
     seen = np.zeros_like(table)
     some = np.concatenate([rng.permutation(np.flatnonzero(y == c))[: settings.document_sample] for c in (0, 1)])
     lengths = np.maximum(bags.sizes[some], settings.window).astype(float)
     _train(model, bags, [bags.document(i) for i in some], lengths, y[some], settings.document_epochs, True, rng, seen)
-    of = np.repeat(np.arange(len(y)), bags.windows)
+    of = np.repeat(np.arange(len(y), dtype=np.int32), bags.windows)
     begins = np.cumsum(bags.windows) - bags.windows
     rounds = used = 0
     while rounds < settings.window_rounds or (used < settings.windows_seen and rounds < settings.most_rounds):
