@@ -40,6 +40,15 @@ raw AS (
   SELECT * EXCLUDE (l_orderkey) FROM base WHERE l_orderkey % 40 = 0
 )"""
 
+TEXTS = RAW + r""",
+texts AS (
+  SELECT InvoiceNo, CASE WHEN o % 61 = 8 THEN 'a dozen' ELSE Quantity::VARCHAR END AS Quantity,
+         CASE WHEN o % 67 = 9 THEN '' WHEN o % 71 = 4 THEN 'free' ELSE UnitPrice::VARCHAR END AS UnitPrice,
+         CASE WHEN o % 83 = 2 THEN 'guest' ELSE CustomerID END AS CustomerID,
+         CASE WHEN o % 73 = 11 THEN 'soon' WHEN o % 79 = 6 THEN '2/30/1995 8:26' ELSE
+           month(t) || '/' || day(t) || '/' || year(t) || ' ' || hour(t) || ':' || lpad(minute(t)::VARCHAR, 2, '0') END AS InvoiceDate
+  FROM (SELECT *, regexp_extract(InvoiceNo, '(\d+)', 1)::BIGINT AS o, InvoiceDate::TIMESTAMP AS t FROM raw))"""
+
 CLEAN = RAW + """,
 clean AS (
   SELECT InvoiceNo, StockCode, Description, CAST(Quantity AS DOUBLE) AS Quantity,
@@ -440,6 +449,21 @@ gaps AS (
 def statements() -> dict[str, str]:
     z = repr(NormalDist().inv_cdf(0.975))
     sql = {}
+    number = lambda i: f"list_extract(regexp_extract_all(InvoiceDate, '\\d+'), {i})"
+    ranges = ", ".join(f"coalesce({f}(TRY_CAST({number(i)} AS BIGINT)), 0) AS {n}{i}" for i in (1, 2, 3) for f, n in (("min", "least"), ("max", "most")))
+    sql["date_formats"] = _query(
+        TEXTS,
+        f"""SELECT regexp_replace(InvoiceDate, '\\d+', '9', 'g') AS shape, count(*) AS "rows", coalesce(min(len({number(1)})), 0) AS digits1,
+        coalesce(min(len({number(3)})), 0) AS digits3, {ranges}, 'M/d/yyyy H:m' AS formats FROM texts GROUP BY 1""",
+    )
+    unreadable = lambda c: f"{c} IS NOT NULL AND trim({c}) <> '' AND TRY_CAST({c} AS DOUBLE) IS NULL"
+    sql["rejected_rows"] = _query(
+        TEXTS,
+        f"""SELECT CASE WHEN {unreadable("Quantity")} THEN 'unreadable quantity' WHEN {unreadable("UnitPrice")} THEN 'unreadable price'
+        WHEN {unreadable("CustomerID")} THEN 'unreadable customer'
+        WHEN try_strptime(InvoiceDate, '%m/%d/%Y %H:%M') IS NULL THEN 'unreadable date' ELSE 'accepted' END AS reason,
+        count(*) AS "rows", count(DISTINCT InvoiceNo) AS invoices FROM texts GROUP BY 1""",
+    )
     sql["clean_transactions"] = _query(
         CLEAN,
         f"""SELECT InvoiceNo, StockCode, Description, round(Quantity + {NUDGE}, 4) AS Quantity,

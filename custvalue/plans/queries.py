@@ -33,7 +33,8 @@ from custvalue.operators.features import build_features
 from custvalue.operators.segments import PREDICTION
 from custvalue.operators.summary import aggregate_by_customer
 from custvalue.session import materialise
-from custvalue.sources.starschema import raw_transactions
+from custvalue.sources import dates, rejects
+from custvalue.sources.starschema import raw_texts, raw_transactions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -555,8 +556,24 @@ def uploaded_scores(spark, sf_dir):
     return scoring.score_uploaded(training.best, upload, ties="rank")
 
 
+
+def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes of the date texts of a retail export with their numbers' ranges, and the formats that follow from them."""
+    texts = raw_texts(spark, sf_dir)
+    formats = " | ".join(dates.date_formats(texts))
+    return dates.date_shapes(texts).fillna(0).withColumn("formats", F.lit(formats))
+
+
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a retail export by the reason why they cannot be read, with those that can."""
+    texts = raw_texts(spark, sf_dir)
+    rows = rejects.classified(texts, dates.date_formats(texts))
+    reason = F.coalesce("reject_reason", F.lit("accepted")).alias("reason")
+    return rows.groupBy(reason).agg(F.count("*").alias("rows"), F.count_distinct("InvoiceNo").alias("invoices"))
+
 # Queries by key, in the order of the operator inventory.
 QUERIES: list[Query] = [
+    date_formats, rejected_rows,
     clean_transactions, clean_step_counts, preprocessing_stats,
     validate_quality, null_profile, missing_columns, distinct_profile, numeric_describe,
     customer_summary, summary_model_matrix,

@@ -66,3 +66,20 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
             "Country",
         )
     )
+
+
+def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw transactions as texts of a retail export: month first, and some values that cannot be read."""
+    df = raw_transactions(spark, sf_dir)
+    order = F.regexp_extract("InvoiceNo", r"(\d+)", 1).cast("bigint")
+    stamped = F.date_format(F.col("InvoiceDate").cast("timestamp_ntz"), "M/d/yyyy H:mm")
+    return df.withColumns(
+        {
+            "Quantity": F.when(order % 61 == 8, F.lit("a dozen")).otherwise(F.col("Quantity").cast("string")),
+            "UnitPrice": F.when(order % 67 == 9, F.lit("")).when(order % 71 == 4, F.lit("free")).otherwise(
+                F.col("UnitPrice").cast("string")
+            ),
+            "InvoiceDate": F.when(order % 73 == 11, F.lit("soon")).when(order % 79 == 6, F.lit("2/30/1995 8:26")).otherwise(stamped),
+            "CustomerID": F.when(order % 83 == 2, F.lit("guest")).otherwise(F.col("CustomerID")),
+        }
+    )
