@@ -3,7 +3,11 @@
 A page is cut into blocks at block-level tags. The first pass labels each block
 from itself: where it stands (menus, footers, forms, adverts, notices, comments
 and other boilerplate containers; or inside the article), its length, its link
-density and its density of stop words. Short blocks stay undecided. The second
+density and its density of stop words. Short blocks stay undecided. Elements
+such as menus and footers rule their blocks out; a class or id only does so if
+all of its words are listed names, not if one of them is. Stop words of the
+listed languages speak for a block, never against a long one without links: in
+another language it is judged by its length and its neighbours. The second
 pass gives an undecided block the label of the nearest decided neighbours: good
 if both sides are good, otherwise that of the nearer side; a block as near to a
 good as to a bad one is good if it is inside the article.
@@ -53,6 +57,11 @@ BOILERPLATE_NAMES = frozenset(
     tags teaser toolbar widget
     """.split()
 )
+# Words around a name that say no more than where or what box it is.
+BOXES = frozenset(
+    "area bar block body box buttons container content form icons inner item items links list panel posts section slot unit wrap wrapper".split()
+)
+PLACES = frozenset("bottom global left main right site top user".split())
 ARTICLE_NAMES = frozenset("article articlebody content entry main maincontent post story".split())
 
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -87,6 +96,17 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(text)}
 
 
+def _spellings(token: str) -> set[str]:
+    """A class or id as one lower-case word; and its words, if all are listed but for places before and boxes behind."""
+    parts = [p.lower() for p in _PARTS.split(token) if p]
+    whole = "".join(parts)
+    while len(parts) > 1 and parts[-1] in BOXES:
+        parts.pop()
+    while len(parts) > 1 and parts[0] in PLACES:
+        parts.pop(0)
+    return {whole, *parts} if BOILERPLATE_NAMES.issuperset(parts) else {whole}
+
+
 def _role(name: str, attributes: str, inside_article: bool) -> str | None:
     """``boilerplate``, ``article`` or None for an element, from its name and its class, id and role."""
     if name in BOILERPLATE or (name == "header" and not inside_article):
@@ -96,13 +116,11 @@ def _role(name: str, attributes: str, inside_article: bool) -> str | None:
         found = _attributes(attributes)
         if "hidden" in found or "display:none" in found.get("style", "").replace(" ", "").lower():
             return "boilerplate"
-        names = set()
-        for key in ("class", "id", "role", "itemprop"):
-            value = found.get(key, "")
-            names.update(x.lower() for x in _PARTS.split(value))
-            names.update(re.sub("[^a-z]", "", x.lower()) for x in value.split())
-        if names & BOILERPLATE_NAMES or found.get("aria-hidden") == "true":
-            return "boilerplate" if name not in ARTICLE or names & {"comment", "comments", "teaser", "related"} else role
+        names = {x for key in ("class", "id", "role", "itemprop") for token in found.get(key, "").split() for x in _spellings(token)}
+        if found.get("aria-hidden") == "true" and name not in ARTICLE:
+            return "boilerplate"
+        if names & BOILERPLATE_NAMES and (name not in ARTICLE or names & {"comment", "comments", "teaser", "related"}):
+            return "boilerplate"
         if names & ARTICLE_NAMES:
             role = "article"
     return role
@@ -219,16 +237,25 @@ def first_pass(block: Block, rules: Rules) -> str | None:
     if size < rules.short:
         return "bad" if "©" in block.text and not block.article else None
     found = _WORD.findall(block.text.lower())
-    density = sum(w in STOP_WORDS for w in found) / max(1, len(found))
+    known = sum(w in STOP_WORDS for w in found)
+    density = known / max(1, len(found))
     if density >= rules.high_stop_words or (density >= rules.low_stop_words and size >= rules.long):
         return "good"
-    return None if density >= rules.low_stop_words or block.article else "bad"
+    if density >= rules.low_stop_words or block.article or block.linked == 0 and size >= rules.long and known:
+        return None
+    if known == 0 and block.linked == 0:  # another language, or no prose
+        return "good" if size >= rules.long else None
+    return "bad"
 
 
 def extract(page: str | None, rules: Rules = Rules()) -> list[str]:
     """Texts of the good blocks of a page, in their order."""
     found = list(blocks(page or ""))
     labels = [first_pass(b, rules) for b in found]
+    if "good" not in labels:  # no prose of the listed languages: long blocks without links decide
+        labels = [
+            "good" if x is None and not b.article and b.linked == 0 and len(b.text) >= rules.long else x for x, b in zip(labels, found)
+        ]
     before: list[tuple[str, int] | None] = []
     last = None
     for i, x in enumerate(labels):

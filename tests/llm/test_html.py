@@ -1,6 +1,7 @@
 """Main text of pages."""
 
 import html as entities
+import random
 import re
 
 import pytest
@@ -57,6 +58,73 @@ def test_blocks_outside_articles_and_copyright_signs(page, blocks):
     assert H.extract(page) == blocks
 
 
+POLISH = "Wieczorem wszyscy spotkali się przy ognisku, a starszy pan opowiadał o dawnych czasach, kiedy w lesie żyły jeszcze wilki. " * 2
+RUSSIAN = "Вечером все собрались у костра, и старик рассказывал о давних временах, когда в лесу ещё жили волки. " * 3
+CHINESE = "傍晚，大家围坐在篝火旁，老人讲起了很久以前的故事，那时森林里还有狼。" * 8
+MENU = "<nav><a href=1>one</a></nav>"
+
+
+@pytest.mark.parametrize("prose", [LONG, LONG + " " + LONG])
+@pytest.mark.parametrize(
+    "opening", ['<div class="container has-sidebar">', '<article><div class="layout sidebar-right">', '<div class="page no-search">', '<section id="social-history">']
+)
+def test_one_listed_word_in_a_name_rules_nothing_out(opening, prose):
+    assert H.extract(f"{MENU}{opening}<p>{prose}</p><p>{prose}</p>") == [prose, prose]
+
+
+def test_titles_in_headers_of_entries():
+    page = f'<article><div class="entry-header"><h1>Title</h1></div><p>{LONG}</p><div class="cookie-banner">Yes</div></article>'
+    assert H.extract(page) == ["Title", LONG]
+
+
+@pytest.mark.parametrize("name", ["sidebar", "site-footer", "ad-slot", "comment-list", "commentsArea", "newsletter_signup", "related-posts", "menu main"])
+def test_listed_names_rule_out_whatever_they_hold(name):
+    assert H.extract(f"<div><p>{LONG}</p></div><div class='{name}'><p>{LONG} {LONG}</p></div>") == [LONG]
+
+
+@pytest.mark.parametrize("prose", [POLISH, RUSSIAN, CHINESE])
+def test_prose_of_other_languages(prose):
+    prose = prose.strip()
+    assert H.extract(f"{MENU}<div><p>{prose}</p><p>{prose}</p></div><footer>{prose}</footer>") == [prose, prose]
+
+
+def plain_labels(blocks, rules):
+    """Both passes by their definition, block by block."""
+    first = [H.first_pass(b, rules) for b in blocks]
+    if "good" not in first:
+        long = lambda b: not b.article and not b.linked and len(b.text) >= rules.long
+        first = ["good" if x is None and long(b) else x for x, b in zip(first, blocks)]
+    out = []
+    for i, own in enumerate(first):
+        edge = "good" if blocks[i].article else "bad"
+        sides = []
+        for way in (range(i - 1, -1, -1), range(i + 1, len(blocks))):
+            at = next((j for j in way if first[j]), None)
+            if at is None or (edge == "good" and (not blocks[at].article or blocks[at].boilerplate)):
+                sides.append((len(blocks), edge))
+            else:
+                sides.append((abs(at - i), first[at]))
+        near = min(sides)[0]
+        heard = {label for far, label in sides if far == near}
+        out.append(own or (sides[0][1] if sides[0][1] == sides[1][1] else heard.pop() if len(heard) == 1 else edge))
+    return out
+
+
+def test_both_passes_on_random_pages():
+    rng = random.Random(8)
+    texts = ["x", "short", LONG, LONG * 2, POLISH, "word " * 30, "© us", "no stop here " * 20]
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randrange(1, 14)):
+            text = rng.choice(texts)
+            body = rng.choice([text, f"<a href=x>{text}</a>", f"{text} <a href=x>a link to it</a>"])
+            parts.append(rng.choice(["<p>{}</p>", "<nav>{}</nav>", "<article><p>{}</p></article>", "<div class=ad>{}</div>"]).format(body))
+        page = "".join(parts)
+        blocks = list(H.blocks(page))
+        want = [b.text for b, x in zip(blocks, plain_labels(blocks, H.Rules())) if x == "good"]
+        assert H.extract(page) == want
+
+
 LINES = ">".join(["<p>markup in a value</p>"] * 600)  # over 10,000 characters
 
 
