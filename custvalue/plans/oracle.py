@@ -10,6 +10,7 @@ from statistics import NormalDist
 
 from custvalue.operators import segments as S
 from custvalue.operators.metrics import AS241_CENTRE, AS241_MIDDLE, AS241_TAIL
+from custvalue.operators.periods import PERIODS
 
 NUDGE = "1e-7"
 DAY = "86400000000"
@@ -456,6 +457,26 @@ def statements() -> dict[str, str]:
         f"""SELECT regexp_replace(InvoiceDate, '\\d+', '9', 'g') AS shape, count(*) AS "rows", coalesce(min(len({number(1)})), 0) AS digits1,
         coalesce(min(len({number(3)})), 0) AS digits3, {ranges}, 'M/d/yyyy H:m' AS formats FROM texts GROUP BY 1""",
     )
+    windows = [
+        f"""round(sum(Spent) OVER w{n} + {NUDGE}, 4) AS Spent_{n}, CAST(sum(Lines) OVER w{n} AS BIGINT) AS Lines_{n},
+        count(*) OVER w{n} AS ActiveDays_{n}"""
+        for n in PERIODS
+    ]
+    frames = [
+        f"""w{n} AS (PARTITION BY CustomerID ORDER BY "Date" RANGE BETWEEN INTERVAL {n - 1} DAYS PRECEDING AND CURRENT ROW)"""
+        for n in PERIODS
+    ]
+    sql["rolling_period_features"] = _query(
+        CLEAN
+        + """,
+days AS (SELECT CustomerID, CAST(InvoiceDate AS DATE) AS "Date", sum(TotalAmount) AS Spent, count(*) AS Lines FROM clean GROUP BY ALL)""",
+        f"""SELECT CustomerID, strftime("Date", '%Y-%m-%d') AS "Date", {", ".join(windows)} FROM days WINDOW {", ".join(frames)}""",
+    )
+    sql["calendar_report"] = _query(
+        CLEAN,
+        f"""SELECT quarter(InvoiceDate) AS "Quarter", month(InvoiceDate) AS "Month", isodow(InvoiceDate) >= 6 AS IsWeekend,
+        count(*) AS Lines, round(sum(TotalAmount) + {NUDGE}, 4) AS Revenue FROM clean GROUP BY ALL""",
+    )
     unreadable = lambda c: f"{c} IS NOT NULL AND trim({c}) <> '' AND TRY_CAST({c} AS DOUBLE) IS NULL"
     sql["rejected_rows"] = _query(
         TEXTS,

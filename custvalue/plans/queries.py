@@ -20,6 +20,7 @@ from custvalue.operators import (
     cohort,
     metrics,
     models,
+    periods,
     prepare,
     reports,
     rfm,
@@ -557,6 +558,16 @@ def uploaded_scores(spark, sf_dir):
 
 
 
+def rolling_period_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spending, lines and active days of each customer over rolling periods."""
+    return periods.rolling_periods(lines(spark, sf_dir))
+
+
+def calendar_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and revenue by quarter, month and weekend flag."""
+    return periods.calendar_report(lines(spark, sf_dir))
+
+
 def date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shapes of the date texts of a retail export with their numbers' ranges, and the formats that follow from them."""
     texts = raw_texts(spark, sf_dir)
@@ -573,7 +584,7 @@ def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Queries by key, in the order of the operator inventory.
 QUERIES: list[Query] = [
-    date_formats, rejected_rows,
+    date_formats, rejected_rows, rolling_period_features, calendar_report,
     clean_transactions, clean_step_counts, preprocessing_stats,
     validate_quality, null_profile, missing_columns, distinct_profile, numeric_describe,
     customer_summary, summary_model_matrix,
