@@ -125,12 +125,12 @@ def rfm_code(r: Column, f: Column, m: Column) -> Column:
 
 
 def customer_segment(r: Column, f: Column, m: Column) -> Column:
-    """Named segment of a score triple; the first matching branch decides."""
+    """Named segment of a score triple; the first matching branch decides. A null score meets no condition."""
     recent, lapsed = r >= 4, r <= 2
     rare = f <= 2
     return (
-        F.when(F.least(r, f, m) >= 4, "Champions")
-        .when(F.least(r, f, m) >= 3, "Loyal Customers")
+        F.when((r >= 4) & (f >= 4) & (m >= 4), "Champions")
+        .when((r >= 3) & (f >= 3) & (m >= 3), "Loyal Customers")
         .when(recent & rare, "New Customers")
         .when(lapsed & (f >= 3), "At Risk")
         .when(lapsed & rare & (m >= 3), "Cant Lose")

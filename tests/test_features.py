@@ -314,3 +314,9 @@ def test_split_is_stable_and_complete(table):
     assert sorted(r[0] for r in train.select("CustomerID").collect()) == sorted(
         r[0] for r in again.select("CustomerID").collect()
     )
+
+
+def test_a_null_score_is_no_champion(spark):
+    df = spark.createDataFrame([(None, 5, 5), (5, None, 5), (5, 5, None), (5, 5, 5)], "r int, f int, m int")
+    named = df.select(X.customer_segment(df.r, df.f, df.m)).collect()
+    assert [r[0] for r in named] == ["Potential Loyalists"] * 3 + ["Champions"]
