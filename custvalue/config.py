@@ -35,6 +35,7 @@ class ForestParams:
     trees: int = 100
     depth: int = 10
     min_leaf: int = 2
+    min_split: int = 2  # through the leaf size, see operators.models.leaf_size
     seed: int = 42
 
 
@@ -94,7 +95,13 @@ COLUMN_KEYS = {
 }
 # Settings file keys of the other sections, with our names.
 WEIGHT_KEYS = {"recency_weight": "recency", "frequency_weight": "frequency", "monetary_weight": "monetary"}
-FOREST_KEYS = {"n_estimators": "trees", "max_depth": "depth", "min_samples_leaf": "min_leaf", "random_state": "seed"}
+FOREST_KEYS = {
+    "n_estimators": "trees",
+    "max_depth": "depth",
+    "min_samples_leaf": "min_leaf",
+    "min_samples_split": "min_split",
+    "random_state": "seed",
+}
 BOOSTING_KEYS = {
     "n_estimators": "rounds",
     "max_depth": "depth",

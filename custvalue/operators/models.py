@@ -13,7 +13,12 @@ from multiprocessing.pool import ThreadPool
 from pyspark.errors import AnalysisException
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import (
+    GBTRegressor,
+    LinearRegression,
+    RandomForestRegressionModel,
+    RandomForestRegressor,
+)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +26,7 @@ from custvalue.config import Settings
 from custvalue.operators.customers import KEY
 from custvalue.operators.metrics import regression_metrics
 from custvalue.operators.prepare import column_medians, split, with_fold
+from custvalue.operators.products import Products
 
 log = logging.getLogger(__name__)
 
@@ -50,6 +56,9 @@ DEFAULT_GRIDS = {
 }
 
 UNLIMITED_DEPTH = 30  # the deepest tree Spark grows
+# The setting that counts an ensemble's trees, and its value where a grid names none.
+SIZES = {"random_forest": "trees", "gradient_boosting": "rounds"}
+DEFAULT_TREES = 100
 
 
 def canonical_name(name: str) -> str:
@@ -59,6 +68,15 @@ def canonical_name(name: str) -> str:
     return name
 
 
+def leaf_size(min_leaf: int, min_split: int) -> int:
+    """The leaf size that stands for a least leaf and a least split size.
+
+    Spark has no minimum split size. Two leaves of half that size (rounded up)
+    never split a smaller node; they also forbid uneven splits of larger ones.
+    """
+    return max(min_leaf, (min_split + 1) // 2)
+
+
 def estimator(name: str, settings: Settings = Settings()) -> Estimator:
     """The configured regressor on ``features`` and ``label``."""
     name = canonical_name(name)
@@ -71,7 +89,7 @@ def estimator(name: str, settings: Settings = Settings()) -> Estimator:
         return RandomForestRegressor(
             numTrees=p.trees,
             maxDepth=p.depth,
-            minInstancesPerNode=p.min_leaf,
+            minInstancesPerNode=leaf_size(p.min_leaf, p.min_split),
             featureSubsetStrategy="all",
             seed=p.seed,
         )
@@ -149,11 +167,16 @@ def _r2_and_rows(scored: DataFrame) -> tuple[float, int]:
     row = scored.agg(
         F.sum(error * error).alias("sse"), F.var_pop("label").alias("var"), F.count(F.lit(1)).alias("n")
     ).first()
-    if not row["n"]:
-        return float("nan"), 0
-    if not row["var"]:
-        return (1.0 if row["sse"] == 0 else 0.0), row["n"]
-    return 1 - row["sse"] / (row["var"] * row["n"]), row["n"]
+    return _r2(row["sse"], row["var"], row["n"]), row["n"]
+
+
+def _r2(squared_error: float, variance: float, rows: int) -> float:
+    """NaN without rows; 1 or 0 where the label is constant."""
+    if not rows:
+        return float("nan")
+    if not variance:
+        return 1.0 if squared_error == 0 else 0.0
+    return 1 - squared_error / (variance * rows)
 
 
 def train_model(
@@ -293,9 +316,24 @@ def cross_validate(
     settings: Settings = Settings(),
     parallelism: int = 2,
 ) -> DataFrame:
-    """``model, fold, r2``; the scaler is fitted inside each fold."""
+    """``model, fold, r2, rows``; the scaler is fitted inside each fold.
+
+    Linear fits of all folds come from one table of sums of products; other
+    models are fitted fold by fold.
+    """
     data = _folds(df, columns, target, folds).persist()
 
+    def linear() -> list[tuple]:
+        products = Products.of(data, columns, "label", ["fold"])
+        scores = []
+        for fold in range(folds):
+            held_out = products.total(lambda group: group[0] == fold)
+            weights = products.weights(
+                products.total(lambda group: group[0] != fold), intercept=settings.linear.fit_intercept
+            )
+            scores.append((canonical_name(name), fold, products.r2(weights, held_out), round(held_out[0, 0])))
+        return scores
+
     def one(fold: int) -> tuple:
         train, held_out = _fold_parts(data, fold)
         fitted = Pipeline(stages=[*preparation(columns), estimator(name, settings)]).fit(train)
@@ -303,8 +341,11 @@ def cross_validate(
         return canonical_name(name), fold, r2, rows
 
     try:
-        with ThreadPool(parallelism) as pool:
-            scores = pool.map(one, range(folds))
+        if canonical_name(name) == "linear_regression":
+            scores = linear()
+        else:
+            with ThreadPool(parallelism) as pool:
+                scores = pool.map(one, range(folds))
     finally:
         data.unpersist()
     return df.sparkSession.createDataFrame(scores, "model string, fold int, r2 double, rows long")
@@ -331,13 +372,10 @@ def _tuned(name: str, params: dict, label_std: float, rows: int) -> Estimator:
             regParam=alpha / rows * label_std, elasticNetParam=0.0, solver="normal", standardization=False
         )
     if name == "random_forest":
-        # Spark has no minimum split size; a split needs twice the minimum leaf,
-        # so the leaf size that implies it is used.
-        leaf = max(params.get("min_leaf", 1), (params.get("min_split", 2) + 1) // 2)
         return RandomForestRegressor(
             numTrees=params.get("trees", 100),
             maxDepth=params.get("depth", UNLIMITED_DEPTH) or UNLIMITED_DEPTH,
-            minInstancesPerNode=leaf,
+            minInstancesPerNode=leaf_size(params.get("min_leaf", 1), params.get("min_split", 2)),
             featureSubsetStrategy="all",
             seed=42,
         )
@@ -351,14 +389,143 @@ def _tuned(name: str, params: dict, label_std: float, rows: int) -> Estimator:
     )
 
 
+def staged_r2(ensemble, rows: DataFrame, stages: list[int]) -> dict[int, float]:
+    """R2 of an ensemble's first ``n`` trees for every ``n`` of ``stages``, from one pass over (features, label).
+
+    Every tree predicts once; running sums of the weighted predictions are the
+    shorter ensembles. For boosting these are the very ensembles that fewer
+    rounds fit. A forest draws the rows of all its trees together, so its first
+    trees are a forest of that size, but not the one a separate fit would draw.
+    """
+    averaged = isinstance(ensemble, RandomForestRegressionModel)
+    trees, weights = ensemble.trees, ensemble.treeWeights
+    scored = rows.select("features", "label", F.lit(0.0).alias("_sum"))
+    kept: list[str] = []
+    done = 0
+    for stage in sorted(set(stages)):
+        if not 0 < stage <= len(trees):
+            raise ValueError(f"{stage} trees wanted of an ensemble of {len(trees)}")
+        terms = [F.col("_sum")]
+        for i in range(done, stage):
+            scored = trees[i].setPredictionCol(f"_tree{i}").transform(scored)
+            terms.append(F.col(f"_tree{i}") * F.lit(float(weights[i])))
+        total = F.aggregate(F.array(*terms), F.lit(0.0), lambda a, b: a + b)
+        scored = scored.select("features", "label", *kept, total.alias("_sum"))
+        kept.append(f"_stage{stage}")
+        scored = scored.withColumn(kept[-1], F.col("_sum") / (stage if averaged else 1))
+        done = stage
+    errors = [F.sum((F.col("label") - F.col(c)) ** 2).alias(c) for c in kept]
+    row = scored.agg(*errors, F.var_pop("label").alias("var"), F.count(F.lit(1)).alias("n")).first()
+    return {stage: _r2(row[f"_stage{stage}"], row["var"], row["n"]) for stage in stages}
+
+
 def _label_facts(data: DataFrame) -> tuple[float, int]:
     row = data.agg(F.stddev_pop("label").alias("s"), F.count("label").alias("n")).first()
     return row["s"], row["n"]
 
 
+@dataclass
+class GridScores:
+    """R2 per candidate and fold."""
+
+    candidates: list[dict]
+    scores: list[list[float]]
+
+    @property
+    def means(self) -> list[float]:
+        return [sum(s) / len(s) for s in self.scores]
+
+    @property
+    def best(self) -> int:
+        return max(range(len(self.candidates)), key=self.means.__getitem__)
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """``params, mean_r2, std_r2``, best first."""
+        rows = [(json.dumps(c), f, r2) for c, s in zip(self.candidates, self.scores) for f, r2 in enumerate(s)]
+        long = spark.createDataFrame(rows, "params string, fold int, r2 double")
+        results = long.groupBy("params").agg(F.avg("r2").alias("mean_r2"), F.stddev_pop("r2").alias("std_r2"))
+        return results.orderBy(F.desc("mean_r2"), "params")
+
+
+def _ridge_scores(data: DataFrame, columns: list[str], candidates: list[dict], folds: int) -> list[list[float]]:
+    """All penalties and folds from one table of sums of products."""
+    products = Products.of(data, columns, "label", ["fold"])
+    scores: list[list[float]] = [[] for _ in candidates]
+    for fold in range(folds):
+        train = products.total(lambda group: group[0] != fold)
+        held_out = products.total(lambda group: group[0] == fold)
+        for i, params in enumerate(candidates):
+            scores[i].append(products.r2(products.weights(train, params["alpha"]), held_out))
+    return scores
+
+
+def _ensemble_scores(
+    name: str, data: DataFrame, columns: list[str], candidates: list[dict], folds: int, parallelism: int
+) -> list[list[float]]:
+    """Candidates that differ in their number of trees alone share a fit of the largest.
+
+    Assembling and scaling are fitted once per fold and shared by the whole grid.
+    """
+    size = SIZES[name]
+    alike: dict[str, list[tuple[int, int]]] = {}  # by the other settings: candidate, number of trees
+    for i, params in enumerate(candidates):
+        others = json.dumps({k: v for k, v in params.items() if k != size})
+        alike.setdefault(others, []).append((i, params.get(size, DEFAULT_TREES)))
+    scores: list[list[float]] = [[] for _ in candidates]
+    for fold in range(folds):
+        train, held_out = _fold_parts(data, fold)
+        prepared = Pipeline(stages=preparation(columns)).fit(train)
+        ready = prepared.transform(train).select("features", "label").persist()
+        check = prepared.transform(held_out).select("features", "label").persist()
+
+        def one(group: tuple[str, list[tuple[int, int]]]) -> list[tuple[int, float]]:
+            others, members = group
+            stages = [trees for _, trees in members]
+            fitted = _tuned(name, json.loads(others) | {size: max(stages)}, 0.0, 0).fit(ready)
+            by_stage = staged_r2(fitted, check, stages)
+            return [(i, by_stage[trees]) for i, trees in members]
+
+        try:
+            with ThreadPool(parallelism) as pool:
+                for found in pool.map(one, list(alike.items())):
+                    for i, r2 in found:
+                        scores[i].append(r2)
+        finally:
+            ready.unpersist()
+            check.unpersist()
+    return scores
+
+
+def _grid_scores(
+    name: str, data: DataFrame, columns: list[str], grid: dict[str, list] | None, folds: int, parallelism: int
+) -> GridScores:
+    grid = grid or DEFAULT_GRIDS[name]
+    candidates = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    if name == "linear_regression":
+        return GridScores(candidates, _ridge_scores(data, columns, candidates, folds))
+    return GridScores(candidates, _ensemble_scores(name, data, columns, candidates, folds, parallelism))
+
+
+def grid_scores(
+    name: str,
+    df: DataFrame,
+    columns: list[str],
+    target: str,
+    grid: dict[str, list] | None = None,
+    folds: int = 5,
+    parallelism: int = 4,
+) -> GridScores:
+    """R2 of every candidate of a grid on every fold, without fitting the winner on all rows."""
+    data = _folds(df, columns, target, folds).persist()
+    try:
+        return _grid_scores(canonical_name(name), data, columns, grid, folds, parallelism)
+    finally:
+        data.unpersist()
+
+
 @dataclass
 class Tuning:
-    results: DataFrame  # params, mean_r2, std_r2, rank
+    results: DataFrame  # params, mean_r2, std_r2
     best_params: dict
     best_score: float
     model: TrainedModel
@@ -373,49 +540,21 @@ def tune(
     folds: int = 5,
     parallelism: int = 4,
 ) -> Tuning:
-    """Grid search by mean R2 over the folds; the winner is fitted on all rows.
-
-    Assembling and scaling are fitted once per fold and shared by the whole grid.
-    """
+    """Grid search by mean R2 over the folds; the winner is fitted on all rows."""
     name = canonical_name(name)
-    grid = grid or DEFAULT_GRIDS[name]
-    candidates = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     data = _folds(df, columns, target, folds).persist()
-    scores: dict[int, list[float]] = {i: [] for i in range(len(candidates))}
     try:
-        for fold in range(folds):
-            train, held_out = _fold_parts(data, fold)
-            prepared = Pipeline(stages=preparation(columns)).fit(train)
-            label_std, rows = _label_facts(train)
-            ready = prepared.transform(train).select("features", "label").persist()
-            check = prepared.transform(held_out).select("features", "label").persist()
-
-            def one(params: dict) -> float:
-                fitted = _tuned(name, params, label_std, rows).fit(ready)
-                return _r2_and_rows(fitted.transform(check))[0]
-
-            with ThreadPool(parallelism) as pool:
-                for i, r2 in enumerate(pool.map(one, candidates)):
-                    scores[i].append(r2)
-            ready.unpersist()
-            check.unpersist()
-        means = {i: sum(s) / len(s) for i, s in scores.items()}
-        best = max(means, key=means.get)
+        found = _grid_scores(name, data, columns, grid, folds, parallelism)
+        best = found.best
         label_std, rows = _label_facts(data)
         winner = Pipeline(
-            stages=[*preparation(columns), _tuned(name, candidates[best], label_std, rows)]
+            stages=[*preparation(columns), _tuned(name, found.candidates[best], label_std, rows)]
         ).fit(data)
         model = TrainedModel(f"{name}_tuned", winner, list(columns), target, 0.0)
         model.train_r2, model.n_samples = _r2_and_rows(winner.transform(data))
     finally:
         data.unpersist()
-    spark = df.sparkSession
-    long = spark.createDataFrame(
-        [(json.dumps(candidates[i]), f, r2) for i, s in scores.items() for f, r2 in enumerate(s)],
-        "params string, fold int, r2 double",
-    )
-    results = long.groupBy("params").agg(F.avg("r2").alias("mean_r2"), F.stddev_pop("r2").alias("std_r2"))
-    return Tuning(results.orderBy(F.desc("mean_r2"), "params"), candidates[best], means[best], model)
+    return Tuning(found.table(df.sparkSession), found.candidates[best], found.means[best], model)
 
 
 def learning_curve(
@@ -431,11 +570,27 @@ def learning_curve(
     """``fraction, rows, train_mean, train_std, test_mean, test_std`` of R2 over the folds.
 
     The subsets are nested and chosen by hash of the id, so they do not depend on
-    partitioning.
+    partitioning. Linear fits of all fractions come from one table of sums of
+    products by fold and by step between fractions.
     """
     digest = F.md5(F.concat(F.col(KEY).cast("string"), F.lit("|curve")))
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 1000
-    data = _folds(df, columns, target, folds).withColumn("draw", draw).persist()
+    cuts = sorted({round(fraction * 1000) for fraction in fractions})
+    step = sum(((F.col("draw") >= cut).cast("int") for cut in cuts), F.lit(0))
+    data = _folds(df, columns, target, folds).withColumn("draw", draw).withColumn("step", step).persist()
+
+    def linear() -> list[tuple]:
+        products = Products.of(data, columns, "label", ["fold", "step"])
+        scores = []
+        for fraction, fold in itertools.product(fractions, range(folds)):
+            last = cuts.index(round(fraction * 1000))
+            part = products.total(lambda group: group[0] != fold and group[1] <= last)
+            held_out = products.total(lambda group: group[0] == fold)
+            weights = products.weights(part, intercept=settings.linear.fit_intercept)
+            scores.append(
+                (fraction, fold, round(part[0, 0]), products.r2(weights, part), products.r2(weights, held_out))
+            )
+        return scores
 
     def one(task: tuple[float, int]) -> tuple:
         fraction, fold = task
@@ -446,8 +601,11 @@ def learning_curve(
         return fraction, fold, rows, train_r2, _r2_and_rows(fitted.transform(held_out))[0]
 
     try:
-        with ThreadPool(parallelism) as pool:
-            scores = pool.map(one, list(itertools.product(fractions, range(folds))))
+        if canonical_name(name) == "linear_regression":
+            scores = linear()
+        else:
+            with ThreadPool(parallelism) as pool:
+                scores = pool.map(one, list(itertools.product(fractions, range(folds))))
     finally:
         data.unpersist()
     table = df.sparkSession.createDataFrame(

@@ -372,6 +372,22 @@ def _scaled(formula) -> str:
     return f"SELECT CustomerID, {cells} FROM summary"
 
 
+MODEL_NUMBERS = (
+    "TransactionCount", "AvgOrderValue", "StdOrderValue", "TotalQuantity", "AvgQuantity", "UniqueProducts", "Recency",
+    "Tenure", "TotalRevenue",
+)
+
+
+def _fold_products() -> str:
+    scaled = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()" for c in MODEL_NUMBERS)
+    names = ", ".join(f"'{c}'" for c in ("1", *MODEL_NUMBERS))
+    places = f"range(1, {len(MODEL_NUMBERS) + 2})"
+    return f"""SELECT fold, names[i] AS left_column, names[j] AS right_column, round(sum(z[i] * z[j]) + {NUDGE}, 4) AS total
+FROM (SELECT CAST('0x' || substr(md5(CustomerID || '|fold'), 1, 8) AS BIGINT) % 5 AS fold, [1.0::DOUBLE, {scaled}] AS z,
+        [{names}] AS names FROM summary), {places} AS a(i), {places} AS b(j)
+WHERE i <= j GROUP BY fold, i, j, names"""
+
+
 def _medians() -> str:
     return _union(
         [f"SELECT '{c}' AS metric, count({c}) AS n, median({c}) AS median FROM summary" for c in SUMMARY_NUMBERS]
@@ -619,6 +635,7 @@ FROM (SELECT DISTINCT CustomerID, Country FROM clean)""",
         """SELECT DISTINCT CustomerID, CAST('0x' || substr(md5(CustomerID || '|fold'), 1, 8) AS BIGINT) % 5 AS fold
 FROM clean""",
     )
+    sql["fold_products"] = _query(SUMMARY, _fold_products())
     sql["clv_segments"] = _query(
         SEGMENTED,
         f"""SELECT CustomerID, round(Predicted_CLV + {NUDGE}, 4) AS Predicted_CLV, CLV_Segment,

@@ -22,6 +22,7 @@ from custvalue.operators import (
     models,
     periods,
     prepare,
+    products,
     reports,
     rfm,
     scoring,
@@ -518,7 +519,26 @@ def cv_overview(spark, sf_dir):
 
 def grid_search(spark, sf_dir):
     data, columns, _ = _matrix(spark, sf_dir)
-    return models.tune("ridge", data, columns, "Monetary").results
+    return models.grid_scores("ridge", data, columns, "Monetary").table(spark)
+
+
+def grid_search_forest(spark, sf_dir):
+    data, columns, _ = _matrix(spark, sf_dir)
+    grid = {"trees": [5, 10, 20], "depth": [3, 6], "min_split": [2, 10], "min_leaf": [1]}
+    return models.grid_scores("random_forest", data, columns, "Monetary", grid, folds=3).table(spark)
+
+
+def grid_search_boosting(spark, sf_dir):
+    data, columns, _ = _matrix(spark, sf_dir)
+    grid = {"rounds": [5, 10, 20], "depth": [3], "rate": [0.1, 0.2], "row_sample": [0.8, 1.0], "column_sample": [1.0]}
+    return models.grid_scores("gradient_boosting", data, columns, "Monetary", grid, folds=3).table(spark)
+
+
+def fold_products(spark, sf_dir):
+    """Sums of products of the customer summary's columns by fold, from which linear models are fitted."""
+    data, columns = prepare.prepare_for_modeling(materialise(aggregate_by_customer(written_lines(spark, sf_dir))))
+    scale = products.column_scale(data, columns, "TotalRevenue")
+    return products.product_table(prepare.with_fold(data), scale, ["fold"])
 
 
 def learning_curve(spark, sf_dir):
@@ -604,7 +624,7 @@ QUERIES: list[Query] = [
     regression_metrics, model_comparison, residual_analysis, evaluation_report,
     residual_points, residual_histogram, point_range, qq_points, qq_line,
     train_summary, model_evaluation, feature_importance, cv_scores, cv_overview,
-    grid_search, learning_curve,
+    fold_products, grid_search, grid_search_forest, grid_search_boosting, learning_curve,
     scored_customers, scored_with_interval, customer_insights, form_insights, uploaded_scores,
 ]
 
