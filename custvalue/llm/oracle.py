@@ -40,6 +40,7 @@ def url_filter_sql(rules=Q.URL_RULES, s: urls.Reputation = urls.Reputation()) ->
     )
     action = " ".join(f"WHEN rule = '{r.pattern}' THEN '{r.action}'" for r in rules)
     listed = ", ".join(f"'{x}'" for x in s.suffixes)
+    limit = f"{s.worse} * b / (1 + ({s.worse} - 1) * b)" if s.max_bad is None else f"{s.max_bad}"
     return rf"""WITH rest AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
 split AS (
@@ -72,9 +73,12 @@ domains AS (
 s2 AS ({_strength("domains", s)}),
 hosts AS (SELECT h.*, (d.x + v * d.m) / (d.n + v) AS m FROM hosts0 h JOIN domains d USING (domain), s2),
 s3 AS ({_strength("hosts", s)}),
-rated AS (SELECT host, n, v, (x + v * m) / (n + v) AS mean FROM hosts, s3),
-bounded AS (SELECT host, mean - {s.z} * sqrt(mean * (1 - mean) / (n + v + 1)) AS bound FROM rated)
-SELECT page_id, host, path, rule, CASE {action} WHEN bound > {s.max_bad} THEN 'block' ELSE 'allow' END AS verdict
+rated AS (SELECT host, n, x, v, (x + v * m) / (n + v) AS mean FROM hosts, s3),
+base AS (SELECT (coalesce(sum(x), 0) + 0.5) / (coalesce(sum(n), 0) + 1) AS b FROM domains0),
+bounded AS (
+  SELECT host, n, x, greatest(0, mean - {s.z} * sqrt(mean * (1 - mean) / (n + v + 1))) AS bound, {limit} AS "limit" FROM rated, base)
+SELECT page_id, host, path, rule, CASE {action} WHEN bound > "limit" THEN 'block' ELSE 'allow' END AS verdict,
+  n::BIGINT AS n, x::BIGINT AS bad, round(bound, 6) AS bound, round("limit", 6) AS "limit"
 FROM ruled JOIN bounded USING (host)"""
 
 

@@ -85,7 +85,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = F.greatest(F.col("toxic"), 1 - F.col("quality")).cast("int")
     outcomes = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
     judged = urls.filter_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict")
+    rates = [F.round(c, 6).alias(c) for c in ("bound", "limit")]
+    return judged.select("page_id", "host", "path", "rule", "verdict", "n", "bad", *rates)
 
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ not) are counted per host, registered domain and suffix. Each level's rate is
 shrunk towards the level above it through a beta prior whose strength is
 estimated from the spread of the rates at that level (method of moments of the
 beta-binomial). A host is blocked when the lower bound of its posterior rate of
-bad pages exceeds ``max_bad``.
+bad pages exceeds a limit: ``max_bad``, or the rate whose odds are ``worse``
+times those of all labelled pages.
 """
 
 from __future__ import annotations
@@ -45,10 +46,15 @@ class Rule:
 
 @dataclass(frozen=True)
 class Reputation:
-    """Settings of the posterior: quantile of its lower bound, the tolerated rate, and bounds of a prior's strength."""
+    """Settings of the posterior: quantile of its lower bound, the tolerated rate, and bounds of a prior's strength.
+
+    Where no ``max_bad`` is given, the tolerated rate follows from the base rate
+    by ``worse``, the tolerated multiple of its odds.
+    """
 
     z: float = 1.645
-    max_bad: float = 0.5
+    max_bad: float | None = None
+    worse: float = 1.5
     least_strength: float = 1.0
     most_strength: float = 1000.0
     suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES
@@ -110,7 +116,7 @@ def strength(children: DataFrame, settings: Reputation) -> float:
 
 
 def host_reputation(pages: DataFrame, outcomes: DataFrame, settings: Reputation = Reputation()) -> DataFrame:
-    """One row per host: counts ``n``, ``bad`` and the posterior ``mean`` and lower ``bound`` of its rate of bad pages.
+    """One row per host: counts ``n``, ``bad``, the posterior ``mean`` and lower ``bound`` of its rate of bad pages, and the ``limit``.
 
     ``pages`` has ``page_id, host``, ``outcomes`` has ``page_id, bad`` (0 or 1;
     null outcomes are ignored, repeated ids count once, bad if any is). Hosts
@@ -128,6 +134,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, settings: Reputation
     domains = hosts.groupBy("domain", "suffix").agg(*sums)
     total = domains.agg(*sums).first()
     top = (total["x"] + 0.5) / (total["n"] + 1) if total["n"] is not None else 0.5
+    limit = settings.max_bad if settings.max_bad is not None else settings.worse * top / (1 + (settings.worse - 1) * top)
 
     def posterior(level: DataFrame, above: float) -> DataFrame:
         return level.withColumn("mean", (F.col("x") + F.lit(above) * F.col("m")) / (F.col("n") + F.lit(above)))
@@ -143,6 +150,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, settings: Reputation
     return hosts.select(
         "host", "domain", "suffix", "n", F.col("x").alias("bad"), "mean",
         F.greatest(F.lit(0.0), F.col("mean") - settings.z * deviation).alias("bound"),
+        F.lit(limit).alias("limit"),
     )
 
 
@@ -154,10 +162,10 @@ def filter_urls(
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
-    """``page_id, host, path, rule, verdict, n, bad, bound`` of every page.
+    """``page_id, host, path, rule, verdict, n, bad, bound, limit`` of every page.
 
     The verdict is that of the longest fitting rule, else ``block`` if the
-    host's posterior bound exceeds ``max_bad`` and ``allow`` otherwise. A null
+    host's posterior bound exceeds the limit and ``allow`` otherwise. A null
     url, or one without ``://``, has an empty host and path; rows with a null or
     repeated id are kept as they are. An empty table gives no rows. Other
     columns of the inputs are not read.
@@ -165,11 +173,11 @@ def filter_urls(
     host, path = split_url(pages[url_col])
     split = pages.select(pages[id_col].alias("page_id"), host.alias("host"), path.alias("path"))
     split = split.withColumn("rule", fitting_rule(F.col("host"), F.col("path"), rules))
-    reputation = host_reputation(split, outcomes, settings).select("host", "n", "bad", "bound")
+    reputation = host_reputation(split, outcomes, settings).select("host", "n", "bad", "bound", "limit")
     action = F.lit(None).cast("string")
     for rule in rules:
         action = F.when(F.col("rule") == rule.pattern, F.lit(rule.action)).otherwise(action)
-    judged = F.when(F.col("bound") > settings.max_bad, "block").otherwise("allow")
+    judged = F.when(F.col("bound") > F.col("limit"), "block").otherwise("allow")
     return split.join(reputation, "host").select(
-        "page_id", "host", "path", "rule", F.coalesce(action, judged).alias("verdict"), "n", "bad", "bound"
+        "page_id", "host", "path", "rule", F.coalesce(action, judged).alias("verdict"), "n", "bad", "bound", "limit"
     )

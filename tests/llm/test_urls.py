@@ -105,3 +105,19 @@ def test_levels_of_hosts(spark):
         "x.co.uk": ("x.co.uk", "co.uk"), "a.x.co.uk": ("x.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
         "u@a.b.org:80": ("b.org", "org"), "1.2.3.4": ("1.2.3.4", ""), "": ("", ""),
     }
+
+
+def test_limit_follows_the_base_rate(spark):
+    """With few bad pages everywhere, a host far above the others goes though most of its pages are good."""
+    rows, outcomes, i = [], [], 0
+    for host in ["worse.org", *[f"h{k}.org" for k in range(8)]]:
+        for k in range(300):
+            i += 1
+            rows.append((i, f"http://{host}/p/{k}"))
+            outcomes.append((i, int(k % 100 < (30 if host == "worse.org" else 3))))
+    got = {r["host"]: r for r in judged(spark, rows, outcomes).distinct().collect()}
+    top = (90 + 8 * 9 + 0.5) / (2700 + 1)
+    assert got["h0.org"]["limit"] == pytest.approx(1.5 * top / (1 - top + 1.5 * top), rel=1e-12)
+    assert [h for h, r in got.items() if r["verdict"] == "block"] == ["worse.org"]
+    tolerant = judged(spark, rows, outcomes, max_bad=0.5).filter("verdict = 'block'")
+    assert tolerant.count() == 0
