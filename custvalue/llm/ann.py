@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by randomly rotated one-bit codes.
 
-Index: vectors are centred on their mean and rotated by a random orthogonal
-matrix; of each rotated unit residual one bit per dimension is kept (its sign),
+Index: vectors are centred on their mean and rotated by some random orthogonal
+matrices; of each rotated unit residual one bit per dimension is kept (its sign),
 with two scalars: the residual's length, and the inner product of the unit
 residual with its unit code. Search: the inner product of a query with the
 packed code, divided by the second scalar, is an unbiased estimate; the same
-scalar bounds its error. In every cell of the grid (see ``vectors``) the best
+scalar bounds its error, which falls with the root of the number of bits, so
+more rotations of a short vector leave less to rerank. In every cell of the grid (see ``vectors``) the best
 estimates are reranked first, which gives the k-th exact score; then every
 vector whose upper bound reaches that score is reranked. Exact scores decide.
 """
@@ -21,12 +22,18 @@ from custvalue.llm import vectors as V
 from custvalue.session import materialise
 
 _CODE, _LENGTH, _MATCH = "_code", "_length", "_match"
+UNPACKED_BYTES = 1 << 27
 
 
-def rotation(dim: int, seed: int) -> np.ndarray:
-    """A random orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng([seed, dim]).standard_normal((dim, dim)))
-    return q * np.sign(np.diag(r))
+def rotation(dim: int, seed: int, rotations: int = 1) -> np.ndarray:
+    """Random orthogonal matrices side by side (dim x rotations * dim), scaled to keep lengths."""
+    random = np.random.default_rng([seed, dim])
+
+    def one() -> np.ndarray:
+        q, r = np.linalg.qr(random.standard_normal((dim, dim)))
+        return q * np.sign(np.diag(r))
+
+    return np.concatenate([one() for _ in range(rotations)], axis=1) / np.sqrt(rotations)
 
 
 def _centres(vectors: DataFrame) -> dict[int, np.ndarray]:
@@ -53,10 +60,11 @@ def _centres(vectors: DataFrame) -> dict[int, np.ndarray]:
     return {d: s[:-1] / s[-1] for d, s in found.items()}
 
 
-def encode(vectors: DataFrame, centres: dict[int, np.ndarray], seed: int) -> DataFrame:
+def encode(vectors: DataFrame, centres: dict[int, np.ndarray], seed: int, rotations: int = 1) -> DataFrame:
     """The index: every vector with its packed code and scalars."""
 
     def rows(batches):
+        turns = {d: rotation(d, seed, rotations) for d in centres}
         for batch in batches:
             table = pa.Table.from_batches([batch])
             dims = table.column(V.DIM).to_numpy()
@@ -64,9 +72,9 @@ def encode(vectors: DataFrame, centres: dict[int, np.ndarray], seed: int) -> Dat
                 part = table.filter(pa.array(dims == d))
                 residual = V.matrix(part) - centres[int(d)]
                 length = np.sqrt((residual**2).sum(axis=1))
-                turned = (residual / np.where(length > 0, length, 1)[:, None]) @ rotation(int(d), seed)
+                turned = (residual / np.where(length > 0, length, 1)[:, None]) @ turns[int(d)]
                 bits = turned >= 0
-                match = np.abs(turned).sum(axis=1) / np.sqrt(d)
+                match = np.abs(turned).sum(axis=1) / np.sqrt(turned.shape[1])
                 packed = np.packbits(bits, axis=1)
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -92,19 +100,27 @@ def inner_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return total
 
 
+def signs(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Packed codes (a line each) as -1 and 1."""
+    return np.unpackbits(codes, axis=1, count=bits).astype(np.float32) * 2 - 1
+
+
 def estimates(codes, length, match, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, epsilon: float):
     """Estimated inner products (queries x codes) and the bound of each error."""
-    d = queries.shape[1]
-    signs = (2.0 * np.unpackbits(codes, axis=1, count=d) - 1).astype(np.float32)
-    turned = (queries @ turn).astype(np.float32)
+    return _estimates(signs(codes, turn.shape[1]), length, match, queries, centre, turn, epsilon)
+
+
+def _estimates(unpacked, length, match, queries, centre, turn, epsilon):
+    bits = turn.shape[1]
     safe = np.where(match > 0, match, 1)
-    factor = (length / (safe * np.sqrt(d))).astype(np.float32)
-    estimate = (turned @ signs.T) * factor + (queries @ centre).astype(np.float32)[:, None]
-    spread = length * np.sqrt(np.maximum(0, 1 - safe**2)) / safe * epsilon / np.sqrt(max(1, d - 1))
+    factor = (length / (safe * np.sqrt(bits))).astype(np.float32)
+    turned = (queries @ turn).astype(np.float32)
+    estimate = (turned @ unpacked.T) * factor + (queries @ centre).astype(np.float32)[:, None]
+    spread = length * np.sqrt(np.maximum(0, 1 - safe**2)) / safe * epsilon / np.sqrt(max(1, bits - 1))
     return estimate, np.sqrt((queries**2).sum(axis=1))[:, None].astype(np.float32) * spread[None, :].astype(np.float32)
 
 
-def _search(k: int, first: int, epsilon: float, centres: dict[int, np.ndarray], seed: int):
+def _search(k: int, first: int, epsilon: float, centres: dict[int, np.ndarray], seed: int, rotations: int):
     def rerank(q, c, rows, columns):
         out = np.empty(len(rows))
         for part in V.row_chunks(len(rows), q.shape[1]):
@@ -119,11 +135,12 @@ def _search(k: int, first: int, epsilon: float, centres: dict[int, np.ndarray],
             right, candidates = right.take(pa.array(order)), candidates[order]
             q, c = V.matrix(left), V.matrix(right)
             d = q.shape[1]
-            turn = rotation(d, seed)
+            turn = rotation(d, seed, rotations)
             codes = np.frombuffer(b"".join(right.column(_CODE).to_pylist()), np.uint8).reshape(len(right), -1)
+            unpacked = signs(codes, turn.shape[1])
             length, match = right.column(_LENGTH).to_numpy(), right.column(_MATCH).to_numpy()
             for rows in V.row_chunks(len(ids), len(candidates)):
-                estimate, bound = estimates(codes, length, match, q[rows], centres[d], turn, epsilon)
+                estimate, bound = _estimates(unpacked, length, match, q[rows], centres[d], turn, epsilon)
                 own = ids[rows, None] == candidates[None, :]
                 estimate[own] = -np.inf
                 n = estimate.shape[0]
@@ -160,6 +177,7 @@ def nearest(
     epsilon: float = 2.5,
     first: int | None = None,
     seed: int = 7,
+    rotations: int = 8,
     query_block: int = 4096,
     candidate_block: int = 16384,
 ) -> DataFrame:
@@ -168,6 +186,9 @@ def nearest(
     ``epsilon`` scales the error bound in standard deviations: a vector is
     missed when its estimate errs by more. ``first`` estimates are reranked to
     find the exact score that bounds must reach (default four times ``k``).
+    A code has ``rotations`` bits a dimension. Blocks of candidates shrink with
+    the length of the codes, so that a block's unpacked codes stay under
+    ``UNPACKED_BYTES``.
     Returns ``query_id, rank (from 1), vec_id, score``, nearest first, ties to
     the smaller id; the score is the inner product of the original vectors in
     double precision. A query's own id is no candidate; with fewer candidates
@@ -180,11 +201,13 @@ def nearest(
     queries = materialise(V.valid_vectors(queries, id_col, vector_col).filter(nonzero))
     valid = materialise(V.valid_vectors(vectors, id_col, vector_col).filter(nonzero))
     centres = _centres(valid)
-    index = materialise(encode(valid, centres, seed))
+    index = materialise(encode(valid, centres, seed, rotations))
     n_queries, n_vectors = queries.count(), index.count()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    room = UNPACKED_BYTES // (4 * rotations * max(centres, default=1))
+    candidate_block = max(1, min(candidate_block, room))
     grid = V.plan_grid(n_queries, n_vectors, tasks, query_block, candidate_block)
-    search = _search(k, first or 4 * k, epsilon, centres, seed)
+    search = _search(k, first or 4 * k, epsilon, centres, seed, rotations)
     found = V.in_cells(queries, index, grid, search, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)

@@ -127,3 +127,35 @@ def test_no_neighbour_is_lost_to_a_bad_estimate(spark):
     for r in got:
         counts[r["query_id"]] = counts.get(r["query_id"], 0) + 1
     assert counts == {i: 20 for i in range(0, 300, 20)}
+
+
+def test_bounds_leave_little_to_rerank():
+    """On the given vectors: the share whose upper bound reaches the k-th score, and the nearest among them."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/embeddings.parquet")
+    ids, v = table["vec_id"].to_numpy(), np.array(table["embedding"].to_pylist(), dtype=float)
+    q = v[ids % 20 == 0]
+    exact = q @ v.T
+    kth = np.sort(exact, axis=1)[:, -20:][:, :1]
+    share, recall = {}, {}
+    centre = v.mean(axis=0)
+    length = np.linalg.norm(v - centre, axis=1)
+    for rotations in (1, 8):
+        turn = ann.rotation(v.shape[1], 7, rotations)
+        assert np.allclose(turn @ turn.T, np.eye(v.shape[1]))  # lengths are kept
+        turned = (v - centre) / length[:, None] @ turn
+        match = np.abs(turned).sum(axis=1) / math.sqrt(turn.shape[1])
+        estimate, bound = ann.estimates(np.packbits(turned >= 0, axis=1), length, match, q, centre, turn, 2.5)
+        chosen, near = estimate + bound >= kth, exact >= kth
+        share[rotations], recall[rotations] = chosen.mean(), (chosen & near).sum() / near.sum()
+    assert min(recall.values()) >= 0.99
+    assert share[8] < 0.1 + 20 / len(v) < share[1]
+
+
+def test_blocks_shrink_with_long_codes(spark, monkeypatch):
+    rows = random_vectors(200, 16, 12)
+    df = table(spark, rows)
+    want = ranked(ann.nearest(df.filter("vec_id % 20 = 0"), df, 5, epsilon=6.0).collect())
+    monkeypatch.setattr(ann, "UNPACKED_BYTES", 4 * 8 * 16 * 50)  # fifty candidates a block
+    assert ranked(ann.nearest(df.filter("vec_id % 20 = 0"), df, 5, epsilon=6.0).collect()) == want
