@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from custvalue.config import Settings
 from custvalue.operators.customers import KEY
 from custvalue.operators.metrics import regression_metrics
-from custvalue.operators.prepare import column_medians, split, with_fold
+from custvalue.operators.prepare import column_medians, split, with_contiguous_fold, with_fold
 from custvalue.operators.products import Products
 
 log = logging.getLogger(__name__)
@@ -298,9 +298,10 @@ def model_info(model: TrainedModel | None) -> dict:
 # --- folds, grids, learning curves -----------------------------------------
 
 
-def _folds(df: DataFrame, columns: list[str], target: str, folds: int) -> DataFrame:
+def _folds(df: DataFrame, columns: list[str], target: str, folds: int, contiguous: bool = False) -> DataFrame:
+    """The rows with their fold: by hash of the id, or by place in its order."""
     labelled = df.select(KEY, *columns, F.col(target).cast("double").alias("label"))
-    return with_fold(labelled, folds)
+    return (with_contiguous_fold if contiguous else with_fold)(labelled, folds)
 
 
 def _fold_parts(data: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
@@ -315,13 +316,14 @@ def cross_validate(
     folds: int = 5,
     settings: Settings = Settings(),
     parallelism: int = 2,
+    contiguous: bool = False,
 ) -> DataFrame:
     """``model, fold, r2, rows``; the scaler is fitted inside each fold.
 
     Linear fits of all folds come from one table of sums of products; other
-    models are fitted fold by fold.
+    models are fitted fold by fold. ``contiguous`` folds are runs of the id's order.
     """
-    data = _folds(df, columns, target, folds).persist()
+    data = _folds(df, columns, target, folds, contiguous).persist()
 
     def linear() -> list[tuple]:
         products = Products.of(data, columns, "label", ["fold"])
@@ -514,9 +516,10 @@ def grid_scores(
     grid: dict[str, list] | None = None,
     folds: int = 5,
     parallelism: int = 4,
+    contiguous: bool = False,
 ) -> GridScores:
     """R2 of every candidate of a grid on every fold, without fitting the winner on all rows."""
-    data = _folds(df, columns, target, folds).persist()
+    data = _folds(df, columns, target, folds, contiguous).persist()
     try:
         return _grid_scores(canonical_name(name), data, columns, grid, folds, parallelism)
     finally:
@@ -539,10 +542,11 @@ def tune(
     grid: dict[str, list] | None = None,
     folds: int = 5,
     parallelism: int = 4,
+    contiguous: bool = False,
 ) -> Tuning:
     """Grid search by mean R2 over the folds; the winner is fitted on all rows."""
     name = canonical_name(name)
-    data = _folds(df, columns, target, folds).persist()
+    data = _folds(df, columns, target, folds, contiguous).persist()
     try:
         found = _grid_scores(name, data, columns, grid, folds, parallelism)
         best = found.best
@@ -566,6 +570,7 @@ def learning_curve(
     fractions: tuple[float, ...] = tuple(round(i / 10, 1) for i in range(1, 11)),
     settings: Settings = Settings(),
     parallelism: int = 4,
+    contiguous: bool = False,
 ) -> DataFrame:
     """``fraction, rows, train_mean, train_std, test_mean, test_std`` of R2 over the folds.
 
@@ -577,7 +582,7 @@ def learning_curve(
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % 1000
     cuts = sorted({round(fraction * 1000) for fraction in fractions})
     step = sum(((F.col("draw") >= cut).cast("int") for cut in cuts), F.lit(0))
-    data = _folds(df, columns, target, folds).withColumn("draw", draw).withColumn("step", step).persist()
+    data = _folds(df, columns, target, folds, contiguous).withColumn("draw", draw).withColumn("step", step).persist()
 
     def linear() -> list[tuple]:
         products = Products.of(data, columns, "label", ["fold", "step"])

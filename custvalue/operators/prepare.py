@@ -161,6 +161,19 @@ def with_fold(df: DataFrame, folds: int = 5, id_col: str = KEY, output: str = "f
     return df.withColumn(output, number.cast("int"))
 
 
+def with_contiguous_fold(df: DataFrame, folds: int = 5, id_col: str = KEY, output: str = "fold") -> DataFrame:
+    """Fold number by place in the order of the (unique) id: runs of equal length, the first ones longer by a row if need be."""
+    placed = running_totals(df.withColumn("_one", F.lit(1)), [id_col], "_one")
+    place, rows = F.col("_rank") - 1, F.col("_n")
+    length, longer = F.floor(rows / folds), rows % folds
+    # A place inside the longer runs, or what lies behind them in runs of the plain length.
+    ahead = longer * (length + 1)
+    number = F.when(place < ahead, F.floor(place / (length + 1))).otherwise(
+        longer + F.floor((place - ahead) / F.greatest(length, F.lit(1)))
+    )
+    return placed.select(*df.columns, number.cast("int").alias(output))
+
+
 # --- model matrices --------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from statistics import NormalDist
 from custvalue.operators import segments as S
 from custvalue.operators.metrics import AS241_CENTRE, AS241_MIDDLE, AS241_TAIL
 from custvalue.operators.periods import PERIODS
+from custvalue.operators.prepare import FEATURES_EXCLUDED
 
 NUDGE = "1e-7"
 DAY = "86400000000"
@@ -656,6 +657,15 @@ FROM (SELECT DISTINCT CustomerID, Country FROM clean)""",
         """SELECT DISTINCT CustomerID, CAST('0x' || substr(md5(CustomerID || '|fold'), 1, 8) AS BIGINT) % 5 AS fold
 FROM clean""",
     )
+    sql["contiguous_folds"] = _query(
+        CLEAN,
+        """SELECT CustomerID, CASE WHEN p < n % 5 * (n // 5 + 1) THEN p // (n // 5 + 1)
+       ELSE n % 5 + (p - n % 5 * (n // 5 + 1)) // greatest(n // 5, 1) END AS fold
+FROM (SELECT CustomerID, row_number() OVER (ORDER BY CustomerID) - 1 AS p, count(*) OVER () AS n
+      FROM (SELECT DISTINCT CustomerID FROM clean))""",
+    )
+    model_spec = ", ".join(c.strip() for c in FEATURE_SPEC.split(",") if c.strip().split(":")[0] not in FEATURES_EXCLUDED[1:])
+    sql["feature_model_matrix"] = _query(_feature_table(), _out(model_spec, "features"))
     sql["fold_products"] = _query(SUMMARY, _fold_products())
     sql["clv_segments"] = _query(
         SEGMENTED,

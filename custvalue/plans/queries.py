@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from custvalue.config import BoostingParams, ForestParams, Settings
 from custvalue.functions import bins
 from custvalue.functions import expressions as X
 from custvalue.functions.ordering import quantile_values
@@ -362,6 +363,15 @@ def fold_numbers(spark, sf_dir):
     return prepare.with_fold(lines(spark, sf_dir).select(KEY).distinct())
 
 
+def contiguous_folds(spark, sf_dir):
+    return prepare.with_contiguous_fold(lines(spark, sf_dir).select(KEY).distinct())
+
+
+def feature_model_matrix(spark, sf_dir):
+    """The columns that models are trained on, with their target."""
+    return _matrix(spark, sf_dir)[0]
+
+
 # --- segments of predictions -----------------------------------------------
 
 
@@ -554,6 +564,19 @@ def cv_scores(spark, sf_dir):
     return models.cross_validate("linear_regression", data, columns, "Monetary")
 
 
+def cv_scores_contiguous(spark, sf_dir):
+    data, columns, _ = _matrix(spark, sf_dir)
+    return models.cross_validate("linear_regression", data, columns, "Monetary", contiguous=True)
+
+
+def cv_scores_ensembles(spark, sf_dir):
+    """Folds of a small forest and of boosted trees."""
+    data, columns, _ = _matrix(spark, sf_dir)
+    small = Settings(forest=ForestParams(trees=20, depth=6), boosting=BoostingParams(rounds=10, depth=3))
+    scores = [models.cross_validate(name, data, columns, "Monetary", 3, small) for name in models.MODELS[1:]]
+    return scores[0].unionByName(scores[1])
+
+
 def cv_overview(spark, sf_dir):
     return models.cv_summary(cv_scores(spark, sf_dir))
 
@@ -656,7 +679,7 @@ QUERIES: list[Query] = [
     event_hour_habits, event_gaps, event_medians,
     cohort_features, cohort_stats,
     feature_table_imputed, standard_scaled, minmax_scaled, column_medians, width_scores,
-    label_encoding, train_test_split, fold_numbers,
+    label_encoding, train_test_split, fold_numbers, contiguous_folds, feature_model_matrix,
     clv_segments, tie_broken_segments, percentile_rank, segment_stats, recommendations,
     threshold_segments, training_quantile_segments, prediction_interval,
     segment_analysis, value_by_segment, predicted_segment_counts, filtered_predictions,
@@ -665,7 +688,8 @@ QUERIES: list[Query] = [
     prediction_histogram, feature_correlation,
     regression_metrics, model_comparison, residual_analysis, evaluation_report,
     residual_points, residual_histogram, point_range, qq_points, qq_line,
-    train_summary, model_evaluation, feature_importance, cv_scores, cv_overview,
+    train_summary, model_evaluation, feature_importance, cv_scores, cv_scores_contiguous, cv_scores_ensembles,
+    cv_overview,
     fold_products, grid_search, grid_search_forest, grid_search_boosting, learning_curve,
     scored_customers, scored_with_interval, customer_insights, form_insights, uploaded_scores,
 ]

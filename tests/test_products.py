@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from custvalue.config import LinearParams, Settings, settings_from
 from custvalue.operators import models
-from custvalue.operators.prepare import with_fold
+from custvalue.operators.prepare import with_contiguous_fold, with_fold
 from custvalue.operators.products import Products, column_scale, product_table
 
 COLUMNS = ["a", "b", "c", "twice"]
@@ -160,3 +160,20 @@ def test_split_size_of_the_settings_sets_the_leaf_size():
     assert models.estimator("random_forest", settings).getMinInstancesPerNode() == 5
     assert models.estimator("random_forest").getMinInstancesPerNode() == 2
     assert models._tuned("random_forest", {"min_split": 9, "min_leaf": 2}, 0.0, 0).getMinInstancesPerNode() == 5
+
+
+@pytest.mark.parametrize("rows", [0, 1, 3, 5, 23])
+def test_contiguous_folds_are_runs_of_the_ids(spark, rows):
+    ids = [f"{i:03d}" for i in range(rows)]
+    table = spark.createDataFrame([(c, "x") for c in reversed(ids)], "CustomerID string, other string")
+    got = {r["CustomerID"]: r["fold"] for r in with_contiguous_fold(table, 5).collect()}
+    want = {c: k for k, part in enumerate(np.array_split(ids, 5)) for c in part.tolist()} if rows else {}
+    assert got == want
+
+
+def test_contiguous_folds_of_models(data):
+    got = models.cross_validate("linear_regression", data, COLUMNS, "y", FOLDS, contiguous=True).orderBy("fold").collect()
+    table = np.array([tuple(r) for r in data.orderBy("CustomerID").select(*COLUMNS, "y").collect()])
+    x, y = table[:, :4], table[:, 4]
+    fold = np.repeat(np.arange(FOLDS), len(y) // FOLDS)
+    assert [r["r2"] for r in got] == pytest.approx([direct_r2(x, y, fold != k, fold == k) for k in range(FOLDS)], rel=1e-8)
