@@ -32,6 +32,7 @@ SPACE = "▁"
 # Layout of an edge in 63 bits, from the lowest: id, length, start, rank.
 _ID, _LENGTH, _START, _RANK = (17, 0), (5, 17), (24, 22), (17, 46)
 _NONE = (1 << 17) - 1  # id and rank of a character that is no piece
+_PREFIX, _SHORT = 3, 0b110  # characters that choose the lengths to try; the lengths below, as bits
 WORDS_PER_TASK = 20_000
 _MASKED = 62  # segments of at most so many characters are folded as bits of a long
 
@@ -108,17 +109,40 @@ def _pack(rank: Column, start: Column, length: Column, piece: Column) -> Column:
     return total
 
 
+def _length_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
+    """``_prefix, lengths, most``: the lengths, as bits and at most, of the pieces with the same first ``_PREFIX`` characters."""
+    lengths = {}
+    for piece, _, _ in vocab.pieces:
+        if len(piece) >= _PREFIX:
+            lengths[piece[:_PREFIX]] = lengths.get(piece[:_PREFIX], _SHORT) | 1 << len(piece)
+    return spark.createDataFrame(
+        [(p, bits, bits.bit_length() - 1) for p, bits in lengths.items()], "_prefix string, lengths int, most int"
+    )
+
+
 def lattices(words: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """``word, edges`` of distinct words: packed edges of every piece in a word, and of characters that are none."""
-    pieces = F.broadcast(_piece_table(words.sparkSession, vocab).select("piece", "id", "rank"))  # a fixed vocabulary
-    size = F.length("word")
+    """``word, edges`` of distinct words: packed edges of every piece in a word, and of characters that are none.
+
+    Of every start, the substrings are exploded whose length a piece with the
+    same first characters has. They meet the pieces by their hashes, which are
+    compared faster than texts; equal texts are asked for besides.
+    """
+    spark, size, start = words.sparkSession, F.length("word"), F.col("start")
+    lengths, pieces = _length_table(spark, vocab), _piece_table(spark, vocab)  # a fixed vocabulary
+    bounds = F.broadcast(lengths.withColumn("_key", F.xxhash64("_prefix")))
+    table = F.broadcast(pieces.select(F.xxhash64("piece").alias("_key"), F.col("piece").alias("_piece"), "id", "rank"))
     starts = words.select("word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    reach = F.least(F.lit(vocab.longest), size - F.col("start"))
-    spans = starts.select("word", "start", F.explode(F.sequence(F.lit(1), reach)).alias("length"))
-    spans = spans.withColumn("piece", F.substring("word", F.col("start") + 1, F.col("length")))
-    found = spans.join(pieces, "piece", "left").filter("id is not null or length = 1")
+    starts = starts.withColumn("first", F.substring("word", start + 1, F.lit(_PREFIX)))
+    starts = starts.join(bounds, (F.xxhash64("first") == F.col("_key")) & (F.col("first") == F.col("_prefix")), "left")
+    reach = F.least(F.coalesce("most", F.lit(_PREFIX - 1)), size - start)
+    bits = F.coalesce("lengths", F.lit(_SHORT)).alias("lengths")
+    spans = starts.select("word", "start", bits, F.explode(F.sequence(F.lit(1), reach)).alias("length"))
+    spans = spans.filter(F.getbit("lengths", F.col("length")) == 1)
+    spans = spans.select("word", "start", "length", F.substring("word", start + 1, F.col("length")).alias("piece"))
+    same = (F.xxhash64("piece") == F.col("_key")) & (F.col("piece") == F.col("_piece"))
+    found = spans.join(table, same, "left").filter("id is not null or length = 1")
     none = F.lit(_NONE)
-    edge = _pack(F.coalesce("rank", none), F.col("start"), F.col("length"), F.coalesce("id", none))
+    edge = _pack(F.coalesce("rank", none), start, F.col("length"), F.coalesce("id", none))
     keyed = found.select(F.xxhash64("word").alias("_h"), "word", edge.alias("edge"))  # numbers sort faster than words
     return keyed.groupBy("_h", "word").agg(F.collect_list("edge").alias("edges")).drop("_h")
 
@@ -127,25 +151,27 @@ def _bit(x: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), x.cast("int"))
 
 
-def _inner(edge: Column) -> Column:
-    """Bits of the positions strictly inside an edge."""
-    start, length = _field(edge, _START), _field(edge, _LENGTH)
-    return F.call_function("shiftleft", _bit(length - 1) - 1, (start + 1).cast("int"))
+def _shifted(bits: Column, edge: Column) -> Column:
+    return F.call_function("shiftleft", bits, _field(edge, _START).cast("int"))
+
+
+def _span(edge: Column) -> Column:
+    """Bits of the positions from an edge's start to its end."""
+    return _shifted(_bit(_field(edge, _LENGTH) + 1) - 1, edge)
 
 
 def _ends(edge: Column) -> Column:
-    start = _field(edge, _START)
-    return _bit(start).bitwiseOR(_bit(start + _field(edge, _LENGTH)))
+    return _shifted(_bit(_field(edge, _LENGTH)) + 1, edge)
 
 
 def _merge_fold(edges: Column, size: Column) -> Column:
     """Positions that are left between symbols after all merges, as bits."""
 
     def step(mask: Column, edge: Column) -> Column:
-        joins = (mask.bitwiseAND(_ends(edge)) == _ends(edge)) & (F.bit_count(mask.bitwiseAND(_inner(edge))) == 1)
-        return F.when(joins, mask.bitwiseAND(F.bitwise_not(_inner(edge)))).otherwise(mask)
+        joins = (F.bit_count(mask.bitwiseAND(_span(edge))) == 3) & (mask.bitwiseAND(_ends(edge)) == _ends(edge))
+        return F.when(joins, mask.bitwiseAND(F.bitwise_not(_span(edge))).bitwiseOR(_ends(edge))).otherwise(mask)
 
-    merges = F.array_sort(F.filter(edges, lambda e: _field(e, _LENGTH) > 1))  # by rank, then start
+    merges = F.sort_array(F.filter(edges, lambda e: _field(e, _LENGTH) > 1))  # by rank, then start
     return F.aggregate(merges, _bit(size + 1) - 1, step)
 
 
@@ -155,7 +181,7 @@ def _viterbi_fold(edges: Column, size: Column, scores: list[float], unknown: flo
     The state holds, for every position reached, the best sum and the positions
     of its path; edges come in the order of their ends, then their starts.
     """
-    table = F.array(*[F.lit(s) for s in sorted(scores, reverse=True)])
+    table = F.split(F.lit(",".join(repr(s) for s in sorted(scores, reverse=True))), ",").cast("array<double>")
     order = lambda e: F.shiftleft((_field(e, _START) + _field(e, _LENGTH)).cast("long"), 24).bitwiseOR(_field(e, _START))
     moved = F.transform(edges, lambda e: F.struct(order(e).alias("at"), e.alias("edge")))
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("mask")))
@@ -171,17 +197,22 @@ def _viterbi_fold(edges: Column, size: Column, scores: list[float], unknown: flo
         better = F.when(F.get(state, b)["score"] >= new["score"], F.get(state, b)).otherwise(new)
         return F.concat(F.slice(state, 1, b), F.array(better))
 
-    return F.element_at(F.aggregate(F.array_sort(moved), start, step), -1)["mask"]
+    return F.element_at(F.aggregate(F.sort_array(moved), start, step), -1)["mask"]
 
 
-def _symbol_ids(word: Column, edges: Column, mask: Column, vocab: Vocabulary) -> Column:
-    """Ids of the symbols between the positions of ``mask``; characters that are no piece become their bytes."""
-    kept = F.filter(
-        edges, lambda e: (mask.bitwiseAND(_ends(e)) == _ends(e)) & (mask.bitwiseAND(_inner(e)) == F.lit(0).cast("long"))
-    )
+def _symbols(edges: Column, mask: Column) -> Column:
+    """Edges, without their rank, of the symbols between the positions of ``mask``, by start.
+
+    The mask is bound as a variable, so that the optimiser does not move its fold into the filter, once per edge.
+    """
     low = (1 << _RANK[1]) - 1
-    ordered = F.array_sort(F.transform(kept, lambda e: e.bitwiseAND(F.lit(low))))  # without rank: by start
-    plain = F.transform(ordered, lambda e: _field(e, _ID).cast("int"))
+    between = lambda m: F.filter(edges, lambda e: m.bitwiseAND(_span(e)) == _ends(e))
+    kept = F.get(F.transform(F.array(mask), between), 0)
+    return F.sort_array(F.transform(kept, lambda e: e.bitwiseAND(F.lit(low))))
+
+
+def _symbol_ids(word: Column, symbols: Column, vocab: Vocabulary) -> Column:
+    """Ids of the symbols; characters that are no piece become their bytes."""
 
     def expanded(edge: Column) -> Column:
         code = F.hex(F.encode(F.substring(word, _field(edge, _START).cast("int") + 1, F.lit(1)), "UTF-8"))
@@ -190,25 +221,48 @@ def _symbol_ids(word: Column, edges: Column, mask: Column, vocab: Vocabulary) ->
         unknown = F.array(F.lit(vocab.unknown)) if vocab.first_byte is None else parts
         return F.when(_field(edge, _ID) == _NONE, unknown).otherwise(F.array(_field(edge, _ID).cast("int")))
 
-    return F.when(F.exists(plain, lambda x: x == _NONE), F.flatten(F.transform(ordered, expanded))).otherwise(plain)
+    plain = F.transform(symbols, lambda e: _field(e, _ID).cast("int"))
+    some_none = F.exists(symbols, lambda e: _field(e, _ID) == _NONE)
+    return F.when(some_none, F.flatten(F.transform(symbols, expanded))).otherwise(plain)
+
+
+def _part(edge: int, field: tuple[int, int]) -> int:
+    return (edge >> field[1]) & ((1 << field[0]) - 1)
 
 
-def _long_word(word: str, edges: list[int], vocab: Vocabulary) -> list[int]:
-    """The merge fold of a word too long for a number's bits, over the same edges in the same order."""
-    part = lambda e, f: (e >> f[1]) & ((1 << f[0]) - 1)
-    follow = np.arange(1, len(word) + 2)
-    present = np.ones(len(word) + 1, bool)
-    ids = {}
+def _long_merges(size: int, edges: list[int]) -> np.ndarray:
+    """The end of the symbol that starts at each position, by the merge fold without the limit of a number's bits."""
+    follow = np.arange(1, size + 2)
+    present = np.ones(size + 1, bool)
     for e in sorted(edges):
-        a = part(e, _START)
-        b = a + part(e, _LENGTH)
-        ids[a, b] = part(e, _ID)
+        a = _part(e, _START)
+        b = a + _part(e, _LENGTH)
         if b - a > 1 and present[a] and present[b] and follow[a] < b and follow[follow[a]] == b:
             present[follow[a]] = False
             follow[a] = b
+    return follow
+
+
+def _long_viterbi(size: int, edges: list[int], scores: list[float], unknown: float) -> np.ndarray:
+    """As ``_long_merges``, by the Viterbi fold: back-pointers to the best start of the last piece of every prefix."""
+    best, back = [0.0] + [-np.inf] * size, [0] * (size + 1)
+    for a, b, rank in sorted((_part(e, _START), _part(e, _START) + _part(e, _LENGTH), _part(e, _RANK)) for e in edges):
+        score = best[a] + (unknown if rank == _NONE else scores[rank])
+        if score > best[b]:  # starts rise, so of equal paths the longer last piece stays
+            best[b], back[b] = score, a
+    follow, at = np.zeros(size + 1, int), size
+    while at > 0:
+        follow[back[at]] = at
+        at = back[at]
+    return follow
+
+
+def _long_ids(word: str, edges: list[int], follow: np.ndarray, vocab: Vocabulary) -> list[int]:
+    """Ids of the symbols from each position of ``follow`` to the next."""
+    ids = {(_part(e, _START), _part(e, _LENGTH)): _part(e, _ID) for e in edges}
     at, out = 0, []
     while at < len(word):
-        piece = ids[at, int(follow[at])]
+        piece = ids[at, int(follow[at]) - at]
         if piece != _NONE:
             out.append(piece)
         elif vocab.first_byte is None:
@@ -235,42 +289,39 @@ def _encoded(words: DataFrame, vocab: Vocabulary) -> tuple[DataFrame, DataFrame]
     parts = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), words.count() // WORDS_PER_TASK)
     edges = lattices(words.repartition(parts, "word"), vocab)
     size, short = F.length("word"), F.length("word") <= _MASKED
-    if vocab.kind == "bpe":
-        mask = _merge_fold(F.col("edges"), size)
-    else:
-        scores = [s for _, _, s in vocab.pieces]
-        mask = _viterbi_fold(F.col("edges"), size, scores, min(scores, default=0.0) - 10.0)
+    scores = sorted((s for _, _, s in vocab.pieces), reverse=True)  # by rank
+    unknown = min(scores, default=0.0) - 10.0
+    bpe = vocab.kind == "bpe"
+    mask = _merge_fold(F.col("edges"), size) if bpe else _viterbi_fold(F.col("edges"), size, scores, unknown)
     folded = edges.filter(short).select("word", "edges", mask.alias("mask"))
-    ids = folded.select("word", _symbol_ids(F.col("word"), F.col("edges"), F.col("mask"), vocab).alias("ids"))
-    if vocab.kind != "bpe":
-        over = F.raise_error(F.lit(f"a segment of over {_MASKED} characters")).cast("array<int>")
-        return ids, edges.filter(~short).select("word", over.alias("ids"))
+    symbols = folded.select("word", _symbols(F.col("edges"), F.col("mask")).alias("symbols"))
+    ids = symbols.select("word", _symbol_ids(F.col("word"), F.col("symbols"), vocab).alias("ids"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for word, own in zip(batch.column("word"), batch.column("edges")):
-                found = _long_word(word.as_py(), own.as_py(), vocab)
-                yield pa.RecordBatch.from_pydict({"word": [word.as_py()], "ids": pa.array([found], pa.list_(pa.int32()))})
+            for value, own in zip(batch.column("word"), batch.column("edges")):
+                word, own = value.as_py(), own.as_py()
+                follow = _long_merges(len(word), own) if bpe else _long_viterbi(len(word), own, scores, unknown)
+                found = pa.array([_long_ids(word, own, follow, vocab)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_pydict({"word": [word], "ids": found})
 
     return ids, edges.filter(~short).mapInArrow(rows, "word string, ids array<int>")
 
 
 def decode(df: DataFrame, vocab: Vocabulary, key_cols: list[str], ids_col: str = "ids") -> DataFrame:
-    """``key_cols, decoded``: the text of each row's ids; keys are unique. Ids that are no piece or byte add nothing.
+    """``key_cols, decoded``: the text of each row's ids. Ids that are null, no piece and no byte add nothing.
 
-    Relational as well: ids are exploded, joined with the piece table, and put
-    together by key. The space that encoding adds before a text is still there.
+    The texts of the pieces, a fixed vocabulary, are one literal array in the
+    plan; a row looks its ids up in it, without a shuffle. Bytes that are no
+    text become replacement characters. The space that encoding adds before a
+    text is still there.
     """
-    spark = df.sparkSession
-    rows = [(i, p.replace(SPACE, " ").encode().hex()) for p, i, _ in vocab.pieces]
+    texts = {i: p.replace(SPACE, " ").encode().hex() for p, i, _ in vocab.pieces}
     if vocab.first_byte is not None:
-        rows += [(vocab.first_byte + b, f"{b:02x}") for b in range(256)]
-    table = F.broadcast(spark.createDataFrame(rows, "_id int, _hex string"))
-    keys = [F.col(c) for c in key_cols]
-    ids = df.select(*keys, F.posexplode_outer(ids_col).alias("_at", "_id")).join(table, "_id", "left")
-    parts = ids.groupBy(*key_cols).agg(F.array_sort(F.collect_list(F.struct("_at", "_hex"))).alias("_parts"))
-    text = F.array_join(F.transform("_parts", lambda x: F.coalesce(x["_hex"], F.lit(""))), "")
-    return parts.select(*keys, F.decode(F.unhex(text), "UTF-8").alias("decoded"))
+        texts |= {vocab.first_byte + b: f"{b:02x}" for b in range(256)}
+    table = F.split(F.lit(",".join(texts.get(i, "") for i in range(max(texts, default=0) + 1))), ",")
+    code = F.array_join(F.transform(ids_col, lambda i: F.get(table, i)), "")  # leaves nulls out
+    return df.select(*key_cols, F.make_valid_utf8(F.unhex(F.coalesce(code, F.lit(""))).cast("string")).alias("decoded"))
 
 
 def _written(df: DataFrame) -> DataFrame:
@@ -373,8 +424,7 @@ def encode(
         F.coalesce(~F.contains(df[text_col], F.lit(SPACE)), F.lit(True)).alias("plain"),
     )
     raw = docs.select(F.explode("segments").alias("raw")).distinct().select(with_space(F.col("raw")).alias("word"))
-    short, long = (decode(part, vocab, ["word", "ids"]) for part in _encoded(_written(raw), vocab))
-    back = short.union(long)
+    back = decode(encode_words(_written(raw), vocab), vocab, ["word", "ids"])
     bare = F.when(F.startswith("word", F.lit(SPACE)), F.substring("word", 2, 1 << 30)).otherwise(F.col("word"))
     same = F.col("decoded") == F.translate("word", SPACE, " ")
     words = _written(back.select(bare.alias("raw"), "ids", same.alias("same")))

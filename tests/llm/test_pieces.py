@@ -72,3 +72,33 @@ def test_viterbi_takes_the_best_of_all_paths(spark):
 
     got = P.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), vocab).collect()
     assert {r["word"]: list(r["ids"]) for r in got} == {w: best(w)[1] for w in words}
+
+
+def test_long_segments_take_the_best_path_too(spark):
+    rng = random.Random(3)
+    names = ["▁", "a", "b", "c", "▁a", "ab", "bc", "abc", "ca", "cab", "bca", "cc", "aa", "bb"]
+    vocab = P.Vocabulary(tuple((n, i + 1, -float(rng.randrange(1, 9))) for i, n in enumerate(names)), 0, None, "unigram")
+    table = {n: (s, i) for n, i, s in vocab.pieces}
+    unknown = min(s for s, _ in table.values()) - 10
+
+    def best(word):
+        found = [(0.0, [])]
+        for end in range(1, len(word) + 1):
+            options = []
+            for n in range(min(3, end), 0, -1):  # of equal paths, the longer last piece
+                part = word[end - n : end]
+                if part in table or n == 1:
+                    score, number = table.get(part, (unknown, 0))
+                    options.append((found[end - n][0] + score, found[end - n][1] + [number]))
+            found.append(max(options, key=lambda o: o[0]))
+        return found[-1][1]
+
+    words = ["▁" + "".join(rng.choices("abcx", (5, 5, 5, 1), k=n)) for n in (30, 60, 61, 62, 63, 64, 65, 500, 3000)]
+    got = P.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), vocab).collect()
+    assert {r["word"]: list(r["ids"]) for r in got} == {w: best(w) for w in words}
+
+
+def test_decoding_takes_any_ids(spark, vocab):
+    rows = [(1, None), (1, [None, 10**6, -1]), (None, [vocab.first_byte + 0xFF, vocab.first_byte + ord("a")])]
+    got = P.decode(spark.createDataFrame(rows, "k long, ids array<int>"), vocab, ["k"]).collect()
+    assert [tuple(r) for r in got] == [(1, ""), (1, ""), (None, "\ufffda")]
