@@ -1,17 +1,18 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts are cut into segments that no piece spans (a run of spaces and the word
-after it). Every distinct segment is encoded once: its substrings of at most the
-longest piece's length are exploded and joined with the piece table, which gives
-the edges of its lattice; edges are grouped by segment and folded with the
-higher-order ``aggregate``. The encoded segments are then put together by
-document.
+after it). Every distinct segment is encoded once: its substrings, of the lengths
+that pieces with the same first characters have, are exploded and joined with the
+piece table, which gives the edges of its lattice; edges are grouped by segment
+and folded with the higher-order ``aggregate``. The encoded segments are then put
+together by document.
 
 The fold follows the kind of the model. For a unigram table it is Viterbi: the
 best path to every position. For a BPE table the best path by scores is not what
 the model means (on sample texts it differs for more than half of the words),
 so edges are folded in the order of their merges: an edge is taken if it joins
-exactly two present symbols. Positions between symbols are the bits of a number.
+exactly two present symbols. Positions between symbols are the bits of a number;
+segments too long for one are folded in Python, over the same edges in order.
 """
 
 from __future__ import annotations
