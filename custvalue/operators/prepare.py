@@ -6,7 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custvalue.functions.ordering import quantiles, running_totals
+from custvalue.functions.ordering import bracketed_quantiles, running_totals
 from custvalue.operators.customers import KEY
 
 # Columns that are no features of the customer summary / feature table.
@@ -30,8 +30,9 @@ def numeric_columns(df: DataFrame, exclude: tuple[str, ...] = ()) -> list[str]:
 def column_medians(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``metric, n, q0`` with the exact median of each numeric column."""
     columns = columns or numeric_columns(df)
-    by = KEY if KEY in df.columns else None
-    return quantiles(df, {c: F.col(c) for c in columns}, [0.5], unique_by=by)
+    found = bracketed_quantiles(df, {c: F.col(c) for c in columns}, [0.5])
+    rows = [(c, n, middle) for c, (n, (middle,)) in found.items()]
+    return df.sparkSession.createDataFrame(rows, "metric string, n long, q0 double")
 
 
 def incomplete_columns(df: DataFrame) -> list[str]:

@@ -320,3 +320,30 @@ def test_a_null_score_is_no_champion(spark):
     df = spark.createDataFrame([(None, 5, 5), (5, None, 5), (5, 5, None), (5, 5, 5)], "r int, f int, m int")
     named = df.select(X.customer_segment(df.r, df.f, df.m)).collect()
     assert [r[0] for r in named] == ["Potential Loyalists"] * 3 + ["Champions"]
+
+
+def test_bracketed_quantiles_are_exact_and_sort_few_values(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(str(i), rng.gauss(0, 1), float(rng.randrange(3)), None if i % 3 else rng.random(), None) for i in range(20_001)]
+    rows += [("x", float("nan"), float("inf"), -0.0, None)]
+    df = spark.createDataFrame(rows, "CustomerID string, a double, b double, c double, d double").persist()
+    values = {c: F.col(c) for c in "abcd"}
+    shares = [0.0, 0.2, 0.5, 0.999, 1.0]
+    want = {r["metric"]: (r["n"], [r[f"q{i}"] for i in range(5)]) for r in ordering.quantiles(df, values, shares).collect()}
+    ordered = []
+    totals = ordering.running_totals
+
+    def spied(counted, *rest, **more):
+        ordered.append(counted.count())
+        return totals(counted, *rest, **more)
+
+    monkeypatch.setattr(ordering, "running_totals", spied)
+    assert ordering.bracketed_quantiles(df, values, shares) == want
+    assert len(ordered) == 1 and ordered[0] < 2_000  # of 26,669 distinct values
+    assert ordering.bracketed_quantiles(df.limit(0), values, shares) == {}
+    numbers, sizes = df.select("c"), {"c": want["c"][0]}
+    low, high = want["c"][1][1], want["c"][1][3]
+    brackets = {("c", 1): [0.9, 0.95], ("c", 2): [low, high]}  # the first one misses its place
+    found = ordering._inside(numbers, {"c": "c"}, sizes, brackets, shares)
+    assert found == {("c", 2): want["c"][1][2]}
+    df.unpersist()
