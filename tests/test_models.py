@@ -264,3 +264,29 @@ def test_compare_models(training):
     one = models.evaluate_model(training.best, training.test).first()
     assert one["MAE"] == pytest.approx(table[0]["MAE"])
     assert metrics.report(models.evaluation_rows(training.models, training.test)).count() == 3
+
+
+def test_large_forests_are_fitted_in_few_partitions():
+    def tasks(name, trees, depth, rows, cores=12):
+        return models.tasks_for(name, trees, depth, 53, rows, cores)
+
+    assert tasks("random_forest", 100, 10, 700_000) <= 4  # each sends the statistics of all nodes
+    assert tasks("random_forest", 100, 10, 4_300_000) == 5
+    assert tasks("random_forest", 100, 10, 100_000_000) == 12
+    assert tasks("random_forest", 20, 6, 700_000) == tasks("gradient_boosting", 100, 6, 700_000) == 12
+
+
+def test_fits_do_not_shuffle_once_a_partition(spark, data, monkeypatch):
+    seen = []
+    fit = models.Pipeline.fit
+
+    def spied(self, df, *rest):
+        seen.append(df.rdd.getNumPartitions())
+        return fit(self, df, *rest)
+
+    monkeypatch.setattr(models.Pipeline, "fit", spied)
+    cores = spark.sparkContext.defaultParallelism
+    many = data.repartition(4 * cores)
+    models.train_all_models(many, COLUMNS, "y", names=models.MODELS[1:], settings=QUICK)
+    models.cross_validate("random_forest", many, COLUMNS, "y", folds=2, settings=QUICK)
+    assert seen and max(seen) <= cores
