@@ -347,3 +347,10 @@ def test_bracketed_quantiles_are_exact_and_sort_few_values(spark, monkeypatch):
     found = ordering._inside(numbers, {"c": "c"}, sizes, brackets, shares)
     assert found == {("c", 2): want["c"][1][2]}
     df.unpersist()
+
+
+def test_medians_of_many_columns(spark):
+    columns = [F.lit(None).cast("double") if i == 7 else (F.col("id") * (i + 1)).cast("double") for i in range(60)]
+    df = spark.range(501).select(F.col("id").cast("string").alias("CustomerID"), *[c.alias(f"c{i}") for i, c in enumerate(columns)])
+    found = {r["metric"]: (r["n"], r["q0"]) for r in prepare.column_medians(df).collect()}
+    assert found == {f"c{i}": (501, 250.0 * (i + 1)) for i in range(60) if i != 7}
