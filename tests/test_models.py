@@ -270,8 +270,8 @@ def test_large_forests_are_fitted_in_few_partitions():
     def tasks(name, trees, depth, rows, cores=12):
         return models.tasks_for(name, trees, depth, 53, rows, cores)
 
-    assert tasks("random_forest", 100, 10, 700_000) <= 4  # each sends the statistics of all nodes
-    assert tasks("random_forest", 100, 10, 4_300_000) == 5
+    assert tasks("random_forest", 100, 10, 700_000) == 9  # each sends the statistics of all nodes
+    assert tasks("random_forest", 100, 10, 4_300_000) == 9
     assert tasks("random_forest", 100, 10, 100_000_000) == 12
     assert tasks("random_forest", 20, 6, 700_000) == tasks("gradient_boosting", 100, 6, 700_000) == 12
 
