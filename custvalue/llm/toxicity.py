@@ -14,7 +14,8 @@ Training has two steps, both in numpy on a bounded sample of labelled
 documents: first on averages of whole documents, which finds the vectors that
 tell the classes apart; then on windows, where a toxic document is represented
 by its highest window and a clean one by its highest two and another. The words
-of the sample are held as one Arrow column and as numbers, never as lists.
+of the sample are numbered as they are read and held as numbers; what the fit
+takes besides is cut into parts of bounded size.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ import re
 import string
 import unicodedata
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -134,26 +136,48 @@ def windows_of(n: int, window: int) -> np.ndarray:
     return np.arange(parts + 1) * n // parts
 
 
+def _numbered(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The words of all texts as numbers, the number of words of each text, and the words by number, in order of appearance."""
+    coded, sizes = [], [np.empty(0, np.int64)]
+    for some in batched(texts, 200):
+        found = pa.array([words(t) for t in some], pa.list_(pa.string()))
+        sizes.append(found.value_lengths().to_numpy().astype(np.int64))
+        coded.append(found.flatten().dictionary_encode())
+    kind = pa.dictionary(pa.int32(), pa.string())
+    one = pa.chunked_array(coded, kind).unify_dictionaries()
+    numbers = [np.empty(0, np.int32), *(c.indices.to_numpy() for c in one.chunks)]
+    named = one.chunk(0).dictionary if one.num_chunks else pa.array([], pa.string())
+    return np.concatenate(numbers), np.concatenate(sizes), named
+
+
 class Bags:
     """Documents as word numbers, one after the other; words as rows of the table; windows as runs of words."""
 
-    def __init__(self, documents: pa.ListArray, settings: Settings):
-        coded = documents.flatten().dictionary_encode()
-        self.settings, self.words = settings, coded.indices.to_numpy()
-        self.sizes = documents.value_lengths().to_numpy().astype(np.int64)
+    def __init__(self, texts: Iterable[str | None], settings: Settings):
+        self.words, self.sizes, named = _numbered(texts)
+        self.settings = settings
         self.first = np.cumsum(self.sizes) - self.sizes
-        parts, counts = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
-        for at in range(0, len(coded.dictionary), 20_000):
-            some = coded.dictionary.slice(at, 20_000).to_pylist()
+        parts, counts = [], [np.zeros(1, np.int64)]
+        for at in range(0, len(named), 5_000):
+            some = named.slice(at, 5_000).to_pylist()
             rows, places = subwords(some, settings)
             parts.append(rows)
             counts.append(np.bincount(places, minlength=len(some)))
-        self.rows = np.concatenate(parts)
         self.starts = np.cumsum(np.concatenate(counts))
-        cuts = [windows_of(int(n), settings.window) for n in self.sizes]
-        self.windows = np.array([len(c) - 1 for c in cuts], np.int64)  # of each document
-        self.edges = np.concatenate([np.empty(0, np.int64), *[c[:-1] + at for c, at in zip(cuts, self.first)]])
-        self.ends = np.append(self.edges[1:], len(self.words)) if len(self.edges) else self.edges
+        self.rows, filled = np.empty(self.starts[-1], np.int32), 0
+        for rows in _popped(parts):
+            self.rows[filled : filled + len(rows)] = rows
+            filled += len(rows)
+        self.windows = np.maximum(1, -(-self.sizes // settings.window))  # of each document, see ``windows_of``
+        self.edges, filled = np.empty(self.windows.sum(), np.int32), 0
+        for n, at in zip(self.sizes.tolist(), self.first):
+            cuts = windows_of(n, settings.window)[:-1]
+            self.edges[filled : filled + len(cuts)] = cuts + at
+            filled += len(cuts)
+
+    @property
+    def ends(self) -> np.ndarray:
+        return np.append(self.edges[1:], np.int32(len(self.words))) if len(self.edges) else self.edges
 
     def document(self, i: int) -> np.ndarray:
         return self.words[self.first[i] : self.first[i] + self.sizes[i]]
@@ -168,15 +192,34 @@ class Bags:
     def values(self, weights: np.ndarray) -> np.ndarray:
         """What each word adds to a window, by one weight for each row of the table."""
         out = [np.empty(0)]
-        for at in range(0, len(self.starts) - 1, 50_000):
-            some = np.arange(at, min(at + 50_000, len(self.starts) - 1))
+        for at in range(0, len(self.starts) - 1, 10_000):
+            some = np.arange(at, min(at + 10_000, len(self.starts) - 1))
             rows, share, counts = self.features(some)
             out.append(np.bincount(np.repeat(np.arange(len(some)), counts), share * weights[rows], len(some)))
         return np.concatenate(out)
 
     def window_sums(self, weights: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(self.values(weights)[self.words])])
-        return sums[self.ends] - sums[self.edges]
+        sums = np.zeros(len(self.words) + 1)
+        np.take(self.values(weights), self.words, out=sums[1:], mode="clip")  # no copy, as the numbers are in range
+        np.cumsum(sums, out=sums)
+        found = sums[self.ends]
+        found -= sums[self.edges]
+        return found
+
+
+def _popped(parts: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """The parts in order, each let go before the next."""
+    parts.reverse()
+    while parts:
+        yield parts.pop()
+
+
+def _folded(table: np.ndarray, layer: np.ndarray) -> np.ndarray:
+    """One weight per row of the table, in double precision, without a copy of the whole table in it."""
+    difference, out = layer[:, 1] - layer[:, 0], np.empty(len(table))
+    for at in range(0, len(table), 1 << 16):
+        out[at : at + (1 << 16)] = table[at : at + (1 << 16)] @ difference
+    return out
 
 
 @dataclass
@@ -190,7 +233,7 @@ class Model:
     weights: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        self.weights = (self.table @ (self.layer[:, 1] - self.layer[:, 0])).astype(np.float32)
+        self.weights = _folded(self.table, self.layer).astype(np.float32)
 
     @property
     def offset(self) -> float:
@@ -208,22 +251,24 @@ def _train(model: Model, bags: Bags, chosen: list[np.ndarray], sizes: np.ndarray
     size = 128 if not even else 32  # whole documents are large bags
     share = np.bincount(labels, minlength=2)
     weight = (len(labels) / 2 / np.maximum(share, 1))[labels] if even else np.where(labels == 1, settings.toxic_weight, 1.0)
+    place = np.empty(settings.buckets, np.int32)  # of a row among the used ones of a batch
     for _ in range(epochs):
         order = rng.permutation(len(chosen))
         for first in range(0, len(order), size):
             batch = order[first : first + size]
             rows, part, counts = bags.features(np.concatenate([chosen[i] for i in batch]))
             of = np.repeat(np.repeat(np.arange(len(batch)), [len(chosen[i]) for i in batch]), counts)
-            part = part / sizes[batch][of]
-            vectors = model.table[rows]
-            hidden = np.stack([np.bincount(of, part * v, len(batch)) for v in vectors.T], axis=1)
+            part /= sizes[batch][of]
+            hidden = np.stack([np.bincount(of, part * v[rows], len(batch)) for v in model.table.T], axis=1)
             logits = hidden @ model.layer + model.bias
             p = np.exp(logits - logits.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             error = (p - np.eye(2)[labels[batch]]) * weight[batch][:, None] / len(batch)
             back = error @ model.layer.T
-            used, where = np.unique(rows, return_inverse=True)
-            slope = np.stack([np.bincount(where, part * b, len(used)) for b in back[of].T], axis=1)
+            used = np.unique(rows)
+            place[used] = np.arange(len(used), dtype=np.int32)
+            where = place[rows]
+            slope = np.stack([np.bincount(where, part * b[of], len(used)) for b in back.T], axis=1)
             slope *= len(batch)
             seen[used] += slope * slope
             model.table[used] -= settings.rate * slope / (np.sqrt(seen[used]) + settings.damping)
@@ -231,11 +276,23 @@ def _train(model: Model, bags: Bags, chosen: list[np.ndarray], sizes: np.ndarray
             model.bias -= settings.layer_rate * error.sum(axis=0)
 
 
-def fit(texts: list[str | None], labels: list[int], settings: Settings = Settings()) -> Model:
+def _chosen(sums: np.ndarray, bags: Bags, y: np.ndarray, rng) -> np.ndarray:
+    """Windows to train on: the highest of each document, and of a clean one the second and another."""
+    begins = np.cumsum(bags.windows) - bags.windows
+    others = begins + rng.integers(bags.windows)
+    taken = [others[y == 0]]
+    for first, n, label in zip(begins.tolist(), bags.windows.tolist(), y.tolist()):
+        own = sums[first : first + n]
+        highest = own.argmax()
+        taken.append([first + highest])
+        if n > 1 and label == 0:
+            own[highest] = -np.inf
+            taken.append([first + own.argmax()])
+    return np.unique(np.concatenate(taken))
+
+
+def fit(texts: Iterable[str | None], labels: list[int], settings: Settings = Settings()) -> Model:
     """Fit on the given documents; label 1 is toxic. Without both classes every score is the one seen (or 0)."""
-    lists = pa.list_(pa.string())
-    some = [pa.array([words(t) for t in texts[i : i + 200]], lists) for i in range(0, len(texts), 200)]
-    documents = pa.concat_arrays(some or [pa.array([], lists)])
     rng = np.random.default_rng(settings.seed)
     table = np.zeros((settings.buckets, settings.dim), np.float32)
     layer = rng.normal(0, 1 / np.sqrt(settings.dim), (settings.dim, 2))
@@ -244,28 +301,19 @@ def fit(texts: list[str | None], labels: list[int], settings: Settings = Setting
     if len(set(labels)) < 2:
         model.bias = np.array([0.0, 20.0]) if 1 in labels else np.array([20.0, 0.0])
         return model
-    bags = Bags(documents, settings)
-    del documents, some
+    bags = Bags(texts, settings)
     seen = np.zeros_like(table)
     some = np.concatenate([rng.permutation(np.flatnonzero(y == c))[: settings.document_sample] for c in (0, 1)])
     lengths = np.maximum(bags.sizes[some], settings.window).astype(float)
     _train(model, bags, [bags.document(i) for i in some], lengths, y[some], settings.document_epochs, True, rng, seen)
-    of = np.repeat(np.arange(len(y), dtype=np.int32), bags.windows)
     begins = np.cumsum(bags.windows) - bags.windows
     rounds = used = 0
     while rounds < settings.window_rounds or (used < settings.windows_seen and rounds < settings.most_rounds):
-        sums = bags.window_sums(model.table @ (model.layer[:, 1] - model.layer[:, 0]))
-        ranked = np.lexsort([-sums, of])  # windows of each document, the highest first
-        second = begins[bags.windows > 1] + 1
-        clean = y[of] == 0
-        taken = np.zeros(len(of), bool)
-        taken[ranked[begins]] = True
-        taken[ranked[second][clean[second]]] = True
-        taken[(begins + rng.integers(bags.windows))[y == 0]] = True
-        chosen = np.flatnonzero(taken)
+        chosen = _chosen(bags.window_sums(_folded(model.table, model.layer)), bags, y, rng)
         rounds, used = rounds + 1, used + len(chosen)
         bag = [bags.words[a:b] for a, b in zip(bags.edges[chosen], bags.ends[chosen])]
-        _train(model, bags, bag, np.full(len(chosen), float(settings.window)), y[of[chosen]], 1, False, rng, seen)
+        of = np.searchsorted(begins, chosen, "right") - 1  # the documents of the windows
+        _train(model, bags, bag, np.full(len(chosen), float(settings.window)), y[of], 1, False, rng, seen)
     fitted = Model(settings, model.table, model.layer, model.bias)
     highest = np.maximum.reduceat(bags.window_sums(fitted.weights), begins)
     fitted.bias[1] -= _cut(highest / settings.window + fitted.offset, y)
@@ -347,7 +395,16 @@ def fit_on(df: DataFrame, labels: DataFrame, settings: Settings, id_col: str, te
     keys = spark.createDataFrame([(r["_id"], r["_hash"]) for r, good in zip(chosen, fits) if good], "_id long, _hash long")
     rows = found.join(F.broadcast(keys), ["_id", "_hash"]).select(F.coalesce("text", F.lit("")).alias("text"), "label")
     sample = rows.distinct().toArrow().sort_by([("text", "ascending"), ("label", "ascending")])
-    return fit(sample.column("text").to_pylist(), sample.column("label").to_pylist(), settings)
+    y, texts = sample.column("label").to_pylist(), _texts(sample.column("text"))
+    del sample  # the texts go when they are read
+    model = fit(texts, y, settings)
+    pa.default_memory_pool().release_unused()
+    return model
+
+
+def _texts(column: pa.ChunkedArray) -> Iterator[str]:
+    for t in column:
+        yield t.as_py()
 
 
 def score_documents(

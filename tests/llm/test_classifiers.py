@@ -1,6 +1,7 @@
 """Language identification and toxicity: accuracy on held-out texts, kernels by definition, and odd rows."""
 
 import random
+import tracemalloc
 import zlib
 
 import duckdb
@@ -192,3 +193,15 @@ def test_samples_are_bounded_and_repeatable(spark):
     rows = sample_per_class(df, "c", "id", 60)
     assert [sum(r["c"] == c for r in rows) for c in ("rare", "common")] == [40, 60]
     assert [r["id"] for r in rows] == [r["id"] for r in sample_per_class(df.repartition(7), "c", "id", 60)]
+
+
+def test_fit_takes_few_bytes_a_word():
+    rng = random.Random(8)
+    named = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(30_000)]
+    texts = [" ".join(rng.choices(named, k=2000)) + " vile" * (i % 2) for i in range(200)]
+    settings = toxicity.Settings(buckets=1 << 14, document_sample=10, document_epochs=1, window_rounds=1, windows_seen=0)
+    tracemalloc.start()
+    model = toxicity.fit(texts, [i % 2 for i in range(200)], settings)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(model.weights).all() and peak < 100 * 400_000
