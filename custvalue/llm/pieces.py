@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into segments that no piece spans (a run of spaces and the word
-after it). Every distinct segment is encoded once: its substrings, of the lengths
+Texts are cut by Arrow into segments that no piece spans (a run of spaces and the
+word after it). Every distinct segment is encoded once: its substrings, of the lengths
 that pieces with the same first characters have, are exploded and joined with the
 piece table, which gives the edges of its lattice; edges are grouped by segment
 and folded with the higher-order ``aggregate``. The encoded segments are then put
@@ -17,17 +17,20 @@ segments too long for one are folded in Python, over the same edges in order.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from custvalue.llm.tokenfile import new_folder
+from custvalue.llm.tokens import by_size
 
 SPACE = "▁"
 # Layout of an edge in 63 bits, from the lowest: id, length, start, rank.
@@ -35,6 +38,7 @@ _ID, _LENGTH, _START, _RANK = (17, 0), (5, 17), (24, 22), (17, 46)
 _NONE = (1 << 17) - 1  # id and rank of a character that is no piece
 _PREFIX, _SHORT = 3, 0b110  # characters that choose the lengths to try; the lengths below, as bits
 WORDS_PER_TASK = 20_000
+CUT_BYTES, JOIN_BYTES = 8_000_000, 1_500_000  # text cut at once; text whose ids are put together at once
 _MASKED = 62  # segments of at most so many characters are folded as bits of a long
 
 
@@ -74,22 +78,61 @@ def _piece_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
     )
 
 
-def raw_segments(text: Column, vocab: Vocabulary) -> Column:
-    """Array of a text's segments, without the space sign that all but those after a line feed begin with.
+def cut_lines(vocab: Vocabulary) -> bool:
+    """Whether a line feed begins a segment; else it is as other characters."""
+    return not any("\n" in p for p, _, _ in vocab.pieces)
 
-    Empty for a null or empty text. Texts with single spaces are cut by plain
-    text functions; a regular expression cuts the others.
+
+def raw_segments(texts: pa.Array, lines: bool) -> pa.ListArray:
+    """Each text's segments, without the space sign that all but those after a line feed begin with.
+
+    Empty for a null or empty text. Texts with single spaces are split at them
+    by Arrow; a regular expression cuts the others.
     """
-    lines = not any("\n" in p for p, _, _ in vocab.pieces)  # else line feeds are as other characters
-    spaced = F.replace(text, F.lit("\n"), F.lit(" \n")) if lines else text
-    plain = ~(F.startswith(spaced, F.lit(" ")) | F.contains(spaced, F.lit("  ")) | F.contains(spaced, F.lit(SPACE)))
-    if not lines:
-        plain = plain & ~F.contains(spaced, F.lit("\n"))
-    cut = f"(?<=[^{SPACE}])(?={SPACE})" + "|(?=\n)" * lines
-    parts = F.split(F.concat(F.lit(SPACE), F.translate(text, " ", SPACE)), cut)
-    bare = F.transform(parts, lambda x: F.when(F.startswith(x, F.lit(SPACE)), F.substring(x, 2, 1 << 30)).otherwise(x))
-    found = F.when(plain, F.split(spaced, " ")).otherwise(bare)
-    return F.when(F.length(text) > 0, found).otherwise(F.array().cast("array<string>"))
+    spaced = pc.fill_null(texts, "")
+    if lines:
+        spaced = pc.replace_substring(spaced, "\n", " \n")
+    found = pc.split_pattern(spaced, " ")
+    odd = pc.or_(pc.equal(spaced, ""), pc.starts_with(spaced, " "))
+    for sign in ("  ", SPACE) if lines else ("  ", SPACE, "\n"):
+        odd = pc.or_(odd, pc.match_substring(spaced, sign))
+    at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    if not len(at):
+        return found
+    cut = re.compile(f"(?<=[^{SPACE}])(?={SPACE})" + "|(?=\n)" * lines)
+    others = [_bare(cut.split(SPACE + t.replace(" ", SPACE))) if t else [] for t in texts.take(pa.array(at)).to_pylist()]
+    places = np.arange(len(texts))
+    places[at] = len(texts) + np.arange(len(at))
+    return pa.concat_arrays([found, pa.array(others, found.type)]).take(pa.array(places))
+
+
+def _bare(segments: list[str]) -> list[str]:
+    return [x.removeprefix(SPACE) for x in segments]
+
+
+def _distinct_segments(docs: DataFrame, lines: bool) -> DataFrame:
+    """``raw``: the distinct segments of the column ``text``; each task sends those of a run of texts once."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, run in by_size(batch.column("text"), CUT_BYTES):
+                yield pa.RecordBatch.from_arrays([raw_segments(run, lines).flatten().unique()], ["raw"])
+        pa.default_memory_pool().release_unused()  # the process stays for later stages
+
+    return docs.select("text").mapInArrow(rows, "raw string").repartition("raw").distinct()
+
+
+def _segmented(docs: DataFrame, lines: bool) -> DataFrame:
+    """``docs`` with ``segments`` instead of ``text``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, run in by_size(batch.column("text"), JOIN_BYTES):
+                own = batch.slice(start, len(run))
+                columns = [own.column("doc_id"), own.column("plain"), raw_segments(run, lines)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "plain", "segments"])
+
+    return docs.select("doc_id", "plain", "text").mapInArrow(rows, "doc_id long, plain boolean, segments array<string>")
 
 
 def with_space(raw: Column) -> Column:
@@ -122,57 +165,56 @@ def _length_table(spark: SparkSession, vocab: Vocabulary) -> DataFrame:
 
 
 def lattices(words: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """``word, edges`` of distinct words: packed edges of every piece in a word, and of characters that are none.
-
-    Of every start, the substrings are exploded whose length a piece with the
-    same first characters has. They meet the pieces by their hashes, which are
-    compared faster than texts; equal texts are asked for besides.
+    """``word, edges`` of distinct words: edges of every piece in a word, and of characters that are none.
+
+    An edge is packed in ``e``; ``span`` and ``ends`` are its positions as bits,
+    which mean something in words of at most ``_MASKED`` characters. Of every
+    start, the substrings are exploded whose length a piece with the same first
+    characters has. They meet the pieces by their hashes alone, which are looked
+    up faster than texts; that each text begins with the other is asked besides.
+    Words are numbered as they come, so their edges are in order for the grouping.
     """
     spark, size, start = words.sparkSession, F.length("word"), F.col("start")
     lengths, pieces = _length_table(spark, vocab), _piece_table(spark, vocab)  # a fixed vocabulary
     bounds = F.broadcast(lengths.withColumn("_key", F.xxhash64("_prefix")))
     table = F.broadcast(pieces.select(F.xxhash64("piece").alias("_key"), F.col("piece").alias("_piece"), "id", "rank"))
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    numbered = words.select(F.monotonically_increasing_id().alias("_n"), "word")
+    starts = numbered.select("_n", "word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
     starts = starts.withColumn("first", F.substring("word", start + 1, F.lit(_PREFIX)))
-    starts = starts.join(bounds, (F.xxhash64("first") == F.col("_key")) & (F.col("first") == F.col("_prefix")), "left")
+    starts = starts.join(bounds, _equal("first", "_prefix"), "left")
     reach = F.least(F.coalesce("most", F.lit(_PREFIX - 1)), size - start)
     bits = F.coalesce("lengths", F.lit(_SHORT)).alias("lengths")
-    spans = starts.select("word", "start", bits, F.explode(F.sequence(F.lit(1), reach)).alias("length"))
+    spans = starts.select("_n", "word", "start", bits, F.explode(F.sequence(F.lit(1), reach)).alias("length"))
     spans = spans.filter(F.getbit("lengths", F.col("length")) == 1)
-    spans = spans.select("word", "start", "length", F.substring("word", start + 1, F.col("length")).alias("piece"))
-    same = (F.xxhash64("piece") == F.col("_key")) & (F.col("piece") == F.col("_piece"))
-    found = spans.join(table, same, "left").filter("id is not null or length = 1")
+    spans = spans.select("_n", "word", "start", "length", F.substring("word", start + 1, F.col("length")).alias("piece"))
+    found = spans.join(table, _equal("piece", "_piece"), "left").filter("id is not null or length = 1")
     none = F.lit(_NONE)
-    edge = _pack(F.coalesce("rank", none), start, F.col("length"), F.coalesce("id", none))
-    keyed = found.select(F.xxhash64("word").alias("_h"), "word", edge.alias("edge"))  # numbers sort faster than words
-    return keyed.groupBy("_h", "word").agg(F.collect_list("edge").alias("edges")).drop("_h")
-
-
-def _bit(x: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), x.cast("int"))
+    packed = _pack(F.coalesce("rank", none), start, F.col("length"), F.coalesce("id", none))
+    span = F.call_function("shiftleft", _bit(F.col("length") + 1) - 1, start)
+    ends = F.call_function("shiftleft", _bit(F.col("length")) + 1, start)
+    edge = F.struct(packed.alias("e"), span.alias("span"), ends.alias("ends"))
+    return found.select("_n", "word", edge.alias("edge")).groupBy("_n", "word").agg(F.collect_list("edge").alias("edges")).drop("_n")
 
 
-def _shifted(bits: Column, edge: Column) -> Column:
-    return F.call_function("shiftleft", bits, _field(edge, _START).cast("int"))
+def _equal(text: str, other: str) -> Column:
+    """Equality of texts, the other's hash being ``_key``, as a join by that number alone."""
+    both = F.startswith(F.col(text), F.col(other)) & F.startswith(F.col(other), F.col(text))
+    return (F.xxhash64(text) == F.col("_key")) & both
 
 
-def _span(edge: Column) -> Column:
-    """Bits of the positions from an edge's start to its end."""
-    return _shifted(_bit(_field(edge, _LENGTH) + 1) - 1, edge)
-
-
-def _ends(edge: Column) -> Column:
-    return _shifted(_bit(_field(edge, _LENGTH)) + 1, edge)
+def _bit(x: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), x.cast("int"))
 
 
 def _merge_fold(edges: Column, size: Column) -> Column:
     """Positions that are left between symbols after all merges, as bits."""
 
     def step(mask: Column, edge: Column) -> Column:
-        joins = (F.bit_count(mask.bitwiseAND(_span(edge))) == 3) & (mask.bitwiseAND(_ends(edge)) == _ends(edge))
-        return F.when(joins, mask.bitwiseAND(F.bitwise_not(_span(edge))).bitwiseOR(_ends(edge))).otherwise(mask)
+        span, ends = edge["span"], edge["ends"]
+        joins = (F.bit_count(mask.bitwiseAND(span)) == 3) & (mask.bitwiseAND(ends) == ends)
+        return F.when(joins, mask.bitwiseAND(F.bitwise_not(span)).bitwiseOR(ends)).otherwise(mask)
 
-    merges = F.sort_array(F.filter(edges, lambda e: _field(e, _LENGTH) > 1))  # by rank, then start
+    merges = F.sort_array(F.filter(edges, lambda e: F.bit_count(e["span"]) > 2))  # by rank, then start
     return F.aggregate(merges, _bit(size + 1) - 1, step)
 
 
@@ -184,7 +226,7 @@ def _viterbi_fold(edges: Column, size: Column, scores: list[float], unknown: flo
     """
     table = F.split(F.lit(",".join(repr(s) for s in sorted(scores, reverse=True))), ",").cast("array<double>")
     order = lambda e: F.shiftleft((_field(e, _START) + _field(e, _LENGTH)).cast("long"), 24).bitwiseOR(_field(e, _START))
-    moved = F.transform(edges, lambda e: F.struct(order(e).alias("at"), e.alias("edge")))
+    moved = F.transform(edges, lambda e: F.struct(order(e["e"]).alias("at"), e["e"].alias("edge")))
     start = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(1).cast("long").alias("mask")))
 
     def step(state: Column, moved_edge: Column) -> Column:
@@ -207,9 +249,9 @@ def _symbols(edges: Column, mask: Column) -> Column:
     The mask is bound as a variable, so that the optimiser does not move its fold into the filter, once per edge.
     """
     low = (1 << _RANK[1]) - 1
-    between = lambda m: F.filter(edges, lambda e: m.bitwiseAND(_span(e)) == _ends(e))
+    between = lambda m: F.filter(edges, lambda e: m.bitwiseAND(e["span"]) == e["ends"])
     kept = F.get(F.transform(F.array(mask), between), 0)
-    return F.sort_array(F.transform(kept, lambda e: e.bitwiseAND(F.lit(low))))
+    return F.sort_array(F.transform(kept, lambda e: e["e"].bitwiseAND(F.lit(low))))
 
 
 def _symbol_ids(word: Column, symbols: Column, vocab: Vocabulary) -> Column:
@@ -288,13 +330,13 @@ def _encoded(words: DataFrame, vocab: Vocabulary) -> tuple[DataFrame, DataFrame]
     they are grouped, and need little memory.
     """
     parts = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), words.count() // WORDS_PER_TASK)
-    edges = lattices(words.repartition(parts, "word"), vocab)
-    size, short = F.length("word"), F.length("word") <= _MASKED
+    dealt, size = words.repartition(parts, "word"), F.length("word")
+    edges, long = (lattices(dealt.filter(some), vocab) for some in (size <= _MASKED, size > _MASKED))
     scores = sorted((s for _, _, s in vocab.pieces), reverse=True)  # by rank
     unknown = min(scores, default=0.0) - 10.0
     bpe = vocab.kind == "bpe"
     mask = _merge_fold(F.col("edges"), size) if bpe else _viterbi_fold(F.col("edges"), size, scores, unknown)
-    folded = edges.filter(short).select("word", "edges", mask.alias("mask"))
+    folded = edges.select("word", "edges", mask.alias("mask"))
     symbols = folded.select("word", _symbols(F.col("edges"), F.col("mask")).alias("symbols"))
     ids = symbols.select("word", _symbol_ids(F.col("word"), F.col("symbols"), vocab).alias("ids"))
 
@@ -306,7 +348,7 @@ def _encoded(words: DataFrame, vocab: Vocabulary) -> tuple[DataFrame, DataFrame]
                 found = pa.array([_long_ids(word, own, follow, vocab)], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict({"word": [word], "ids": found})
 
-    return ids, edges.filter(~short).mapInArrow(rows, "word string, ids array<int>")
+    return ids, long.select("word", F.col("edges.e").alias("edges")).mapInArrow(rows, "word string, ids array<int>")
 
 
 def decode(df: DataFrame, vocab: Vocabulary, key_cols: list[str], ids_col: str = "ids") -> DataFrame:
@@ -354,13 +396,20 @@ def _packed_table(words: DataFrame, id_type: str) -> list[np.ndarray]:
             yield pa.RecordBatch.from_pydict({f"c{i}": [x.tobytes()] for i, x in enumerate(arrays)})
 
     hashed = words.select(F.xxhash64("raw").alias("h"), "ids", "same").repartitionByRange("h").sortWithinPartitions("h")
-    packed = hashed.mapInArrow(rows, ", ".join(f"c{i} binary" for i in range(5))).collect()
+    packed = hashed.mapInArrow(rows, ", ".join(f"c{i} binary" for i in range(5))).toArrow()
     kinds = ("<i8", "u1", id_type, "<i8", "<u4")
-    return [np.frombuffer(b"".join(r[i] for r in packed), kind) for i, kind in enumerate(kinds)]
+    return [
+        np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in column)])
+        for kind, column in zip(kinds, packed.columns)
+    ]
+
 
+def _by_broadcast(docs: DataFrame, words: DataFrame, id_type: str, lines: bool, digested: bool) -> DataFrame:
+    """Ids of the documents, or their digest in the same task, by a sorted table of the words' hashes, which every task holds.
 
-def _by_broadcast(docs: DataFrame, words: DataFrame, id_type: str) -> DataFrame:
-    """Ids of the documents by a sorted table of the words' hashes, which every task holds."""
+    Texts are taken in runs; each distinct segment of a run is looked up once, in
+    the order of the hashes, and the run's ids are put together from those found.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_packed_table(words, id_type))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,37 +417,47 @@ def _by_broadcast(docs: DataFrame, words: DataFrame, id_type: str) -> DataFrame:
         sizes = counts.astype(np.int32)
         sizes[counts == 255] = many
         starts = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
-        for whole in batches:
-            for first in range(0, whole.num_rows, 500):
-                batch = whole.slice(first, 500)
-                lists = batch.column("segments")
+        del sizes
+        for batch in batches:
+            for start, run in by_size(batch.column("text"), JOIN_BYTES):
+                lists = raw_segments(run, lines)
                 coded = lists.flatten().dictionary_encode()
                 hashes = [xxh64_intdigest(w, 42) for w in coded.dictionary.cast(pa.binary()).to_pylist()]
-                at = np.searchsorted(known, np.array(hashes, np.uint64).view(np.int64))
-                at = at[coded.indices.to_numpy()] if len(hashes) else np.empty(0, np.int64)
-                sizes = (starts[at + 1] - starts[at]).astype(np.int64)
-                ends = np.cumsum(sizes)
-                total = int(ends[-1]) if len(ends) else 0
-                ids = flat[np.arange(total) + np.repeat(starts[at] - ends + sizes, sizes)]
-                bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                cuts = np.concatenate([[0], ends])[bounds]
-                failed = np.isin(known[at], wrong_words) if len(wrong_words) else np.zeros(len(at), bool)
-                wrong = np.concatenate([[0], np.cumsum(failed)])[bounds]
+                hashes = np.array(hashes, np.uint64).view(np.int64)
+                order = np.argsort(hashes)
+                at = np.empty(len(order), np.int64)
+                at[order] = np.searchsorted(known, hashes[order])
+                own, own_starts = _ranges(starts[at].astype(np.int64), starts[at + 1] - starts[at])
+                own = flat[own]
+                place = coded.indices.to_numpy()
+                ids, bounds = _ranges(own_starts[place], own_starts[place + 1] - own_starts[place])
+                cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                failed = np.isin(known[at], wrong_words)[place] if len(wrong_words) else np.zeros(len(place), bool)
+                wrong = np.concatenate([[0], np.cumsum(failed)])[cuts]
+                rest = batch.slice(start, len(run))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"),
-                        pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(ids.astype(np.int32))),
-                        pa.array((np.diff(wrong) == 0) & batch.column("plain").to_numpy(zero_copy_only=False)),
+                        rest.column("doc_id"),
+                        pa.ListArray.from_arrays(pa.array(bounds[cuts], pa.int32()), pa.array(own[ids].astype(np.int32))),
+                        pa.array((np.diff(wrong) == 0) & rest.column("plain").to_numpy(zero_copy_only=False)),
                     ],
                     ["doc_id", "ids", "round_trip"],
                 )
 
+    if digested:
+        return docs.mapInArrow(lambda batches: _digests(rows(batches)), _DIGEST)
     return docs.mapInArrow(rows, "doc_id long, ids array<int>, round_trip boolean")
 
 
-def _by_join(docs: DataFrame, words: DataFrame) -> DataFrame:
+def _ranges(firsts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of ranges, one range after the other, and where each range begins among them, and the end."""
+    bounds = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
+    return np.arange(bounds[-1]) + np.repeat(firsts - bounds[:-1], sizes), bounds
+
+
+def _by_join(docs: DataFrame, words: DataFrame, lines: bool) -> DataFrame:
     """Ids of the documents by a join of every segment, whatever the size of the words' table."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    rows = _segmented(docs, lines).withColumn("_row", F.monotonically_increasing_id())
     parts = rows.select("_row", "doc_id", "plain", F.posexplode_outer("segments").alias("at", "raw"))
     joined = parts.join(words, "raw", "left")
     grouped = joined.groupBy("_row", "doc_id", "plain").agg(
@@ -409,10 +468,17 @@ def _by_join(docs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def encode(
-    df: DataFrame, vocab: Vocabulary, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 1 << 27
+    df: DataFrame,
+    vocab: Vocabulary,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    broadcast_bytes: int = 1 << 27,
+    digested: bool = False,
 ) -> DataFrame:
     """``doc_id, ids, round_trip`` of every row: ids of the whole text, and whether they decode to it.
 
+    With ``digested`` the columns of ``digest`` of these rows, so that the ids do not leave their task.
+
     Null and empty texts have no ids. A text that holds the space sign itself
     decodes to a space there, so its round trip fails. Rows with a null or
     repeated id are kept, an empty table gives no rows, and other columns,
@@ -421,10 +487,11 @@ def encode(
     """
     docs = df.select(
         df[id_col].cast("long").alias("doc_id"),
-        raw_segments(df[text_col], vocab).alias("segments"),
+        F.make_valid_utf8(df[text_col]).alias("text"),
         F.coalesce(~F.contains(df[text_col], F.lit(SPACE)), F.lit(True)).alias("plain"),
     )
-    raw = docs.select(F.explode("segments").alias("raw")).distinct().select(with_space(F.col("raw")).alias("word"))
+    lines = cut_lines(vocab)
+    raw = _distinct_segments(docs, lines).select(with_space(F.col("raw")).alias("word"))
     back = decode(encode_words(_written(raw), vocab), vocab, ["word", "ids"])
     bare = F.when(F.startswith("word", F.lit(SPACE)), F.substring("word", 2, 1 << 30)).otherwise(F.col("word"))
     same = F.col("decoded") == F.translate("word", SPACE, " ")
@@ -434,20 +501,24 @@ def encode(
     ).first()
     width = 2 if max((i for _, i, _ in vocab.pieces), default=0) < 1 << 16 else 4
     if size["n"] == size["hashes"] and 9 * size["n"] + width * (size["ids"] or 0) <= broadcast_bytes:
-        return _by_broadcast(docs, words, f"<u{width}")
-    return _by_join(docs, words)
+        return _by_broadcast(docs, words, f"<u{width}", lines, digested)
+    joined = _by_join(docs, words, lines)
+    return digest(joined) if digested else joined
+
+
+_DIGEST = "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean"
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("ids")
+        flat, bounds = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
+        columns = [batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*columns, batch.column("round_trip")], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
 
 
 def digest(encoded: DataFrame) -> DataFrame:
     """``doc_id, n_tokens, ids_crc32, round_trip``: the checksum is over little-endian unsigned 32-bit ids."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, bounds = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy()
-            bounds = bounds - bounds[0]
-            crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(bounds, bounds[1:])]
-            columns = [batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column("round_trip")], ["doc_id", "n_tokens", "ids_crc32", "round_trip"])
-
-    return encoded.mapInArrow(rows, "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean")
+    return encoded.mapInArrow(_digests, _DIGEST)

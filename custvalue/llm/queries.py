@@ -44,7 +44,7 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and checksum of the pieces of every document, and whether they decode to its text."""
     vocab = pieces.vocabulary(PIECE_MODEL)
-    return pieces.digest(pieces.encode(table(spark, sf_dir, "documents"), vocab))
+    return pieces.encode(table(spark, sf_dir, "documents"), vocab, digested=True)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

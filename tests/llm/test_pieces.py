@@ -2,8 +2,10 @@
 
 import itertools
 import random
+import re
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -102,3 +104,27 @@ def test_decoding_takes_any_ids(spark, vocab):
     rows = [(1, None), (1, [None, 10**6, -1]), (None, [vocab.first_byte + 0xFF, vocab.first_byte + ord("a")])]
     got = P.decode(spark.createDataFrame(rows, "k long, ids array<int>"), vocab, ["k"]).collect()
     assert [tuple(r) for r in got] == [(1, ""), (1, ""), (None, "\ufffda")]
+
+
+@pytest.mark.parametrize("lines", [True, False])
+def test_segments_cut_by_arrow_follow_the_expression(lines):
+    rng = random.Random(6)
+    signs = ["a", "be", " ", "  ", "\n", " \n", "▁", "\t", "é", "日本", "\x85"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(8))) for _ in range(2000)] + ["", None]
+    cut = re.compile("(?<=[^▁])(?=▁)" + "|(?=\n)" * lines)
+    want = [[x.removeprefix("▁") for x in cut.split("▁" + t.replace(" ", "▁"))] if t else [] for t in texts]
+    assert P.raw_segments(pa.array(["cut off", *texts])[1:], lines).to_pylist() == want
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 28, 0])
+def test_digests_in_the_task_equal_those_of_the_ids(spark, vocab, rows, broadcast_bytes):
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], SCHEMA)
+    want = P.digest(P.encode(df, vocab)).collect()
+    got = P.encode(df, vocab, broadcast_bytes=broadcast_bytes, digested=True)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want))
+
+
+def test_texts_meet_their_table_by_one_number(spark, vocab):
+    plan = P.lattices(spark.createDataFrame([("▁word",)], "word string"), vocab)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "BroadcastHashJoin" in x]
+    assert len(joins) == 2 and all(re.search(r"BroadcastHashJoin \[xxhash64\([^\]]*\)\], \[_key#\d+L\]", x) for x in joins)
