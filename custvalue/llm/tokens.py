@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 KNOWN_PIECES = 500_000  # pieces kept in the table; about 200 bytes each
 LONGEST_KNOWN = 64  # longer pieces are encoded each time
 BATCH_CHARS = 12_000_000  # text encoded at once
+JOINED_PIECES = 1 << 17  # pieces whose ids are put together at once
 
 _CUT = re.compile(r" (?=\S)")
 _RUN = re.compile(r"\s\s")
@@ -207,12 +208,16 @@ class PieceTokenizer:
         return starts[numbers + 1] - starts[numbers]
 
     def _joined(self, numbers: np.ndarray) -> np.ndarray:
-        """Ids of pieces by number, one after the other."""
-        sizes = self._sizes(numbers)
-        ends = np.cumsum(sizes)
-        shift = np.array(self.starts)[numbers] - ends + sizes
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(shift, sizes)
-        return np.array(self.flat, np.uint32)[at]
+        """Ids of pieces by number, one after the other; the places of the ids are made for some pieces at a time."""
+        starts, flat, parts = np.array(self.starts), np.array(self.flat, np.uint32), [np.empty(0, np.uint32)]
+        for first in range(0, len(numbers), JOINED_PIECES):
+            some = numbers[first : first + JOINED_PIECES]
+            begins = starts[some]
+            sizes = starts[some + 1] - begins
+            at = np.repeat(begins + sizes - np.cumsum(sizes), sizes)
+            at += np.arange(len(at))
+            parts.append(flat[at])
+        return np.concatenate(parts)
 
 
 @functools.lru_cache(maxsize=2)

@@ -1,6 +1,7 @@
 """Tokenization, packing and token files: exact round trips and brute force."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -158,3 +159,15 @@ def test_written_files_read_back(spark, library, tmp_path, file_ids):
 def test_an_empty_table_writes_no_file(spark, tmp_path):
     files = tokenfile.write(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "new"), PATH, 50257)
     assert files.count() == 0 and tokenfile.read(files, str(tmp_path / "new")).count() == 0
+
+
+def test_ids_are_joined_in_little_memory():
+    model = PieceTokenizer(PATH)
+    model.ids(["some words of a text, and others"])
+    numbers = np.random.default_rng(1).integers(0, len(model.known), 500_000)
+    tracemalloc.start()
+    found = model._joined(numbers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    parts = [model.flat[model.starts[i] : model.starts[i + 1]] for i in numbers.tolist()]
+    assert found.tolist() == [i for part in parts for i in part] and peak < 20 * len(found)
