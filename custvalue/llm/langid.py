@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from custvalue.llm.kept import releasing
 from custvalue.llm.labelled import sample_per_class
 
 UNKNOWN = "und"
@@ -175,7 +176,7 @@ def predict_languages(
             )
 
     texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    return texts.mapInArrow(rows, "doc_id long, lang_pred string, score double")
+    return texts.mapInArrow(releasing(rows), "doc_id long, lang_pred string, score double")
 
 
 def keep_languages(
@@ -191,7 +192,7 @@ def keep_languages(
             names, scores = predict(batch.column(place))
             yield batch.filter(pa.array([n in wanted and s >= least for n, s in zip(names, scores)], pa.bool_()))
 
-    return df.mapInArrow(rows, df.schema)
+    return df.mapInArrow(releasing(rows), df.schema)
 
 
 def _predicting(spark, model: Model):

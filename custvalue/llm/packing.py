@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from custvalue.llm.kept import releasing
 from custvalue.llm.tokens import encoded
 
 SCHEMA = (
@@ -212,7 +213,7 @@ def pack(
                     (p.doc, p.start, p.length, p.loss(), zlib.crc32(ids), len(p.ids), first + n, at, ids if with_ids else None)
                 )
                 at += p.length
-            if len(out) >= 2000:
+            if len(out) >= 500:
                 yield _batch(out)
                 out = []
         if out:
@@ -220,7 +221,7 @@ def pack(
 
     prompt = F.lit(0) if prompt_col is None else F.greatest(F.coalesce(df[prompt_col], F.lit(0)), F.lit(0))
     texts = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"), prompt.cast("long").alias("prompt"))
-    return texts.mapInArrow(rows, SCHEMA)
+    return texts.mapInArrow(releasing(rows), SCHEMA)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

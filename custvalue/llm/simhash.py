@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
 from custvalue.llm.components import connected_components
+from custvalue.llm.kept import releasing
 from custvalue.session import materialise
 
 BITS, SEED = 64, 42
@@ -58,7 +59,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle_words: int,
 
     own = [df[c].cast("long").alias(k) for k, c in keys.items()]
     texts = df.select(*own, df[text_col].cast("binary").alias("text"))
-    return texts.mapInArrow(rows, ", ".join(f"{k} long" for k in [*keys, "fp"]))
+    return texts.mapInArrow(releasing(rows), ", ".join(f"{k} long" for k in [*keys, "fp"]))
 
 
 def _cuts(width: int, parts: int) -> list[tuple[int, int]]:

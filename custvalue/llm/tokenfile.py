@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from custvalue.llm.kept import releasing
 from custvalue.llm.tokens import encoded
 from custvalue.session import ensure_checkpoint_dir, materialise
 
@@ -194,7 +195,7 @@ def write(
         df[id_col].cast("long").alias("id"), df[text_col].alias("text"), F.monotonically_increasing_id().alias("_at")
     )
     rows = rows.repartitionByRange("id", "_at").sortWithinPartitions("id", "_at")
-    files = rows.select("id", "text").mapInArrow(save, "part long, n long, path string, documents long, ids long")
+    files = rows.select("id", "text").mapInArrow(releasing(save), "part long, n long, path string, documents long, ids long")
     files = materialise(files)
     before = Window.orderBy("part", "n").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     return files.select("path", "documents", "ids", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
@@ -226,4 +227,4 @@ def read(files: DataFrame, folder: str, with_ids: bool = False) -> DataFrame:
 
     spread = files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary"
-    return spread.select("path", "start").mapInArrow(load, schema)
+    return spread.select("path", "start").mapInArrow(releasing(load), schema)

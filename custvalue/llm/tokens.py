@@ -8,7 +8,6 @@ distinct piece once, and pieces met before come from a bounded table.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from array import array
@@ -18,9 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KNOWN_PIECES = 500_000  # pieces kept in the table; about 200 bytes each
+from custvalue.llm.kept import last_used
+
+KNOWN_PIECES = 300_000  # pieces kept in the table; about 200 bytes each
 LONGEST_KNOWN = 64  # longer pieces are encoded each time
-BATCH_CHARS = 12_000_000  # text encoded at once
+BATCH_CHARS = 3_000_000  # text encoded at once
 JOINED_PIECES = 1 << 17  # pieces whose ids are put together at once
 
 _CUT = re.compile(r" (?=\S)")
@@ -220,10 +221,9 @@ class PieceTokenizer:
         return np.concatenate(parts)
 
 
-@functools.lru_cache(maxsize=2)
 def tokenizer(path: str) -> PieceTokenizer:
-    """The tokenizer of a file, once per Python process."""
-    return PieceTokenizer(path)
+    """The tokenizer of a file; a Python process keeps it, and so its table of pieces, between tasks."""
+    return last_used(("tokenizer", path), lambda: PieceTokenizer(path))
 
 
 def by_size(texts: pa.Array, most: int = BATCH_CHARS) -> Iterator[tuple[int, pa.Array]]:

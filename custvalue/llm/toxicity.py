@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from custvalue.llm.kept import last_used, releasing
 from custvalue.llm.labelled import sample_per_class
 
 KNOWN_WORDS = 150_000
@@ -428,7 +429,7 @@ def score_documents(
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "score"])
 
     texts = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    return texts.mapInArrow(rows, "doc_id long, score double")
+    return texts.mapInArrow(releasing(rows), "doc_id long, score double")
 
 
 def drop_toxic(
@@ -447,22 +448,16 @@ def drop_toxic(
         for batch in batches:
             yield batch.filter(pa.array([s < threshold for s in score(batch.column(place))], pa.bool_()))
 
-    return df.mapInArrow(rows, df.schema)
-
-
-_SCORERS: dict[int, Scorer] = {}  # in a Python process of an executor: the last model's
+    return df.mapInArrow(releasing(rows), df.schema)
 
 
 def _scoring(spark, model: Model):
-    """A function of a column of texts for tasks; a Python process keeps the scorer, and so its table of words, between batches."""
+    """A function of a column of texts for tasks; a Python process keeps the scorer, and so its table of words, between batches and tasks."""
     shared = spark.sparkContext.broadcast((model.weights, model.offset, model.settings))
     name = zlib.crc32(model.weights.tobytes() + repr((model.offset, model.settings)).encode())
 
     def score(texts: pa.Array) -> list[float]:
-        if name not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[name] = Scorer(*shared.value)
-        scorer, out = _SCORERS[name], []
+        scorer, out = last_used(("toxicity", name), lambda: Scorer(*shared.value)), []
         for first in range(0, len(texts), 200):
             out += scorer.scores([t.as_py() for t in texts.slice(first, 200)])
         return out
