@@ -100,7 +100,8 @@ class Pool:
         sizes = self.sizes[: self.used]
         there = sizes[:, 0] > 0
         if fitting:
-            there &= (sizes <= left).all(axis=1)
+            for column, room in enumerate(left):
+                there &= sizes[:, column] <= room
         rows = np.flatnonzero(there)
         if not len(rows):
             return None

@@ -12,6 +12,8 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,19 @@ from custvalue.llm.kept import last_used
 KNOWN_PIECES = 300_000  # pieces kept in the table; about 200 bytes each
 LONGEST_KNOWN = 64  # longer pieces are encoded each time
 BATCH_CHARS = 3_000_000  # text encoded at once
+LEARNT_WORDS = 1 << 13  # new words whose tokens are held at once
 JOINED_PIECES = 1 << 17  # pieces whose ids are put together at once
 
 _CUT = re.compile(r" (?=\S)")
 _RUN = re.compile(r"\s\s")
 _SIGNS = frozenset(".,;:!?")
 _WORD = re.compile(r" ?[^\W\d_]+")
+_TOKEN_ID = attrgetter("id")
+
+
+def _is_word(piece: str) -> bool:
+    """Whether a piece is letters alone, perhaps after a space."""
+    return (piece[1:] if piece[0] == " " else piece).isalpha()
 
 
 def pieces(text: str) -> list[str]:
@@ -70,6 +79,7 @@ class PieceTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.codes = np.array([ord(self.letters[b]) for b in range(256)], "<u2")
         self.known: dict[str, int] = {"": 0}
         self.flat, self.starts = array("I"), array("q", [0, 0])
         self.uses = np.zeros(0, np.int64)  # occurrences of the pieces, by number
@@ -131,29 +141,61 @@ class PieceTokenizer:
         return at
 
     def _learn(self, new: Iterable[str]) -> None:
-        """Add new pieces: words first, all together, then words with a sign behind them, then the rest."""
-        words, signed, rest = [], [], []
+        """Add new pieces: words first, all together, then the others, whose ids are put together from those of their parts."""
+        words, others, parts, counts, whole = [], [], [], [], set()
         for piece in new:
             body = piece[1:] if piece[0] == " " else piece
             if body.isalpha():
                 words.append(piece)
-            elif body[:-1].isalpha() and body[-1:] in _SIGNS:
-                signed.append(piece)
+                continue
+            if body[:-1].isalpha():  # a word and what follows it
+                others.append(piece)
+                parts += piece[:-1], piece[-1]
+                counts.append(2)
+                continue
+            own = []
+            for line in piece.split("\n") if "\n" in piece and not _RUN.search(piece) else [piece]:
+                word = _WORD.match(line)
+                if word and _is_word(word[0]):
+                    own.append(word[0])
+                    line = line[word.end() :]
+                if line:
+                    own.append(line)
+                own.append("\n")
+            own.pop()
+            if own == [piece] or own == ["\n"]:
+                whole.add(piece)
             else:
-                rest.append(piece)
-        words += {p[:-1] for p in signed}.difference(self.known, words)
-        known, flat, starts, tokenize = self.known, self.flat, self.starts, self.model.tokenize
-        spelt = "\n".join(words).encode().decode("latin-1").translate(self.letters).split(self.letters[10]) if words else []
-        known.update(zip(words, range(len(starts) - 1, len(starts) - 1 + len(words))))
-        for word in spelt:
-            flat.extend([t.id for t in tokenize(word)])
-            starts.append(len(flat))
-        signs = {sign: self._piece(sign) for sign in _SIGNS}
-        for piece in signed:
-            at = known[piece[:-1]]
-            self._add(piece, flat[starts[at] : starts[at + 1]] + signs[piece[-1]])
-        for piece in rest:
+                others.append(piece)
+                parts += own
+                counts.append(len(own))
+        known = self.known
+        unknown = set(parts).difference(known)
+        between = {p for p in unknown if not _is_word(p)}
+        words += unknown.difference(between, words)
+        for first in range(0, len(words), LEARNT_WORDS):
+            some = words[first : first + LEARNT_WORDS]
+            tokens = list(map(self.model.tokenize, self._spelt(some)))
+            sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+            self._add_all(some, sizes, array("I", map(_TOKEN_ID, chain.from_iterable(tokens))))
+        for piece in between | whole:
             self._number(piece)
+        if others:
+            numbers = np.fromiter(map(known.__getitem__, parts), np.int64, len(parts))
+            firsts = np.cumsum(counts) - counts
+            self._add_all(others, np.add.reduceat(self._sizes(numbers), firsts), self._joined(numbers))
+
+    def _spelt(self, words: list[str]) -> list[str]:
+        """Words without line feeds, each of their bytes as the letter that stands for it."""
+        letters = self.codes[np.frombuffer("\n".join(words).encode(), np.uint8)]
+        return letters.tobytes().decode("utf-16-le").split(self.letters[10])
+
+    def _add_all(self, new: list[str], sizes: np.ndarray, ids: array | np.ndarray) -> None:
+        """Add new pieces, with the number of ids of each and these ids one after the other."""
+        first = len(self.starts) - 1
+        self.known.update(zip(new, range(first, first + len(new))))
+        self.starts.frombytes((len(self.flat) + np.cumsum(sizes)).astype(np.int64).tobytes())
+        self.flat.frombytes(ids.tobytes())
 
     def ids(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         """Ids of each text; a null text has none.
@@ -169,26 +211,31 @@ class PieceTokenizer:
             return []
         cut = pc.split_pattern(pc.fill_null(column, ""), " ")
         coded = cut.flatten().dictionary_encode()
-        words, place = coded.dictionary.to_numpy(zero_copy_only=False), coded.indices.to_numpy()
+        words, place = coded.dictionary, coded.indices.to_numpy()
         sizes = cut.value_lengths().to_numpy()
         ends = np.cumsum(sizes)
         first = ends - sizes
         later = np.ones(len(place), bool)
         later[first] = False
         used = np.bincount(place[later], minlength=len(words)) > 0
-        odd = np.array([not w or w[:1].isspace() for w in words.tolist()])
+        signs = pc.utf8_slice_codeunits(words, 0, 1).dictionary_encode()
+        odd = np.array([not x or x.isspace() for x in signs.dictionary.to_pylist()], bool)[signs.indices.to_numpy()]
         pieces_of = {i: pieces(column[i].as_py()) for i in np.unique(np.searchsorted(ends, np.flatnonzero(later & odd[place]), "right"))}
         plain = np.flatnonzero(used & ~odd)
-        spaced, starting = [" " + w for w in words[plain].tolist()], words[place[first]].tolist()
-        new = [p for p, at in zip(spaced, map(self.known.get, spaced)) if at is None]
-        new += set(starting).union(*pieces_of.values()).difference(self.known, new)
+        spaced = pc.binary_join_element_wise(" ", words.take(pa.array(plain)), "").to_numpy(zero_copy_only=False).tolist()
+        starting = words.take(pa.array(place[first])).to_pylist()
+        own = np.fromiter(map(self.known.get, spaced, repeat(-1)), np.int64, len(spaced))
+        missing = np.flatnonzero(own < 0)
+        unknown = [spaced[i] for i in missing.tolist()]
+        new = unknown + list(set(starting).union(*pieces_of.values()).difference(self.known, unknown))
         self._learn([p for p in new if len(p) <= LONGEST_KNOWN])
         long = {p: self._piece(p) for p in new if len(p) > LONGEST_KNOWN}  # may add parts of them
         kept = len(self.starts), len(self.flat)
         for piece, ids in long.items():
             self._add(piece, ids)
+        own[missing] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(unknown))
         numbers = np.zeros(len(words), np.int64)
-        numbers[plain] = np.fromiter(map(self.known.__getitem__, spaced), np.int64, len(spaced))
+        numbers[plain] = own
         number = numbers[place]
         number[first] = [self.known[w] for w in starting]
         found = self._joined(number)

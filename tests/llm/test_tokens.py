@@ -171,3 +171,24 @@ def test_ids_are_joined_in_little_memory():
     tracemalloc.stop()
     parts = [model.flat[model.starts[i] : model.starts[i + 1]] for i in numbers.tolist()]
     assert found.tolist() == [i for part in parts for i in part] and peak < 20 * len(found)
+
+
+def test_new_pieces_are_put_together_from_their_words(library, monkeypatch):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdeé", k=8))
+    texts = [" ".join(f"{word()}{rng.choice(['.', '&&&', f'.\n{word()}', f'-{word()}'])}" for _ in range(200)) for _ in range(10)]
+    split, calls = PieceTokenizer._split, []
+    monkeypatch.setattr(PieceTokenizer, "_split", lambda self, piece: calls.append(piece) or split(self, piece))
+    got = PieceTokenizer(PATH).ids(texts)
+    assert [x.tolist() for x in got] == [ids_of(library, t, 0)[:-1] for t in texts]
+    assert len(calls) < 1000  # one for each of 2,000 pieces, and more, when each was encoded by itself
+
+
+def test_ids_stay_right_while_the_table_shrinks(library, monkeypatch):
+    monkeypatch.setattr("custvalue.llm.tokens.KNOWN_PIECES", 50)
+    rng = random.Random(8)
+    model = PieceTokenizer(PATH)
+    for _ in range(40):
+        texts = ["".join(rng.choices([*SIGNS, " one", " two.", " three\nFour", "5th", "½", "x½,"], k=30)) for _ in range(10)]
+        assert [x.tolist() for x in model.ids(texts)] == [ids_of(library, t, 0)[:-1] for t in texts]
+        assert list(model.known.values()) == list(range(len(model.starts) - 1))
