@@ -23,6 +23,11 @@ def last_used(name: Hashable, make: Callable[[], object]):
     return _LAST[name]
 
 
+def forget() -> None:
+    """Let go of the model that this process keeps."""
+    _LAST.clear()
+
+
 def releasing(rows: Rows) -> Rows:
     """``rows`` for ``mapInArrow``; after its last batch the memory that Arrow no longer needs goes back to the system."""
 

@@ -25,11 +25,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from custvalue.llm.tokenfile import new_folder
+from custvalue.llm.kept import forget, last_used, releasing
+from custvalue.llm.tokenfile import filesystem, new_folder
 from custvalue.llm.tokens import by_size
 
 SPACE = "▁"
@@ -114,6 +117,7 @@ def _distinct_segments(docs: DataFrame, lines: bool) -> DataFrame:
     """``raw``: the distinct segments of the column ``text``; each task sends those of a run of texts once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # the table of a former call
         for batch in batches:
             for _, run in by_size(batch.column("text"), CUT_BYTES):
                 yield pa.RecordBatch.from_arrays([raw_segments(run, lines).flatten().unique()], ["raw"])
@@ -367,22 +371,29 @@ def decode(df: DataFrame, vocab: Vocabulary, key_cols: list[str], ids_col: str =
     return df.select(*key_cols, F.make_valid_utf8(F.unhex(F.coalesce(code, F.lit(""))).cast("string")).alias("decoded"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` written beside the checkpoints and read back: a fraction of a checkpoint's size for short words and ids."""
+def _saved(df: DataFrame) -> str:
+    """The folder beside the checkpoints that ``df`` is written to."""
     folder = new_folder(df.sparkSession, "segments")
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return folder
 
 
-def _packed_table(words: DataFrame, id_type: str) -> list[np.ndarray]:
-    """Hashes of all words in order, their numbers of ids, the ids, and the hashes of words that do not decode back.
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` written beside the checkpoints and read back: a fraction of a checkpoint's size for short words and ids."""
+    return df.sparkSession.read.schema(df.schema).parquet(_saved(df))
 
-    Sorted and packed in the tasks. A number of ids takes one byte, and 255 with
-    the number in the last array, in the same order, where it does not fit.
+
+def _packed_table(words: DataFrame, id_type: str) -> str:
+    """A folder of the hashes of all words in order, their numbers of ids, the ids, and the hashes of words that do not decode back.
+
+    Sorted, packed and written in the tasks, for ``_read_table``; nothing of it
+    comes to the driver. A number of ids takes one byte, and 255 with the number
+    in the last column, in the same order, where it does not fit.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        part = TaskContext.get().partitionId()
+        for n, batch in enumerate(batches):
             ids, hashes = batch.column("ids"), batch.column("h").to_numpy()
             sizes = np.diff(ids.offsets.to_numpy())
             same = batch.column("same").to_numpy(zero_copy_only=False).astype(bool)
@@ -393,31 +404,44 @@ def _packed_table(words: DataFrame, id_type: str) -> list[np.ndarray]:
                 hashes[~same],
                 sizes[sizes >= 255].astype("<u4"),
             )
-            yield pa.RecordBatch.from_pydict({f"c{i}": [x.tobytes()] for i, x in enumerate(arrays)})
+            yield pa.RecordBatch.from_pydict({"part": [part], "n": [n]} | {f"c{i}": [x.tobytes()] for i, x in enumerate(arrays)})
 
     hashed = words.select(F.xxhash64("raw").alias("h"), "ids", "same").repartitionByRange("h").sortWithinPartitions("h")
-    packed = hashed.mapInArrow(rows, ", ".join(f"c{i} binary" for i in range(5))).toArrow()
-    kinds = ("<i8", "u1", id_type, "<i8", "<u4")
-    return [
-        np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_buffer(), kind) for x in column)])
-        for kind, column in zip(kinds, packed.columns)
-    ]
+    return _saved(hashed.mapInArrow(rows, "part long, n long, " + ", ".join(f"c{i} binary" for i in range(5))))
+
+
+def _read_table(folder: str, id_type: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a folder of ``_packed_table``: hashes, where the ids of each begin, and the end, the ids, and the hashes that fail.
+
+    One column at a time is read beside its array.
+    """
+    system, base = filesystem(folder)
+    column = lambda name: pq.read_table(base, columns=[name], filesystem=system, use_threads=False).column(0)
+    order = np.lexsort((column("n").to_numpy(), column("part").to_numpy())).tolist()
+
+    def joined(name: str, kind: str) -> np.ndarray:
+        values = column(name)
+        return np.concatenate([np.empty(0, kind), *(np.frombuffer(values[i].as_buffer(), kind) for i in order)])
+
+    known, flat, wrong = joined("c0", "<i8"), joined("c2", id_type), joined("c3", "<i8")
+    counts = joined("c1", "u1")
+    sizes = counts.astype(np.int32)
+    sizes[counts == 255] = joined("c4", "<u4")
+    starts = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
+    pa.default_memory_pool().release_unused()
+    return known, starts, flat, wrong
 
 
-def _by_broadcast(docs: DataFrame, words: DataFrame, id_type: str, lines: bool, digested: bool) -> DataFrame:
-    """Ids of the documents, or their digest in the same task, by a sorted table of the words' hashes, which every task holds.
+def _by_table(docs: DataFrame, words: DataFrame, id_type: str, lines: bool, digested: bool) -> DataFrame:
+    """Ids of the documents, or their digest in the same task, by a sorted table of the words' hashes, read once by every process.
 
     Texts are taken in runs; each distinct segment of a run is looked up once, in
     the order of the hashes, and the run's ids are put together from those found.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_packed_table(words, id_type))
+    folder = _packed_table(words, id_type)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts, flat, wrong_words, many = shared.value
-        sizes = counts.astype(np.int32)
-        sizes[counts == 255] = many
-        starts = np.concatenate([np.zeros(1, np.int32), np.cumsum(sizes, dtype=np.int32)])
-        del sizes
+        known, starts, flat, wrong_words = last_used(("segments", folder), lambda: _read_table(folder, id_type))
         for batch in batches:
             for start, run in by_size(batch.column("text"), JOIN_BYTES):
                 lists = raw_segments(run, lines)
@@ -445,8 +469,8 @@ def _by_broadcast(docs: DataFrame, words: DataFrame, id_type: str, lines: bool,
                 )
 
     if digested:
-        return docs.mapInArrow(lambda batches: _digests(rows(batches)), _DIGEST)
-    return docs.mapInArrow(rows, "doc_id long, ids array<int>, round_trip boolean")
+        return docs.mapInArrow(releasing(lambda batches: _digests(rows(batches))), _DIGEST)
+    return docs.mapInArrow(releasing(rows), "doc_id long, ids array<int>, round_trip boolean")
 
 
 def _ranges(firsts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -482,8 +506,8 @@ def encode(
     Null and empty texts have no ids. A text that holds the space sign itself
     decodes to a space there, so its round trip fails. Rows with a null or
     repeated id are kept, an empty table gives no rows, and other columns,
-    whatever their names, are not read. The table of distinct segments is sent
-    to the tasks if it has at most ``broadcast_bytes``, and joined otherwise.
+    whatever their names, are not read. The table of distinct segments is read
+    whole by every Python process if it has at most ``broadcast_bytes``, and joined otherwise.
     """
     docs = df.select(
         df[id_col].cast("long").alias("doc_id"),
@@ -501,7 +525,7 @@ def encode(
     ).first()
     width = 2 if max((i for _, i, _ in vocab.pieces), default=0) < 1 << 16 else 4
     if size["n"] == size["hashes"] and 9 * size["n"] + width * (size["ids"] or 0) <= broadcast_bytes:
-        return _by_broadcast(docs, words, f"<u{width}", lines, digested)
+        return _by_table(docs, words, f"<u{width}", lines, digested)
     joined = _by_join(docs, words, lines)
     return digest(joined) if digested else joined
 

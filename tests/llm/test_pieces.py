@@ -128,3 +128,14 @@ def test_texts_meet_their_table_by_one_number(spark, vocab):
     plan = P.lattices(spark.createDataFrame([("▁word",)], "word string"), vocab)._jdf.queryExecution().executedPlan().toString()
     joins = [x for x in plan.splitlines() if "BroadcastHashJoin" in x]
     assert len(joins) == 2 and all(re.search(r"BroadcastHashJoin \[xxhash64\([^\]]*\)\], \[_key#\d+L\]", x) for x in joins)
+
+
+def test_the_table_of_words_stays_out_of_the_driver(spark, vocab, monkeypatch):
+    def refused(*_):
+        raise AssertionError("the table is neither collected nor sent by the driver")
+
+    df = spark.createDataFrame([(1, "some words"), (2, "of some\ntexts"), (3, None)], "doc_id long, text string")
+    monkeypatch.setattr(type(df), "toArrow", refused)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    got = {r["doc_id"]: r["round_trip"] for r in P.encode(df, vocab).collect()}
+    assert got == {1: True, 2: True, 3: True}
