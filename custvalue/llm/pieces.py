@@ -25,6 +25,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,7 @@ from xxhash import xxh64_intdigest
 from custvalue.llm.kept import forget, last_used, releasing
 from custvalue.llm.tokenfile import filesystem, new_folder
 from custvalue.llm.tokens import by_size
+from custvalue.session import drop_folder, free_disk
 
 SPACE = "▁"
 # Layout of an edge in 63 bits, from the lowest: id, length, start, rank.
@@ -42,6 +44,8 @@ _NONE = (1 << 17) - 1  # id and rank of a character that is no piece
 _PREFIX, _SHORT = 3, 0b110  # characters that choose the lengths to try; the lengths below, as bits
 WORDS_PER_TASK = 20_000
 CUT_BYTES, JOIN_BYTES = 8_000_000, 1_500_000  # text cut at once; text whose ids are put together at once
+SENT_BYTES, SENT_ROWS = 16_000_000, 100_000  # distinct segments a task holds before it sends them; rows it sends at once
+HELD_BYTES = 64_000_000  # positions in tables of hashes that a task holds while it reads a large table of words
 _MASKED = 62  # segments of at most so many characters are folded as bits of a long
 
 
@@ -114,18 +118,30 @@ def _bare(segments: list[str]) -> list[str]:
 
 
 def _distinct_segments(docs: DataFrame, lines: bool) -> DataFrame:
-    """``raw``: the distinct segments of the column ``text``; each task sends those of a run of texts once."""
+    """``raw``: the distinct segments of the column ``text``; each task sends those of as many texts as it can hold once."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()  # the table of a former call
+        held: list[pa.Array] = []
         for batch in batches:
             for _, run in by_size(batch.column("text"), CUT_BYTES):
-                yield pa.RecordBatch.from_arrays([raw_segments(run, lines).flatten().unique()], ["raw"])
+                held.append(raw_segments(run, lines).flatten().unique())
+                if sum(x.nbytes for x in held) > SENT_BYTES:
+                    held = [pa.chunked_array(held).unique()]
+                    if held[0].nbytes > SENT_BYTES // 2:
+                        yield from _sent(held.pop())
+        if held:
+            yield from _sent(pa.chunked_array(held).unique())
         pa.default_memory_pool().release_unused()  # the process stays for later stages
 
     return docs.select("text").mapInArrow(rows, "raw string").repartition("raw").distinct()
 
 
+def _sent(raw: pa.Array) -> Iterator[pa.RecordBatch]:
+    for start in range(0, len(raw), SENT_ROWS):
+        yield pa.RecordBatch.from_arrays([raw.slice(start, SENT_ROWS)], ["raw"])
+
+
 def _segmented(docs: DataFrame, lines: bool) -> DataFrame:
     """``docs`` with ``segments`` instead of ``text``."""
 
@@ -378,16 +394,17 @@ def _saved(df: DataFrame) -> str:
     return folder
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` written beside the checkpoints and read back: a fraction of a checkpoint's size for short words and ids."""
-    return df.sparkSession.read.schema(df.schema).parquet(_saved(df))
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written beside the checkpoints and read back, and its folder: a fraction of a checkpoint's size for short words and ids."""
+    folder = _saved(df)
+    return df.sparkSession.read.schema(df.schema).parquet(folder), folder
 
 
 def _packed_table(words: DataFrame, id_type: str) -> str:
     """A folder of the hashes of all words in order, their numbers of ids, the ids, and the hashes of words that do not decode back.
 
-    Sorted, packed and written in the tasks, for ``_read_table``; nothing of it
-    comes to the driver. A number of ids takes one byte, and 255 with the number
+    Sorted, packed and written in the tasks, for ``_read_table`` and
+    ``_read_entries``; nothing of it comes to the driver. A number of ids takes one byte, and 255 with the number
     in the last column, in the same order, where it does not fit.
     """
 
@@ -432,41 +449,132 @@ def _read_table(folder: str, id_type: str) -> tuple[np.ndarray, np.ndarray, np.n
     return known, starts, flat, wrong
 
 
-def _by_table(docs: DataFrame, words: DataFrame, id_type: str, lines: bool, digested: bool) -> DataFrame:
-    """Ids of the documents, or their digest in the same task, by a sorted table of the words' hashes, read once by every process.
+def _read_entries(folder: str, id_type: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``_read_table``, of the wanted hashes alone, which are distinct and in order.
+
+    The table is read through in pieces, of which only what is wanted is kept, so it may have any size.
+    """
+    system, base = filesystem(folder)
+    empty = (np.empty(0, "<i8"), np.empty(0, np.int64), np.empty(0, id_type), np.empty(0, "<i8"))
+    found = [empty]
+    for info in system.get_file_info(pafs.FileSelector(base)):
+        if not info.path.endswith(".parquet"):
+            continue
+        with system.open_input_file(info.path) as stream:
+            for batch in pq.ParquetFile(stream).iter_batches(batch_size=64, use_threads=False):
+                found += [_entries(*line, id_type, wanted) for line in zip(*(batch.column(f"c{i}") for i in range(5)))]
+    known, sizes, flat, wrong = (np.concatenate(x) for x in zip(*found))
+    del found
+    if len(known) != len(wanted):
+        raise RuntimeError("the texts were not the same when they were read again")
+    order = np.argsort(known)
+    starts = np.cumsum(sizes) - sizes
+    places, bounds = _ranges(starts[order], sizes[order])
+    pa.default_memory_pool().release_unused()
+    return known[order], bounds, flat[places], wrong
+
+
+def _entries(
+    hashes: pa.Scalar, counts: pa.Scalar, ids: pa.Scalar, wrong: pa.Scalar, large: pa.Scalar, id_type: str, wanted: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a line of ``_packed_table``: the wanted hashes, their numbers of ids, the ids, and the hashes among them that fail."""
+    known, counts, flat, wrong, large = (
+        np.frombuffer(x.as_buffer(), kind) for x, kind in zip((hashes, counts, ids, wrong, large), ("<i8", "u1", id_type, "<i8", "<u4"))
+    )
+    sizes = counts.astype(np.int64)
+    sizes[counts == 255] = large
+    own = wanted[slice(*np.searchsorted(wanted, known[[0, -1]]) + [0, 1])] if len(known) else known
+    at = np.searchsorted(known, own)
+    at = at[known[np.minimum(at, len(known) - 1)] == own] if len(known) else at
+    places, _ = _ranges((np.cumsum(sizes) - sizes)[at], sizes[at])
+    return known[at], sizes[at], flat[places], wrong[np.isin(wrong, known[at])]
+
+
+@dataclass(frozen=True)
+class _Coded:
+    """Some texts as the hashes of their distinct segments, in any order, and the place of every segment among these.
+
+    ``cuts`` parts the places by text.
+    """
+
+    doc_id: pa.Array
+    plain: np.ndarray
+    hashes: np.ndarray
+    places: np.ndarray
+    cuts: np.ndarray
+
+    @property
+    def nbytes(self) -> int:
+        return self.hashes.nbytes + self.places.nbytes + self.cuts.nbytes
+
+
+def _coded(batches: Iterator[pa.RecordBatch], lines: bool) -> Iterator[_Coded]:
+    for batch in batches:
+        for start, run in by_size(batch.column("text"), JOIN_BYTES):
+            lists = raw_segments(run, lines)
+            coded = lists.flatten().dictionary_encode()
+            hashes = [xxh64_intdigest(w, 42) for w in coded.dictionary.cast(pa.binary()).to_pylist()]
+            rest = batch.slice(start, len(run))
+            yield _Coded(
+                rest.column("doc_id").take(pa.array(np.arange(len(run)))),  # a copy, which does not hold the batch
+                rest.column("plain").to_numpy(zero_copy_only=False),
+                np.array(hashes, np.uint64).view(np.int64),
+                coded.indices.to_numpy(),
+                lists.offsets.to_numpy() - lists.offsets[0].as_py(),
+            )
+
+
+def _gathered(texts: Iterator[_Coded], most: int) -> Iterator[list[_Coded]]:
+    """Runs of texts of about so many bytes."""
+    held, size = [], 0
+    for some in texts:
+        held.append(some)
+        size += some.nbytes
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _looked_up(
+    some: _Coded, known: np.ndarray, starts: np.ndarray, flat: np.ndarray, wrong_words: np.ndarray
+) -> pa.RecordBatch:
+    """Ids of the texts; each distinct segment is looked up once, in the order of the hashes."""
+    order = np.argsort(some.hashes)
+    at = np.empty(len(order), np.int64)
+    at[order] = np.searchsorted(known, some.hashes[order])
+    own, own_starts = _ranges(starts[at].astype(np.int64), starts[at + 1] - starts[at])
+    own = flat[own]
+    ids, bounds = _ranges(own_starts[some.places], own_starts[some.places + 1] - own_starts[some.places])
+    failed = np.isin(known[at], wrong_words)[some.places] if len(wrong_words) else np.zeros(len(some.places), bool)
+    wrong = np.concatenate([[0], np.cumsum(failed)])[some.cuts]
+    return pa.RecordBatch.from_arrays(
+        [
+            some.doc_id,
+            pa.ListArray.from_arrays(pa.array(bounds[some.cuts], pa.int32()), pa.array(own[ids].astype(np.int32))),
+            pa.array((np.diff(wrong) == 0) & some.plain),
+        ],
+        ["doc_id", "ids", "round_trip"],
+    )
+
 
-    Texts are taken in runs; each distinct segment of a run is looked up once, in
-    the order of the hashes, and the run's ids are put together from those found.
+def _by_table(docs: DataFrame, folder: str, id_type: str, lines: bool, digested: bool, whole: bool) -> DataFrame:
+    """Ids of the documents, or their digest in the same task, by a sorted table of the words' hashes.
+
+    A table that is read ``whole`` is held by every process. Of another, a task
+    reads through for as many texts at once as it can hold, and keeps the
+    entries of these: neither the texts nor the table is shuffled or joined.
     """
-    folder = _packed_table(words, id_type)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, starts, flat, wrong_words = last_used(("segments", folder), lambda: _read_table(folder, id_type))
-        for batch in batches:
-            for start, run in by_size(batch.column("text"), JOIN_BYTES):
-                lists = raw_segments(run, lines)
-                coded = lists.flatten().dictionary_encode()
-                hashes = [xxh64_intdigest(w, 42) for w in coded.dictionary.cast(pa.binary()).to_pylist()]
-                hashes = np.array(hashes, np.uint64).view(np.int64)
-                order = np.argsort(hashes)
-                at = np.empty(len(order), np.int64)
-                at[order] = np.searchsorted(known, hashes[order])
-                own, own_starts = _ranges(starts[at].astype(np.int64), starts[at + 1] - starts[at])
-                own = flat[own]
-                place = coded.indices.to_numpy()
-                ids, bounds = _ranges(own_starts[place], own_starts[place + 1] - own_starts[place])
-                cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-                failed = np.isin(known[at], wrong_words)[place] if len(wrong_words) else np.zeros(len(place), bool)
-                wrong = np.concatenate([[0], np.cumsum(failed)])[cuts]
-                rest = batch.slice(start, len(run))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        rest.column("doc_id"),
-                        pa.ListArray.from_arrays(pa.array(bounds[cuts], pa.int32()), pa.array(own[ids].astype(np.int32))),
-                        pa.array((np.diff(wrong) == 0) & rest.column("plain").to_numpy(zero_copy_only=False)),
-                    ],
-                    ["doc_id", "ids", "round_trip"],
-                )
+        for run in _gathered(_coded(batches, lines), 0 if whole else HELD_BYTES):
+            if whole:
+                table = last_used(("segments", folder), lambda: _read_table(folder, id_type))
+            else:
+                table = _read_entries(folder, id_type, np.unique(np.concatenate([some.hashes for some in run])))
+            for some in run:
+                yield _looked_up(some, *table)
 
     if digested:
         return docs.mapInArrow(releasing(lambda batches: _digests(rows(batches))), _DIGEST)
@@ -480,7 +588,7 @@ def _ranges(firsts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _by_join(docs: DataFrame, words: DataFrame, lines: bool) -> DataFrame:
-    """Ids of the documents by a join of every segment, whatever the size of the words' table."""
+    """Ids of the documents by a join of every segment, where hashes do not tell the segments apart."""
     rows = _segmented(docs, lines).withColumn("_row", F.monotonically_increasing_id())
     parts = rows.select("_row", "doc_id", "plain", F.posexplode_outer("segments").alias("at", "raw"))
     joined = parts.join(words, "raw", "left")
@@ -506,28 +614,37 @@ def encode(
     Null and empty texts have no ids. A text that holds the space sign itself
     decodes to a space there, so its round trip fails. Rows with a null or
     repeated id are kept, an empty table gives no rows, and other columns,
-    whatever their names, are not read. The table of distinct segments is read
-    whole by every Python process if it has at most ``broadcast_bytes``, and joined otherwise.
+    whatever their names, are not read. The table of distinct segments is held
+    by every Python process if it has at most ``broadcast_bytes``, and read through by tasks otherwise.
     """
     docs = df.select(
         df[id_col].cast("long").alias("doc_id"),
         F.make_valid_utf8(df[text_col]).alias("text"),
         F.coalesce(~F.contains(df[text_col], F.lit(SPACE)), F.lit(True)).alias("plain"),
     )
-    lines = cut_lines(vocab)
-    raw = _distinct_segments(docs, lines).select(with_space(F.col("raw")).alias("word"))
-    back = decode(encode_words(_written(raw), vocab), vocab, ["word", "ids"])
+    spark, lines = df.sparkSession, cut_lines(vocab)
+    found = _distinct_segments(docs, lines).select(with_space(F.col("raw")).alias("word"))
+    raw, raw_folder = _written(found)
+    back = decode(encode_words(raw, vocab), vocab, ["word", "ids"])
     bare = F.when(F.startswith("word", F.lit(SPACE)), F.substring("word", 2, 1 << 30)).otherwise(F.col("word"))
     same = F.col("decoded") == F.translate("word", SPACE, " ")
-    words = _written(back.select(bare.alias("raw"), "ids", same.alias("same")))
+    words, words_folder = _written(back.select(bare.alias("raw"), "ids", same.alias("same")))
+    drop_folder(spark, raw_folder)
+    del found, raw, back
+    free_disk(spark)
     size = words.agg(
         F.count("*").alias("n"), F.count_distinct(F.xxhash64("raw")).alias("hashes"), F.sum(F.size("ids")).alias("ids")
     ).first()
+    if size["n"] != size["hashes"]:
+        joined = _by_join(docs, words, lines)
+        return digest(joined) if digested else joined
     width = 2 if max((i for _, i, _ in vocab.pieces), default=0) < 1 << 16 else 4
-    if size["n"] == size["hashes"] and 9 * size["n"] + width * (size["ids"] or 0) <= broadcast_bytes:
-        return _by_table(docs, words, f"<u{width}", lines, digested)
-    joined = _by_join(docs, words, lines)
-    return digest(joined) if digested else joined
+    folder = _packed_table(words, f"<u{width}")
+    drop_folder(spark, words_folder)
+    del words
+    free_disk(spark)
+    whole = 9 * size["n"] + width * (size["ids"] or 0) <= broadcast_bytes
+    return _by_table(docs, folder, f"<u{width}", lines, digested, whole)
 
 
 _DIGEST = "doc_id long, n_tokens long, ids_crc32 long, round_trip boolean"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,6 +39,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a private folder that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def free_disk(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files and checkpoints that nothing refers to.
+
+    It does so when the driver collects its garbage, which a driver with memory
+    to spare puts off for half an hour.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def slices(spark: SparkSession) -> int:
     """Number of range partitions used for globally ordered work."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -4,10 +4,12 @@ import itertools
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+from xxhash import xxh64_intdigest
 
 from custvalue.llm import pieces as P
 
@@ -139,3 +141,42 @@ def test_the_table_of_words_stays_out_of_the_driver(spark, vocab, monkeypatch):
     monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
     got = {r["doc_id"]: r["round_trip"] for r in P.encode(df, vocab).collect()}
     assert got == {1: True, 2: True, 3: True}
+
+
+def test_a_large_table_of_words_is_neither_joined_nor_shuffled_with_the_texts(spark, vocab, rows):
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], SCHEMA)
+    plan = P.encode(df, vocab, broadcast_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and not re.search("Exchange|Join", plan)
+
+
+def test_entries_are_read_out_of_a_large_table(spark):
+    ids = {f"w{i}": list(range(i % 5)) for i in range(300)} | {"long": list(range(700)), "longer": list(range(1000))}
+    words = spark.createDataFrame([(w, x, w[-1] != "7") for w, x in ids.items()], "raw string, ids array<int>, same boolean")
+    folder = P._packed_table(words, "<u2")
+    hashes = {w: xxh64_intdigest(w, 42) - (1 << 64) * (xxh64_intdigest(w, 42) >> 63) for w in ids}
+    some = ["w3", "longer", "w7", "w8", "long", "w299", "w0"]
+    wanted = np.array(sorted(hashes[w] for w in some), np.int64)
+    known, starts, flat, wrong = P._read_entries(folder, "<u2", wanted)
+    got = {h: flat[a:b].tolist() for h, a, b in zip(known.tolist(), starts, starts[1:])}
+    assert got == {hashes[w]: ids[w] for w in some} and wrong.tolist() == [hashes["w7"]]
+    assert [len(x) for x in P._read_entries(folder, "<u2", wanted[:0])] == [0, 1, 0, 0]
+    with pytest.raises(RuntimeError):
+        P._read_entries(folder, "<u2", np.array([1], np.int64))
+
+
+def test_texts_are_gathered_until_they_fill_a_run():
+    texts = [f"word{i} of a text" for i in range(50)]
+    batches = lambda: iter([pa.RecordBatch.from_pydict({"doc_id": [i], "plain": [True], "text": [t]}) for i, t in enumerate(texts)])
+    one = next(P._coded(batches(), True)).nbytes
+    runs = list(P._gathered(P._coded(batches(), True), 7 * one))
+    assert [len(r) for r in runs] == [7] * 7 + [1]
+    assert [d for r in runs for x in r for d in x.doc_id.to_pylist()] == list(range(50))
+    assert [len(r) for r in P._gathered(P._coded(batches(), True), 0)] == [1] * 50
+
+
+def test_texts_are_joined_where_hashes_are_not_enough(spark):
+    words = spark.createDataFrame([("a", [1], True), ("b", [2, 3], False)], "raw string, ids array<int>, same boolean")
+    docs = spark.createDataFrame([(1, "a b a", True), (1, "a", True), (None, None, True), (2, "a", False)], "doc_id long, text string, plain boolean")
+    got = sorted(map(str, P._by_join(docs, words, True).collect()))
+    want = [(1, [1, 2, 3, 1], False), (1, [1], True), (None, [], True), (2, [1], False)]
+    assert got == sorted(f"Row(doc_id={d}, ids={i}, round_trip={r})" for d, i, r in want)
