@@ -1,13 +1,18 @@
+import contextlib
 import math
 import random
+import threading
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from custvalue import session
 from custvalue.config import BoostingParams, ForestParams, Settings
 from custvalue.operators import metrics, models, scoring, segments
 from custvalue.operators.segments import PREDICTION
+from custvalue.plans import queries
+from custvalue.session import freeing_disk
 
 QUICK = Settings(forest=ForestParams(trees=5, depth=4), boosting=BoostingParams(rounds=5, depth=3))
 COLUMNS = ["a", "b", "c"]
@@ -290,3 +295,44 @@ def test_fits_do_not_shuffle_once_a_partition(spark, data, monkeypatch):
     models.train_all_models(many, COLUMNS, "y", names=models.MODELS[1:], settings=QUICK)
     models.cross_validate("random_forest", many, COLUMNS, "y", folds=2, settings=QUICK)
     assert seen and max(seen) <= cores
+
+
+def test_disk_is_freed_while_work_goes_on(spark, monkeypatch):
+    freed = threading.Event()
+    monkeypatch.setattr(session, "free_disk", lambda _: freed.set())
+    monkeypatch.setattr(session, "_next_free", 0.0)
+    with freeing_disk(spark, every=0.05):
+        assert freed.wait(10)
+
+
+def test_fits_of_trees_free_the_disk_of_their_shuffles(data, monkeypatch):
+    entered = []
+
+    @contextlib.contextmanager
+    def spied(_):
+        entered.append(True)
+        yield
+
+    monkeypatch.setattr(models, "freeing_disk", spied)
+    models.train_model("linear_regression", data, COLUMNS, "y")
+    assert not entered
+    for name in models.MODELS[1:]:
+        models.train_model(name, data, COLUMNS, "y", settings=QUICK)
+    assert len(entered) == 2
+
+
+def test_lines_of_the_feature_table_are_there_only_while_it_is_made(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "ensure_checkpoint_dir", lambda _: str(tmp_path))
+    seen = []
+
+    def spied(lines):
+        seen.append((lines.schema, lines.count(), [p.name for p in tmp_path.iterdir()]))
+        return spark.range(3)
+
+    monkeypatch.setattr(queries, "build_features", spied)
+    cleaned = spark.sql("SELECT id, string(id) CustomerID, timestamp_ntz '1997-03-01 10:00:00' InvoiceDate, id / 2 UnitPrice FROM range(40)")
+    monkeypatch.setattr(queries, "lines", lambda *_: cleaned)
+    assert queries._feature_table(spark, "").count() == 3
+    (schema, count, folders), = seen
+    assert [(f.name, f.dataType) for f in schema] == [(f.name, f.dataType) for f in cleaned.schema]
+    assert count == cleaned.count() and len(folders) == 1 and not list(tmp_path.iterdir())
