@@ -60,6 +60,36 @@ def test_failing_model_is_left_out(data):
     assert list(got.models) == ["linear_regression"]
 
 
+def test_failing_models_are_named(data):
+    bad = Settings(forest=ForestParams(trees=0))
+    got = models.train_all_models(data, COLUMNS, "y", names=("linear_regression", "random_forest"), settings=bad)
+    assert list(got.failed) == ["random_forest"]
+    with pytest.raises(RuntimeError, match="random_forest"):
+        got.complete()
+    whole = models.train_all_models(data, COLUMNS, "y", names=("linear_regression",))
+    assert whole.complete() is whole
+
+
+def test_a_job_that_fails_ends_the_training(data):
+    broken = data.withColumn("b", F.when(F.col("CustomerID") == "7", F.raise_error(F.lit("lost"))).otherwise(F.col("b")))
+    with pytest.raises(Exception, match="lost"):
+        models.train_all_models(broken, COLUMNS, "y", names=("linear_regression",))
+    nulls = data.withColumn("b", F.when(F.col("CustomerID") != "7", F.col("b")))
+    with pytest.raises(Exception, match="null"):
+        models.train_all_models(nulls, COLUMNS, "y", names=("linear_regression", "random_forest"), settings=QUICK)
+
+
+@pytest.mark.parametrize("query", [queries.train_summary, queries.model_evaluation, queries.feature_importance])
+def test_queries_fail_with_a_model(spark, data, monkeypatch, query):
+    rows = data.withColumnRenamed("y", "Monetary")
+    monkeypatch.setattr(queries, "_matrix", lambda *_: (rows, COLUMNS, rows))
+    fitted = models.estimator
+    bad = Settings(forest=ForestParams(trees=0), boosting=QUICK.boosting)
+    monkeypatch.setattr(models, "estimator", lambda name, *_: fitted(name, bad))
+    with pytest.raises(RuntimeError, match="random_forest"):
+        query(spark, "")
+
+
 def test_validation_score_of_zero_counts():
     zero = models.TrainedModel("z", None, [], "y", train_r2=0.99, val_r2=0.0)
     small = models.TrainedModel("s", None, [], "y", train_r2=0.1, val_r2=0.1)
