@@ -351,18 +351,11 @@ def test_fits_of_trees_free_the_disk_of_their_shuffles(data, monkeypatch):
     assert len(entered) == 2
 
 
-def test_lines_of_the_feature_table_are_there_only_while_it_is_made(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(queries, "ensure_checkpoint_dir", lambda _: str(tmp_path))
-    seen = []
-
-    def spied(lines):
-        seen.append((lines.schema, lines.count(), [p.name for p in tmp_path.iterdir()]))
-        return spark.range(3)
-
-    monkeypatch.setattr(queries, "build_features", spied)
-    cleaned = spark.sql("SELECT id, string(id) CustomerID, timestamp_ntz '1997-03-01 10:00:00' InvoiceDate, id / 2 UnitPrice FROM range(40)")
-    monkeypatch.setattr(queries, "lines", lambda *_: cleaned)
-    assert queries._feature_table(spark, "").count() == 3
-    (schema, count, folders), = seen
-    assert [(f.name, f.dataType) for f in schema] == [(f.name, f.dataType) for f in cleaned.schema]
-    assert count == cleaned.count() and len(folders) == 1 and not list(tmp_path.iterdir())
+def test_disk_is_freed_when_the_feature_table_is_there(monkeypatch):
+    steps = []
+    monkeypatch.setattr(queries, "features", lambda *_: "features")
+    monkeypatch.setattr(queries, "materialise", lambda df: steps.append(df) or "table")
+    monkeypatch.setattr(queries, "free_disk", lambda _: steps.append("freed"))
+    monkeypatch.setattr(queries.prepare, "model_columns", lambda table: (steps.append(table) or "data", ["a"]))
+    assert queries._matrix(None, "") == ("data", ["a"], "table")
+    assert steps == ["features", "freed", "table"]
